@@ -1,15 +1,776 @@
-"""The registered queries of the library's own operators, and their SQL."""
+"""The registered queries of the library's own operators over the driver's tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import functions as fn
+from . import operators as op
+from . import plans, sources, streaming
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# -- the driver's tables as the library's -----------------------------------------------------------------------
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+#: Event types stand for activity types.
+_MAP = {"click": "Run", "view": "Ride", "purchase": "Swim"}
+
+
+def activities(spark: SparkSession, d: str) -> DataFrame:
+    """events as activities: kilometres from value, minutes from the payload."""
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("athlete_id"), F.col("event_id").alias("activity_id"), fn.activity_type(F.col("event_type"), same=_MAP).alias("type"), "ts", F.col("value").alias("km"), F.get_json_object("props", "$.k").try_cast("double").alias("minutes"))
+
+
+ACT = "act as (select user_id as athlete_id, event_id as activity_id, case event_type when 'click' then 'Run' when 'view' then 'Ride' when 'purchase' then 'Swim' else 'Other' end as type, ts, value as km, try_cast(json_extract_string(props, '$.k') as double) as minutes from events)"
+
+
+def performances(spark: SparkSession, d: str) -> DataFrame:
+    """orders as performances."""
+    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return j.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("athlete"), F.col("c_name").alias("name"), F.col("o_orderpriority").alias("discipline"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("day"), F.col("o_totalprice").alias("score"), F.col("n_name").alias("nat"))
+
+
+PERF = "perf as (select o_orderkey as id, o_custkey as athlete, c_name as name, o_orderpriority as discipline, o_orderstatus as status, o_orderdate as day, o_totalprice as score, n_name as nat from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"
+_r = lambda c, n=4: F.round(c, n).alias(c)
+
+
+# -- sources and sinks ---------------------------------------------------------------------------------------
+
+
+@query("src2_read_dir", "select n_nationkey, n_name from nation")
+def _(s, d):
+    return s.read.schema("n_nationkey int, n_name string").option("pathGlobFilter", "nation*.parquet").parquet(d)
+
+
+@query("src3_batch_number", "select page_id, case when regexp_extract(replace(url, 'page=', 'batch_'), 'batch_([0-9]+)', 1) = '' then 'Unknown' else regexp_extract(replace(url, 'page=', 'batch_'), 'batch_([0-9]+)', 1) end as batch from pages")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", sources.batch_of(F.replace("url", F.lit("page="), F.lit("batch_"))).alias("batch"))
+
+
+@query("src4_by_unit", "select event_id, value * 1.60934 as km from events where event_type = 'view' union all select event_id, value from events where event_type <> 'view'")
+def _(s, d):
+    e = table(s, d, "events")
+    mi = e.filter("event_type = 'view'").select("event_id", fn.mi_to_km(F.col("value")).alias("km"))
+    return op.stack(mi, e.filter("event_type != 'view'").select("event_id", F.col("value").alias("km")))
+
+
+@query("src5_payload", "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def _(s, d):
+    good, _ = sources.parse_payload(table(s, d, "events"), "props", T.StructType.fromDDL("k bigint"))
+    return good.select("event_id", "payload.k")
+
+
+@query("src5_payload_rejects", "select event_id from events where event_id % 7 = 0")
+def _(s, d):
+    e = table(s, d, "events").withColumn("props", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props")))
+    return sources.parse_payload(e, "props", T.StructType.fromDDL("k bigint"))[1].select("event_id")
+
+
+_LI = sources.RowSpec({"href_text": 0}, row="nav", cell="li", header_rows=0)
+
+
+@query("src6_result_rows", "with t as (select c_custkey, '<table><tr><th>h</th></tr><tr><td>1</td><td>' || c_name || '</td><td>x</td><td><b>' || c_mktsegment || '</b></td><td>y</td><td>' || c_nationkey || '</td></tr><tr><td>one</td></tr></table>' as html from customer) select c_custkey, 1 as row_no, regexp_extract(html, '<td>1</td><td>(.*?)</td>', 1) as mark, regexp_extract(html, '<b>(.*?)</b>', 1) as competitor, regexp_extract(html, '<td>y</td><td>(.*?)</td>', 1) as nat, regexp_extract(html, '<b>(.*?)</b>', 1) as location, 'y' as date, regexp_extract(html, '<td>y</td><td>(.*?)</td>', 1) as score from t")
+def _(s, d):
+    c = table(s, d, "customer")
+    html = F.concat(F.lit("<table><tr><th>h</th></tr><tr><td>1</td><td>"), "c_name", F.lit("</td><td>x</td><td><b>"), "c_mktsegment", F.lit("</b></td><td>y</td><td>"), F.col("c_nationkey").cast("string"), F.lit("</td></tr><tr><td>one</td></tr></table>"))
+    return sources.extract_rows(c.select("c_custkey", html.alias("html")), sources.TOPLIST)
+
+
+@query("src6_page_items", "select page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>')) as n_items from pages")
+def _(s, d):
+    rows = table(s, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1).alias("html"))
+    return rows.select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?s)<li>(.*?)</li>"), 1)).cast("long").alias("n_items"))
+
+
+def _result_pages(s, d):
+    c = table(s, d, "customer")
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), *[cell(x) for x in (F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_nationkey").cast("string"), F.col("c_mktsegment"), F.lit("12 Mar 1999"))], F.lit("</tr>"))
+    return c.select("c_custkey", F.concat(F.lit("<tr><th>h</th></tr>"), row).alias("html"))
+
+
+@query("src7_final_rows", "select c_custkey, 1 as row_no, c_custkey::varchar as place, c_nationkey::varchar as nat, c_mktsegment as competitor, '12 Mar 1999' as mark from customer")
+def _(s, d):
+    return sources.extract_rows(_result_pages(s, d), sources.FINAL)
+
+
+@query("src8_ranking_rows", "select c_custkey, 1 as row_no, c_custkey::varchar as rank, c_name as athlete, c_nationkey::varchar as nat, c_mktsegment as score, '12 Mar 1999' as event_list from customer")
+def _(s, d):
+    return sources.extract_rows(_result_pages(s, d), sources.RANKING)
+
+
+@query("src9_roster_rows", "select c_custkey, 1 as row_no, c_name as athlete, c_mktsegment as nat, '12 Mar 1999' as birthdate from customer")
+def _(s, d):
+    return sources.extract_rows(_result_pages(s, d), sources.ROSTER)
+
+
+@query("src10_page_manifest", "select r_name, p as page, 'http://h/' || r_regionkey || '?page=' || p as url from region, range(1, 6) t(p)")
+def _(s, d):
+    r = table(s, d, "region").select("r_name", F.concat(F.lit("http://h/"), F.col("r_regionkey").cast("string"), F.lit("?page=1")).alias("base"))
+    return sources.page_manifest(r, "base", 1, 5).select("r_name", F.col("page").cast("long"), "url")
+
+
+@query("snk6_load_log", "select (select count(*) from customer) as athletes_count, (select count(*) from orders) as results_count, (select count(*) from events) as activities_count")
+def _(s, d):
+    return sources.log_load({"athletes": table(s, d, "customer"), "results": table(s, d, "orders"), "activities": table(s, d, "events")}).drop("timestamp")
+
+
+# -- projections ------------------------------------------------------------------------------------------------
+
+
+@query("prj5_to_number", "select event_id, coalesce(try_cast(replace(event_type, 'click', '12.5') as double), 0) as n from events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", fn.to_number(F.replace("event_type", F.lit("click"), F.lit("12.5")), default=0.0).alias("n"))
+
+
+@query("prj6_conform", "select event_id, value, '' as note, 0::bigint as extra, event_type from events")
+def _(s, d):
+    return op.conform(table(s, d, "events"), T.StructType.fromDDL("event_id bigint, value double, note string, extra bigint, event_type string"))
+
+
+@query("prj1_contract", "select event_id, 'km' as unit, value as distance from events")
+def _(s, d):
+    e = op.with_literals(table(s, d, "events"), unit="km").drop("props").withColumnsRenamed({"value": "distance"})
+    return op.select_contract(e, T.StructType.fromDDL("event_id bigint, unit string, distance double"))
+
+
+@query("prj7_serial", "select c_custkey, row_number() over (order by c_name, c_custkey) + 100 as serial from customer")
+def _(s, d):
+    return op.with_serial(table(s, d, "customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"], 100).select("c_custkey", "serial")
+
+
+@query("prj8_chunks", "select ((rn - 1) // 60)::int as chunk, array_to_string(list(c_custkey order by c_custkey), ',') as ids from (select c_custkey, row_number() over (order by c_custkey) as rn from customer) group by 1")
+def _(s, d):
+    return op.chunk_ids(table(s, d, "customer"), "c_custkey").select("chunk", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("prj9_explode_entries", "select conv_id, turn, role, text from conversations")
+def _(s, d):
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("entries"))
+    return c.select("conv_id", F.explode("entries").alias("e")).select("conv_id", "e.*")
+
+
+@query("prj11_export_fill", "select c_custkey, coalesce(n, 0)::bigint as n, coalesce(first_status, 'NA') as first_status from customer left join (select o_custkey, count(*) as n, min(o_orderstatus) as first_status from orders where o_orderkey % 5 = 0 group by 1) on o_custkey = c_custkey")
+def _(s, d):
+    o = table(s, d, "orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderstatus").alias("first_status"))
+    return op.export_fill(op.attach_results(table(s, d, "customer").select("c_custkey"), o, "c_custkey"), {"n": 0, "first_status": "NA"})
+
+
+# -- filters -----------------------------------------------------------------------------------------------------
+
+
+@query("flt1_min_score", "select o_orderkey from orders where o_totalprice >= 1100")
+def _(s, d):
+    return op.min_score(table(s, d, "orders"), "o_totalprice").select("o_orderkey")
+
+
+@query("flt2_take_while", "select o_orderkey from (select *, min(o_totalprice) over (partition by o_orderpriority order by o_orderdate, o_orderkey rows unbounded preceding) as low from orders) where low >= 5000")
+def _(s, d):
+    return op.take_while_at_least(table(s, d, "orders"), "o_orderpriority", ["o_orderdate", "o_orderkey"], "o_totalprice", 5000).select("o_orderkey")
+
+
+@query("flt3_keep_ids", "select event_id from events where user_id in (1, 5, 9)")
+def _(s, d):
+    return op.keep_ids(table(s, d, "events"), "user_id", [1, 5, 9]).select("event_id")
+
+
+@query("flt4_in_weeks", "select event_id from events where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-22'")
+def _(s, d):
+    return op.in_weeks(table(s, d, "events"), "ts", "2024-01-08", 2).select("event_id")
+
+
+@query("flt5_before", "select o_orderkey from orders where o_orderdate < timestamp '1998-08-01'")
+def _(s, d):
+    return op.before(table(s, d, "orders"), "o_orderdate", "1998-08-01").select("o_orderkey")
+
+
+@query("flt6_outdoor", "select p_partkey from part where p_partkey % 3 <> 0")
+def _(s, d):
+    p = table(s, d, "part").withColumn("location", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" (I)"))).otherwise(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name"))))
+    return op.outdoor_only(p).select("p_partkey")
+
+
+@query("flt7_in_event", "select distinct o_custkey from orders where o_orderpriority = '1-URGENT'")
+def _(s, d):
+    return op.in_event(op.events_per_athlete(table(s, d, "orders"), "o_custkey", "o_orderpriority"), "1-URGENT").select("o_custkey")
+
+
+@query("flt8_require", "select event_id from events where try_cast(json_extract_string(props, '$.k') as bigint) > 50")
+def _(s, d):
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return op.require(table(s, d, "events").withColumn("k", F.when(k > 50, k)), "k").select("event_id")
+
+
+@query("flt9_where_state", "select c_custkey from customer where c_nationkey = 7")
+def _(s, d):
+    return op.where_state(table(s, d, "customer"), "c_nationkey", 7).select("c_custkey")
+
+
+@query("flt10_find_by_name", "select c_custkey from customer where lower(trim(c_name)) = lower('customer#000000012')")
+def _(s, d):
+    return op.find_by_name(table(s, d, "customer"), "c_name", " CUSTOMER#000000012 ").select("c_custkey")
+
+
+@query("flt11_search_names", "select p_name, p_partkey from part where contains(lower(p_name), 'a') order by p_name, p_partkey limit 10")
+def _(s, d):
+    return op.search_names(table(s, d, "part"), "p_name", "A", ties="p_partkey").select("p_name", "p_partkey")
+
+
+@query("flt12_match_target", "select c_custkey from customer where c_custkey % 4 = 0")
+def _(s, d):
+    c = table(s, d, "customer").withColumn("target", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit(" "), F.upper("c_name"))).otherwise(F.lit("other")))
+    return op.match_target(c, "c_name", "target").select("c_custkey")
+
+
+@query("flt13_unmatched", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def _(s, d):
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return op.unmatched(op.attach_results(table(s, d, "customer"), o, "c_custkey"), "n").select("c_custkey")
+
+
+# -- joins -------------------------------------------------------------------------------------------------------
+
+
+@query("jn1_attach_results", "select c_custkey, n from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey")
+def _(s, d):
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return op.attach_results(table(s, d, "customer").select("c_custkey"), o, "c_custkey")
+
+
+@query("jn2_entrants", f"with {PERF} select id, nat as nat_perf, c_nationkey::varchar as nat_roster from perf join customer on upper(name) = upper(c_name)")
+def _(s, d):
+    roster = table(s, d, "customer").select(F.lower("c_name").alias("entrant"), F.col("c_nationkey").cast("string").alias("nat"))
+    return op.entrants(performances(s, d), roster, "name", "entrant").select("id", "nat_perf", "nat_roster")
+
+
+@query("jn3_keep_pairs", "select event_id from events where (user_id, event_type) in (select (user_id, event_type) from events group by user_id, event_type having count(*) > 12)")
+def _(s, d):
+    e = table(s, d, "events")
+    return op.keep_pairs(e, e.groupBy("user_id", "event_type").count().filter("count > 12"), ["user_id", "event_type"]).select("event_id")
+
+
+@query("jn4_scoreboards", "select coalesce(a.event, b.event) as event, a.n as n_open, b.n as n_filled from (select o_orderpriority as event, count(*) as n from orders where o_orderstatus = 'O' and o_orderpriority < '4' group by 1) a full join (select o_orderpriority as event, count(*) as n from orders where o_orderstatus = 'F' and o_orderpriority > '2' group by 1) b on a.event = b.event")
+def _(s, d):
+    o = table(s, d, "orders").withColumnRenamed("o_orderpriority", "event")
+    side = lambda status, cond, name: o.filter(f"o_orderstatus = '{status}' and {cond}").groupBy("event").agg(F.count(F.lit(1)).alias(name))
+    return op.compare_scoreboards(side("O", "event < '4'", "n_open"), side("F", "event > '2'", "n_filled"))
+
+
+@query("jn5_coordinates", "select c_custkey, n_name, n_regionkey from customer left join nation on n_nationkey = c_nationkey and n_regionkey < 3")
+def _(s, d):
+    coords = table(s, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+    return op.with_coordinates(table(s, d, "customer"), coords, "c_nationkey").select("c_custkey", "n_name", "n_regionkey")
+
+
+@query("jn6_assign_ids", "select c_custkey, coalesce(id, 0)::bigint as assigned_id from customer left join (select 'CUSTOMER#' || lpad(o_custkey::varchar, 9, '0') as k, arg_max(o_orderkey, o_orderkey) as id from orders where o_orderkey % 3 = 0 group by 1) on upper(c_name) = k")
+def _(s, d):
+    m = table(s, d, "orders").filter("o_orderkey % 3 = 0").select(F.concat(F.lit(" customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("c_name"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"))
+    return op.assign_ids(table(s, d, "customer"), m, "c_name", "id", "seq")[0].select("c_custkey", "assigned_id")
+
+
+@query("jn7_first_match", "select o_orderkey, case when o_orderdate >= timestamp '2000-01-01' then 0 else v end as runs from orders left join (select c_custkey, c_nationkey as v from customer where c_custkey % 2 = 0) on c_custkey = o_custkey")
+def _(s, d):
+    c = table(s, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("runs"), F.lit(1).alias("seq"))
+    o = table(s, d, "orders").withColumn("fresh", F.col("o_orderdate") >= F.to_timestamp(F.lit("2000-01-01"))).withColumnRenamed("o_custkey", "k")
+    return op.link_first_match(o, c, "k", "seq", ["runs"], "fresh", F.lit(True)).select("o_orderkey", "runs")
+
+
+@query("jn8_semi", "select event_id from events where user_id in (select c_custkey from customer where c_acctbal > 0)")
+def _(s, d):
+    return op.semi(table(s, d, "events"), table(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id")), ["user_id"]).select("event_id")
+
+
+@query("jn9_unseen", "select event_id from events where event_id % 3 <> 0")
+def _(s, d):
+    e = table(s, d, "events")
+    return op.unseen(e, e.filter("event_id % 3 = 0").select("event_id"), ["event_id"]).select("event_id")
+
+
+@query("jn10_update_from", "select c_custkey, coalesce(t, c_acctbal) as c_acctbal from customer left join (select o_custkey, max(o_totalprice) as t from orders where o_orderkey % 2 = 0 group by 1) on o_custkey = c_custkey")
+def _(s, d):
+    new = table(s, d, "orders").filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return op.update_from(table(s, d, "customer").select("c_custkey", "c_acctbal"), new, "c_custkey", ["c_acctbal"])
+
+
+@query("jn11_rank_lookup", "select o_orderkey, r as found_rank from orders left join (select o_orderkey as k, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as r from orders where o_orderstatus = 'F') on k = o_orderkey")
+def _(s, d):
+    o = table(s, d, "orders")
+    ranked = op.with_rank(o.filter("o_orderstatus = 'F'"), ["o_orderpriority"], [F.desc("o_totalprice"), "o_orderkey"])
+    return op.rank_lookup(o, ranked, ["o_orderkey"]).select("o_orderkey", F.col("found_rank").cast("long"))
+
+
+# -- aggregations ------------------------------------------------------------------------------------------------
+
+
+@query("agg1_totals_by_type", f"with {ACT} select athlete_id, type, round(coalesce(sum(km), 0), 4) as total_km, coalesce(sum(minutes), 0) as total_minutes from act group by 1, 2")
+def _(s, d):
+    return op.totals_by_type(activities(s, d)).withColumn("total_km", F.round("total_km", 4))
+
+
+@query("agg2_pivot_types", f"with {ACT} select athlete_id, " + ", ".join(f"coalesce(sum(minutes) filter (type = '{t}'), 0) as \"{t}\"" for t in op.TYPES) + " from act group by 1")
+def _(s, d):
+    return op.pivot_types(activities(s, d), value="minutes")
+
+
+_H = "round(coalesce(sum(minutes) filter (type = '{}'), 0) / 60{}, 4)"
+
+
+@query("agg3_training_metrics", f"with {ACT} select athlete_id, round(coalesce(sum(km) filter (type = 'Run'), 0), 4) as total_run_km, round(coalesce(sum(km) filter (type = 'Run'), 0) / 4, 4) as avg_weekly_run_km, {_H.format('Run', '')} as total_run_hours, {_H.format('Run', ' / 4')} as avg_weekly_run_hours, {_H.format('Ride', '')} as total_ride_hours, {_H.format('Swim', '')} as total_swim_hours, {_H.format('Other', '')} as total_other_hours, round(coalesce(sum(minutes) filter (type = 'Run'), 0) / nullif(coalesce(sum(km) filter (type = 'Run'), 0), 0), 4) as avg_run_pace from act group by 1")
+def _(s, d):
+    return op.training_metrics(activities(s, d), 4, 4)
+
+
+@query("agg4_results", f"with {PERF}, firsts as (select athlete, discipline, min(id) as f from perf group by 1, 2), marks as (select athlete, status, min(id) as f from perf group by 1, 2) select p.athlete, arg_min(nat, id) as nat, arg_min(status, id) as gender, any_value(m.l) as marks, any_value(x.l) as disciplines, count(*) as n_events from perf p join (select athlete, string_agg(discipline, '|' order by f) as l from firsts group by 1) x on x.athlete = p.athlete join (select athlete, string_agg(status, '|' order by f) as l from marks group by 1) m on m.athlete = p.athlete group by 1")
+def _(s, d):
+    return op.summarise_results(performances(s, d), "athlete", "nat", "status", "status", "discipline", "id")
+
+
+@query("agg5_suspicious_pace", "select l_suppkey, l_returnflag, round(avg(l_quantity), 4) as avg_pace from lineitem group by 1, 2 having avg(l_quantity) >= 24 and avg(l_quantity) < 25")
+def _(s, d):
+    return op.suspicious_pace(table(s, d, "lineitem"), ["l_suppkey", "l_returnflag"], "l_quantity", 24, 25).withColumn("avg_pace", F.round("avg_pace", 4))
+
+
+@query("agg6_keys_in_many", "select user_id, count(distinct event_type) as n from events group by 1 having count(distinct event_type) > 1")
+def _(s, d):
+    return op.keys_in_many(table(s, d, "events"), "user_id", "event_type")
+
+
+_WEEKS = "w as (select l_suppkey as k, case when l_quantity > 10 then l_quantity else 0 end as km from lineitem)"
+_CONS = "select k, count(*) filter (km > 0) * 100.0 / count(*) as consistency_pct, case when count(*) filter (km > 0) = 0 then 'Infinity'::double else stddev_samp(km) filter (km > 0) end as std_dev, case when count(*) filter (km > 0) = 0 then 0 else median(km) filter (km > 0) / avg(km) filter (km > 0) end as median_to_mean, case when count(*) filter (km > 0) = 0 then 0 else max(km) filter (km > 0) / median(km) filter (km > 0) end as max_to_median, count(*) - count(*) filter (km > 0) as no_data from w group by 1"
+
+
+def _weeks(s, d):
+    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.when(F.col("l_quantity") > 10, F.col("l_quantity")).otherwise(0.0).alias("km"))
+
+
+@query("agg7_consistency", f"with {_WEEKS}, c as ({_CONS}) select k, round(consistency_pct, 6) as consistency_pct, round(std_dev, 6) as std_dev, round(median_to_mean, 6) as median_to_mean, round(max_to_median, 6) as max_to_median, no_data from c")
+def _(s, d):
+    out = op.consistency(_weeks(s, d), "k", "km")
+    return out.select("k", *[_r(c, 6) for c in ("consistency_pct", "std_dev", "median_to_mean", "max_to_median")], "no_data")
+
+
+@query("agg8_value_counts", f"with {PERF} select nat, count(*) as n from perf group by 1")
+def _(s, d):
+    return op.value_counts(performances(s, d), "nat")
+
+
+@query("agg9_multi_discipline", "select o_custkey, round(avg(o_totalprice), 4) as mean_score, round(sum(o_totalprice), 4) as sum_score, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as disciplines, count(*) as n from orders group by 1 having count(*) > 1")
+def _(s, d):
+    return op.multi_discipline(table(s, d, "orders"), "o_custkey", "o_orderpriority", "o_totalprice").select("o_custkey", _r("mean_score"), _r("sum_score"), F.array_join("disciplines", ",").alias("disciplines"), "n")
+
+
+@query("agg10_best_discipline", "select o_custkey, arg_max(o_orderpriority, o_totalprice) as best_discipline, max(o_totalprice) as best_score from orders group by 1")
+def _(s, d):
+    return op.best_discipline(table(s, d, "orders"), "o_custkey", "o_orderpriority", "o_totalprice")
+
+
+@query("agg11_events_per_athlete", "select o_custkey, string_agg(distinct o_orderpriority, ', ' order by o_orderpriority) as events from orders group by 1")
+def _(s, d):
+    return op.events_per_athlete(table(s, d, "orders"), "o_custkey", "o_orderpriority").withColumn("events", F.array_join("events", ", "))
+
+
+@query("agg12_headline", "select count(*) as athletes, count(distinct c_nationkey) as countries from customer")
+def _(s, d):
+    return op.headline_counts(table(s, d, "customer"), "c_nationkey")
+
+
+_RANKS = "r as (select *, row_number() over (partition by discipline order by day, id) as place, row_number() over (partition by discipline order by score desc, id) as rank from perf)"
+
+
+@query("agg13_rank_error", f"with {PERF}, {_RANKS} select discipline, round(avg(pow(rank - place, 2)), 4) as mse, round(sqrt(avg(pow(rank - place, 2))), 4) as rmse, count(*) as n from r group by 1")
+def _(s, d):
+    p = op.with_rank(op.with_rank(performances(s, d), ["discipline"], ["day", "id"], "place"), ["discipline"], [F.desc("score"), "id"])
+    return op.rank_error(p, ["discipline"], "rank", "place").select("discipline", _r("mse"), _r("rmse"), "n")
+
+
+@query("agg14_activity_summary", f"with {ACT} select type, count(*) as n, round(sum(km), 4) as sum_km, sum(minutes) as sum_minutes from act where athlete_id = 5 group by 1")
+def _(s, d):
+    return op.activity_summary(activities(s, d).filter("athlete_id = 5"), "type", "km", "minutes").withColumn("sum_km", F.round("sum_km", 4))
+
+
+@query("agg15_ingest_report", "select user_id, count(*) as new_rows from events where event_id % 3 <> 0 group by 1")
+def _(s, d):
+    e = table(s, d, "events")
+    return op.ingest_report(op.unseen(e, e.filter("event_id % 3 = 0").select("event_id"), ["event_id"]), "user_id")
+
+
+@query("agg16_by_location", "select n_regionkey, n_nationkey, count(*) as n, string_agg(c_name, ',' order by c_name) as names from customer join nation on n_nationkey = c_nationkey group by 1, 2")
+def _(s, d):
+    c = op.with_coordinates(table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), table(s, d, "nation"), "n_nationkey")
+    return op.athletes_by_location(c, "n_regionkey", "n_nationkey", "c_name").withColumn("names", F.array_join("names", ","))
+
+
+@query("agg17_match_stats", "select count(*) as total, count(n) as with_id, count(*) - count(n) as without_id from customer left join (select distinct o_custkey as n from orders where o_custkey <> 0) on n = c_custkey")
+def _(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_custkey").alias("n")).distinct()
+    return op.match_stats(op.attach_results(table(s, d, "customer"), o, "c_custkey"), "n")
+
+
+@query("agg18_weekly_totals", f"with {ACT} select a.athlete_id, w::int as week, coalesce(round(sum(km), 4), 0) as sum_km, coalesce(sum(minutes), 0) as sum_minutes from (select distinct athlete_id from act) a cross join range(0, 6) t(w) left join act on act.athlete_id = a.athlete_id and datediff('day', date '2024-01-01', ts::date) // 7 = w group by 1, 2")
+def _(s, d):
+    return op.weekly_totals(activities(s, d), "athlete_id", "ts", ["km", "minutes"], "2024-01-01", 6).withColumn("sum_km", F.round("sum_km", 4))
+
+
+# -- windows, orders, sets ----------------------------------------------------------------------------------------
+
+
+@query("win1_latest_per", "select o_orderkey from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate desc, o_totalprice desc, o_orderkey) as r from orders) where r = 1")
+def _(s, d):
+    return op.latest_per(table(s, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderdate", [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey")
+
+
+@query("win1_latest_struct", "select o_custkey, o_orderpriority, arg_max(o_orderkey, (o_orderdate, o_totalprice, o_orderkey)) as o_orderkey from orders group by 1, 2")
+def _(s, d):
+    return op.latest_struct(table(s, d, "orders"), ["o_custkey", "o_orderpriority"], F.struct("o_orderdate", "o_totalprice", "o_orderkey")).select("o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("win2_first_per", "select min(o_orderkey) as o_orderkey from orders group by o_custkey")
+def _(s, d):
+    return op.first_per(table(s, d, "orders"), ["o_custkey"], ["o_orderkey"]).select("o_orderkey")
+
+
+@query("win3_earliest_batch", "select event_id from (select event_id, ts::date as b, min(ts::date) over (partition by user_id) as f from events) where b = f")
+def _(s, d):
+    return op.earliest_batch(table(s, d, "events").withColumn("batch", F.to_date("ts")), "user_id", "batch").select("event_id")
+
+
+@query("win4_repeated", "select o_orderkey from orders where (o_custkey, o_orderpriority) in (select (o_custkey, o_orderpriority) from orders group by o_custkey, o_orderpriority having count(*) > 1)")
+def _(s, d):
+    return op.repeated(table(s, d, "orders"), ["o_custkey", "o_orderpriority"]).select("o_orderkey")
+
+
+@query("win5_rank", "select o_orderkey, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as rank from orders")
+def _(s, d):
+    return op.with_rank(table(s, d, "orders"), ["o_orderpriority"], [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", F.col("rank").cast("long"))
+
+
+@query("win6_dedupe_ids", "select event_id, event_type from events")
+def _(s, d):
+    e = table(s, d, "events").withColumn("pos", F.lit(0))
+    return op.dedupe_ids(op.stack(e, e.withColumn("pos", F.lit(1)).withColumn("event_type", F.lit("again"))), "event_id", ["pos"]).select("event_id", "event_type")
+
+
+@query("ord1_consistency_order", f"with {_WEEKS}, c as ({_CONS}) select k, row_number() over (order by consistency_pct desc, round(std_dev, 6) nulls last, no_data, k) as serial from c")
+def _(s, d):
+    stats = op.consistency(_weeks(s, d), "k", "km").withColumn("std_dev", F.round("std_dev", 6)).withColumn("down", -F.col("consistency_pct"))
+    return op.with_serial(stats.withColumn("up", F.coalesce("std_dev", F.lit(float("inf")))), ["down", "up", "no_data", "k"]).select("k", "serial")
+
+
+@query("ord2_order_like", "select o_orderkey, serial from orders join (select c_custkey, row_number() over (order by c_acctbal desc, c_custkey) as serial from customer) on c_custkey = o_custkey")
+def _(s, d):
+    c = op.with_serial(table(s, d, "customer").withColumn("down", -F.col("c_acctbal")), ["down", "c_custkey"]).withColumnRenamed("c_custkey", "o_custkey")
+    return op.order_like(table(s, d, "orders"), c, "o_custkey", "o_orderkey").select("o_orderkey", "serial")
+
+
+@query("ord5_top_n", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
+def _(s, d):
+    return op.top_n(table(s, d, "orders"), 10, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("ord6_latest_row", "select event_id, ts from events order by ts desc, event_id desc limit 1")
+def _(s, d):
+    return op.latest_row(table(s, d, "events").withColumn("at", F.struct("ts", "event_id")), "at").select("event_id", "ts")
+
+
+@query("ord7_newest_first", "select event_id from events where user_id = 7")
+def _(s, d):
+    return op.newest_first(table(s, d, "events").filter("user_id = 7"), "ts").select("event_id")
+
+
+@query("set1_stack", "select o_orderkey as id from orders union all select o_orderkey from orders where o_orderstatus = 'F'")
+def _(s, d):
+    o = table(s, d, "orders").withColumnRenamed("o_orderkey", "id")
+    return op.stack(o, o.filter("o_orderstatus = 'F'")).select("id")
+
+
+@query("set2_stack_missing", "select s_suppkey as id, s_acctbal as bal, null::varchar as seg from supplier union all select c_custkey, null, c_mktsegment from customer")
+def _(s, d):
+    a = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"))
+    return op.stack(a, table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg")), allow_missing=True)
+
+
+@query("set3_new_ids", "select distinct user_id from events except select s_suppkey from supplier")
+def _(s, d):
+    return op.new_ids(table(s, d, "events"), table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id")
+
+
+@query("set4_distinct", "select distinct user_id, event_type from events")
+def _(s, d):
+    return table(s, d, "events").select("user_id", "event_type").distinct()
+
+
+# -- functions ---------------------------------------------------------------------------------------------------
+
+_K = "try_cast(json_extract_string(props, '$.k') as bigint)"
+
+
+def _k(s, d):
+    return table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("bigint"))
+
+
+@query("fn1_duration", f"select event_id, case event_id % 4 when 0 then round(({_K} // 60) * 60 + {_K} % 60, 2) when 1 then round({_K} + 7 / 60.0, 2) when 2 then 0 else round({_K} / 60.0, 2) end as minutes from events")
+def _(s, d):
+    k = F.col("k")
+    text = F.when(F.col("event_id") % 4 == 0, F.format_string("%dh %d m", F.floor(k / 60).cast("long"), k % 60)).when(F.col("event_id") % 4 == 1, F.format_string("%dm 7s", k)).when(F.col("event_id") % 4 == 2, F.format_string("%d bpm", k)).otherwise(F.format_string("%ds", k))
+    return _k(s, d).select("event_id", fn.parse_duration_min(text).alias("minutes"))
+
+
+@query("fn2_quantities", "select p_partkey, case p_partkey % 3 when 0 then p_size * 1.60934 when 1 then 1000 + p_size else 0 end as km, case p_partkey % 3 when 2 then p_size * 0.3048 else 0 end as metres from part")
+def _(s, d):
+    n = F.col("p_size").cast("string")
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(n, F.lit(" mi"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("1,0"), F.lpad(n, 2, "0"), F.lit("km"))).otherwise(F.concat(n, F.lit(" ft")))
+    return table(s, d, "part").select("p_partkey", fn.to_km(text).alias("km"), fn.to_metres(text).alias("metres"))
+
+
+@query("fn4_first_number", f"select event_id, {_K}::double as n, round({_K} + 30 / 60.0, 2) as pace from events")
+def _(s, d):
+    return _k(s, d).select("event_id", fn.first_number(F.col("props")).alias("n"), fn.parse_pace(F.format_string("%d:30 /km", "k")).alias("pace"))
+
+
+@query("fn6_html_to_text", "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), ' +', ' ', 'g')) as text from pages")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", fn.html_to_text(F.col("html")).alias("text"))
+
+
+@query("fn7_repair_json", f"select event_id, {_K} as k from events")
+def _(s, d):
+    broken = F.concat(F.lit("{&quot;k&quot;:\n"), F.get_json_object("props", "$.k"), F.lit(",\t}"))
+    return table(s, d, "events").select("event_id", F.get_json_object(fn.repair_json(broken), "$.k").cast("bigint").alias("k"))
+
+
+@query("fn8_names", "select p_partkey, array_to_string(list_transform(string_split(lower(regexp_replace(trim(p_name), '\\s+', ' ', 'g')), ' '), lambda x: upper(x[1]) || x[2:]), ' ') as display, upper(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) as key from part")
+def _(s, d):
+    name = F.concat(F.lit(" "), F.replace(F.upper("p_name"), F.lit(" "), F.lit("  ")))
+    return table(s, d, "part").select("p_partkey", fn.display_name(name).alias("display"), fn.match_key(name).alias("key"))
+
+
+@query("fn10_flip_name", "select c_custkey, upper(c_mktsegment || ' ' || c_name) as name from customer")
+def _(s, d):
+    return table(s, d, "customer").select("c_custkey", fn.flip_name(F.concat_ws(", ", "c_name", "c_mktsegment")).alias("name"))
+
+
+@query("fn12_units", "select event_id, round(value * 1.60934, 6) as km, round(value / 1.60934, 6) as pace_km from events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", F.round(fn.mi_to_km(F.col("value")), 6).alias("km"), F.round(fn.pace_mi_to_km(F.col("value")), 6).alias("pace_km"))
+
+
+@query("fn13_pace", f"select event_id, round({_K} / nullif(value, 0), 6) as pace, ({_K} * 60)::bigint as seconds from events")
+def _(s, d):
+    return _k(s, d).select("event_id", F.round(fn.pace(F.col("k").cast("double"), F.col("value")), 6).alias("pace"), fn.seconds(F.col("k"), legacy=True).alias("seconds"))
+
+
+@query("fn15_activity_type", f"with {ACT} select activity_id, type, round(minutes * 60 / 3600.0, 6) as hours from act")
+def _(s, d):
+    return activities(s, d).select("activity_id", "type", F.round(fn.hours(F.lit(None), F.col("minutes") * 60), 6).alias("hours"))
+
+
+@query("fn17_times", "select event_id, ts, ts::date as day from events")
+def _(s, d):
+    e = table(s, d, "events")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return e.select("event_id", fn.parse_instant(iso).alias("ts"), fn.parse_day(F.date_format("ts", "d MMM yyyy")).alias("day"))
+
+
+@query("fn19_decay", "select o_orderkey, datediff('day', o_orderdate::date, date '2024-08-01')::int as days, round(o_totalprice * exp(-0.001 * datediff('day', o_orderdate::date, date '2024-08-01')), 6) as weighted from orders")
+def _(s, d):
+    days = fn.days_since(F.to_date("o_orderdate"))
+    return table(s, d, "orders").select("o_orderkey", days.alias("days"), F.round(fn.decayed(F.col("o_totalprice"), days), 6).alias("weighted"))
+
+
+@query("fn21_key", "select o_orderkey, o_custkey || '_' || o_orderpriority || '_nan' as key from orders")
+def _(s, d):
+    return table(s, d, "orders").select("o_orderkey", fn.performance_key(F.col("o_custkey"), F.col("o_orderpriority"), F.lit(None)).alias("key"))
+
+
+@query("fn22_human_date", "select event_id, case when event_id % 5 = 0 then '-' else strftime(ts, '%B %d, %Y at %I:%M %p') end as text from events")
+def _(s, d):
+    text = F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return table(s, d, "events").select("event_id", fn.human_date(text).alias("text"))
+
+
+@query("fn23_fixed", "select p_partkey, printf('%.1f', p_size::double) as one, format('{:,}', p_partkey) as thousands from part")
+def _(s, d):
+    return table(s, d, "part").select("p_partkey", fn.fixed(F.col("p_size").cast("double"), 1).alias("one"), fn.fixed(F.col("p_partkey"), 0, thousands=True).alias("thousands"))
+
+
+@query("fn24_zip_lists", "select p_partkey, 1 as i, p_brand as a, p_type as b from part")
+def _(s, d):
+    pairs = fn.zip_lists(F.concat_ws("|", "p_brand", "p_name"), F.col("p_type"))
+    return table(s, d, "part").select("p_partkey", F.posexplode(pairs).alias("i", "p")).select("p_partkey", (F.col("i") + 1).alias("i"), "p.a", "p.b")
+
+
+@query("fn25_not_blank", "select doc_id, coalesce(length(trim(text)) > 0, false) as has_text from documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", fn.not_blank(F.col("text")).alias("has_text"))
+
+
+@query("fn26_json_rows", "select '{\"event_id\":\"' || event_id || '\",\"event_type\":\"' || event_type || '\"}' as json from events")
+def _(s, d):
+    return fn.to_json_rows(table(s, d, "events").select("event_id", "event_type", F.lit(float("nan")).alias("v")))
+
+
+@query("fn27_weeks", "select event_id, 'interval-2024' || lpad(week(ts)::varchar, 2, '0') as label, ts::date as first_day, (event_id % 2 = 0) as empty from events")
+def _(s, d):
+    day = F.date_format("ts", "d MMM yyyy")
+    text = F.concat(F.lit("Activities for "), day, F.lit(" - "), day, F.when(F.col("event_id") % 2 == 0, F.lit(" - No Data")).otherwise(F.lit("")))
+    r = fn.week_range(text)
+    return table(s, d, "events").select("event_id", fn.week_label(F.lit(2024), F.weekofyear("ts")).alias("label"), r["start"].alias("first_day"), r["empty"].alias("empty"))
+
+
+@query("fn29_alnum", "select p_partkey, regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g') as label from part")
+def _(s, d):
+    return table(s, d, "part").select("p_partkey", fn.alnum(F.col("p_type")).alias("label"))
+
+
+@query("fn30_rank_delta", f"with {PERF}, {_RANKS} select id, (rank - place)::double as delta, coalesce(case when status <> 'F' then rank - place end, 0)::double as zeroed from r")
+def _(s, d):
+    p = op.with_rank(op.with_rank(performances(s, d), ["discipline"], ["day", "id"], "place"), ["discipline"], [F.desc("score"), "id"])
+    some = F.when(F.col("status") != "F", F.col("rank"))
+    return p.select("id", fn.rank_delta(F.col("rank"), F.col("place")).alias("delta"), fn.rank_delta(some, F.col("place"), "zero").alias("zeroed"))
+
+
+# -- quality -----------------------------------------------------------------------------------------------------
+
+
+@query("qlt1_null_profile", "select 'n' as column_name, count(*) as n_null from customer where c_custkey not in (select o_custkey from orders) having count(*) > 0")
+def _(s, d):
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return op.null_profile(op.attach_results(table(s, d, "customer"), o, "c_custkey"))
+
+
+@query("qlt4_unmatched_report", "select user_id, count(*) as n from events where user_id not in (select s_suppkey from supplier) group by 1")
+def _(s, d):
+    return op.unmatched_report(table(s, d, "events"), table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id")
+
+
+# -- jobs --------------------------------------------------------------------------------------------------------
+
+
+@query("job1_flatten_payloads", f"select user_id as athlete_id, event_id as activity_id, {_K}::double as distance_km, event_type as type from events")
+def _(s, d):
+    one = F.concat(F.lit('{"preFetchedEntries":[{"activity":{"id":'), F.col("event_id").cast("string"), F.lit(',"activityName":"<b>x</b>","startDate":"2024-01-05T10:00:00Z","elapsedTime":60,"type":"'), "event_type", F.lit('","athlete":{"athleteId":'), F.col("user_id").cast("string"), F.lit(',"athleteName":" ADA "},"stats":[{"key":"stat_one","value":"'), F.get_json_object("props", "$.k"), F.lit(' km"}]}}]}'))
+    raw = table(s, d, "events").select(one.alias("JSON Data"), F.lit("Ada").alias("Name"))
+    return plans.flatten_payloads(raw)[0].select("athlete_id", "activity_id", "distance_km", "type")
+
+
+@query("job2_clean_activities", f"select event_id as \"Activity ID\", row_number() over (order by event_id) as \"Serial\", round({_K} + 30 / 60.0, 2) as \"Time (min)\", value as \"Distance (km)\" from events")
+def _(s, d):
+    raw = _k(s, d).select(F.col("user_id").alias("Athlete ID"), F.lit("ada  runner").alias("Athlete Name"), F.col("event_id").alias("Activity ID"), F.col("ts").alias("Start Date"), F.col("value").alias("Distance (km)"), F.format_string("%dm 30s", "k").alias("Time"))
+    return plans.clean_activities(raw).select("Activity ID", "Serial", "Time (min)", "Distance (km)")
+
+
+@query("job3_ingest", "select event_id from events where event_id % 2 = 1")
+def _(s, d):
+    e = table(s, d, "events")
+    return plans.ingest_activities(op.stack(e, e), e.filter("event_id % 2 = 0"), "event_id").select("event_id")
+
+
+@query("job4_training_metrics", f"with {ACT} select athlete_id, round(coalesce(sum(km) filter (type = 'Run'), 0), 4) as total_run_km from act where athlete_id in (1, 2, 3) group by 1")
+def _(s, d):
+    return op.training_metrics(op.keep_ids(activities(s, d), "athlete_id", [1, 2, 3]), 4, 4).select("athlete_id", "total_run_km")
+
+
+@query("job5_update_metadata", f"with {ACT} select c_custkey as athlete_id, coalesce(m.km, c_acctbal) as total_run_km, 49 as weeks from customer left join (select athlete_id, round(coalesce(sum(km) filter (type = 'Run'), 0), 2) as km from act group by 1) m on m.athlete_id = c_custkey")
+def _(s, d):
+    old = table(s, d, "customer").select(F.col("c_custkey").alias("athlete_id"), F.col("c_acctbal").alias("total_run_km"), F.lit(45).alias("weeks"))
+    return plans.update_metadata(old, op.training_metrics(activities(s, d), 4), 4)
+
+
+@query("job6_unify_units", f"select event_id, case when event_type = 'view' then value * 1.60934 else value end as km, ({_K} * 60) as seconds from events")
+def _(s, d):
+    e = _k(s, d).withColumn("Time", F.format_string("%dm 0s", "k"))
+    mi = e.filter("event_type = 'view'").select("event_id", F.col("value").alias("Distance (mi)"), F.lit(None).cast("double").alias("Pace (min/mi)"), "Time")
+    km = e.filter("event_type != 'view'").select("event_id", F.col("value").alias("Distance (km)"), F.lit(None).cast("double").alias("Pace (min/km)"), "Time")
+    return plans.unify_units(mi, km).select("event_id", F.col("`Distance (km)`").alias("km"), F.col("`Activity Time (s)`").alias("seconds"))
+
+
+@query("job7_build_metadata", f"with {ACT} select a.athlete_id as athlete, round(coalesce(sum(km) filter (type = 'Run'), 0), 4) as total_run_km, coalesce(any_value(n), 0)::bigint as n_events from act a left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = a.athlete_id where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-15' group by 1")
+def _(s, d):
+    a = activities(s, d).withColumnRenamed("athlete_id", "athlete")
+    results = op.summarise_results(performances(s, d), "athlete", "nat", "status", "status", "discipline", "id")
+    return plans.build_metadata(a, results, "2024-01-01", 2).select("athlete", F.round("total_run_km", 4).alias("total_run_km"), "n_events")
+
+
+@query("job8_weekly_batches", "select event_id from (select event_id, (event_id % 4) as b, min(event_id % 4) over (partition by user_id) as f from events) where b = f")
+def _(s, d):
+    return plans.merge_weekly_batches(table(s, d, "events").withColumn("batch", F.col("event_id") % 4), "user_id").select("event_id")
+
+
+@query("job10_update_results", "select o_orderkey from orders where o_orderstatus = 'F' or o_totalprice >= 1100")
+def _(s, d):
+    o = table(s, d, "orders")
+    return plans.update_results(o.filter("o_orderstatus = 'F'"), o, ["o_orderkey"], "o_totalprice", 1100).select("o_orderkey")
+
+
+@query("job13_form_scores", f"with {PERF}, latest as (select athlete, discipline, arg_max(score, (day, score)) as score, max(day) as day from perf where day < timestamp '1999-06-01' and id % 7 <> 0 group by 1, 2) select l.athlete::varchar as athlete, l.discipline, round(score * exp(-0.001 * datediff('day', day::date, date '1999-06-01')), 4) as weighted_score, events from latest l join (select o_custkey, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as events from orders group by 1) on o_custkey = l.athlete")
+def _(s, d):
+    p = performances(s, d).withColumn("athlete", F.col("athlete").cast("string")).withColumn("location", F.when(F.col("id") % 7 == 0, F.lit("Hall (i)")).otherwise(F.col("nat")))
+    roster = table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("athlete"), F.col("o_orderstatus").alias("event"))
+    return plans.form_scores(p, roster, "1999-06-01").select("athlete", "discipline", _r("weighted_score"), F.array_join("events", ",").alias("events"))
+
+
+@query("job14_predictions", f"with {PERF}, f as (select discipline as event, athlete, min(place) as place from (select discipline, athlete, row_number() over (partition by discipline order by day, id) as place from perf) group by 1, 2), r as (select discipline as event, athlete, row_number() over (partition by discipline order by s desc, athlete) as rank from (select discipline, athlete, max(score) as s from perf group by 1, 2)) select 'best' as predictor, event, round(avg(pow(rank - place, 2)), 4) as mse, round(sqrt(avg(pow(rank - place, 2))), 4) as rmse, count(*) as n from f join r using (event, athlete) group by 2")
+def _(s, d):
+    p = performances(s, d).withColumnRenamed("discipline", "event")
+    final = op.with_rank(p, ["event"], ["day", "id"], "place").groupBy("event", "athlete").agg(F.min("place").alias("place"))
+    best = p.groupBy("event", "athlete").agg(F.max("score").alias("score")).withColumn("predictor", F.lit("best"))
+    return plans.evaluate_predictions(final, best).select("predictor", "event", _r("mse"), _r("rmse"), "n")
+
+
+@query("job15_multi_discipline", "select o_custkey, count(*) as n, arg_max(o_orderpriority, o_totalprice) as best_discipline from orders group by 1 having count(*) > 1")
+def _(s, d):
+    return plans.multi_discipline_report(table(s, d, "orders"), "o_custkey", "o_orderpriority", "o_totalprice").select("o_custkey", "n", "best_discipline")
+
+
+@query("job16_country_report", "select n_name, count(*) as n, any_value(n_regionkey) as n_regionkey from customer join nation on n_nationkey = c_nationkey group by 1")
+def _(s, d):
+    n = table(s, d, "nation")
+    counts = op.value_counts(table(s, d, "customer").join(n, F.col("c_nationkey") == n.n_nationkey), "n_name")
+    return op.with_coordinates(counts, n.select("n_name", "n_regionkey"), "n_name")
+
+
+@query("job18_serve_athlete", "select o_orderkey from orders join customer on c_custkey = o_custkey where lower(c_name) = 'customer#000000010'")
+def _(s, d):
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return plans.serve_athlete(o, "c_name", "Customer#000000010", "o_orderdate").select("o_orderkey")
+
+
+@query("job19_recollection", "select ((rn - 1) // 20)::int as chunk, count(*) as n from (select row_number() over (order by c_custkey) as rn from customer where c_nationkey = 3) group by 1")
+def _(s, d):
+    return plans.recollection_plan(table(s, d, "customer"), "c_nationkey", 3, "c_custkey", 20).select("chunk", F.size("ids").cast("long").alias("n"))
+
+
+@query("str2_weekly", "select user_id, (date '2024-01-01' + (datediff('day', date '2024-01-01', ts::date) // 7 * 7)::int)::timestamp as week_start, round(sum(value), 4) as total, count(*) as n from events group by 1, 2")
+def _(s, d):
+    return streaming.weekly(table(s, d, "events"), "user_id", "ts", "value").withColumn("total", F.round("total", 4))
