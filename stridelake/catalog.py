@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import functions as fn
 from . import operators as op
 from . import plans, sources, streaming
+from .schemas import table_schema
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -87,14 +87,14 @@ def _(s, d):
 
 @query("src5_payload", "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def _(s, d):
-    good, _ = sources.parse_payload(table(s, d, "events"), "props", T.StructType.fromDDL("k bigint"))
+    good, _ = sources.parse_payload(table(s, d, "events"), "props", table_schema("k bigint"))
     return good.select("event_id", "payload.k")
 
 
 @query("src5_payload_rejects", "select event_id from events where event_id % 7 = 0")
 def _(s, d):
     e = table(s, d, "events").withColumn("props", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props")))
-    return sources.parse_payload(e, "props", T.StructType.fromDDL("k bigint"))[1].select("event_id")
+    return sources.parse_payload(e, "props", table_schema("k bigint"))[1].select("event_id")
 
 
 _LI = sources.RowSpec({"href_text": 0}, row="nav", cell="li", header_rows=0)
@@ -156,13 +156,13 @@ def _(s, d):
 
 @query("prj6_conform", "select event_id, value, '' as note, 0::bigint as extra, event_type from events")
 def _(s, d):
-    return op.conform(table(s, d, "events"), T.StructType.fromDDL("event_id bigint, value double, note string, extra bigint, event_type string"))
+    return op.conform(table(s, d, "events"), table_schema("event_id bigint, value double, note string, extra bigint, event_type string"))
 
 
 @query("prj1_contract", "select event_id, 'km' as unit, value as distance from events")
 def _(s, d):
     e = op.with_literals(table(s, d, "events"), unit="km").drop("props").withColumnsRenamed({"value": "distance"})
-    return op.select_contract(e, T.StructType.fromDDL("event_id bigint, unit string, distance double"))
+    return op.select_contract(e, table_schema("event_id bigint, unit string, distance double"))
 
 
 @query("prj7_serial", "select c_custkey, row_number() over (order by c_name, c_custkey) + 100 as serial from customer")
