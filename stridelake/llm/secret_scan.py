@@ -54,10 +54,16 @@ def _counts(strings: Iterator[str] | list[str], weights: list[int] | None = None
     return table
 
 
+def _log_model(table: np.ndarray, backing: float = 10.0) -> np.ndarray:
+    """Log probability of each next character; pairs that were rarely seen lean on how common the character is."""
+    common = table.sum(0) + 0.5
+    common /= common.sum()
+    return np.log((table + backing * common) / (table.sum(1, keepdims=True) + backing))
+
+
 def log_ratio(random_strings: list[str], identifiers: list[str]) -> np.ndarray:
-    """Log-likelihood ratio of each character pair (add-one smoothing)."""
-    random_table, plain_table = _counts(random_strings) + 1, _counts(identifiers) + 1
-    return np.log(random_table / random_table.sum(1, keepdims=True)) - np.log(plain_table / plain_table.sum(1, keepdims=True))
+    """Log-likelihood ratio of each character pair."""
+    return _log_model(_counts(random_strings)) - _log_model(_counts(identifiers))
 
 
 def random_sample(n: int = RANDOM_STRINGS, seed: int = 7) -> list[str]:
@@ -75,7 +81,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     words: set[str] = set()
     for (text,) in sample.toLocalIterator():
         flagged = [(a, b) for a, _, b in base_spans(text)]
-        words.update(m[0] for m in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", text) if not any(a < m.end() and m.start() < b for a, b in flagged))
+        found = (m for m in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", text) if not any(a < m.end() and m.start() < b for a, b in flagged))
+        words.update(m[0] for m in found if not (CANDIDATE.fullmatch(m[0]) and _DIGIT.search(m[0])))  # what is to be judged is no example
     return log_ratio(random_sample(), sorted(words))
 
 
