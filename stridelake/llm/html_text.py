@@ -37,6 +37,8 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 HOLDERS = frozenset(("article", "main"))
+#: Marks on these tell of the page's layout, not of a part to leave out.
+WHOLE = HOLDERS | {"html", "body"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
 _MARKING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -100,7 +102,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
         if tag == "br":
             pieces.append("\n")
             continue
-        drop = tag in DROPPED or _marked(m[3])
+        drop = tag in DROPPED or tag not in WHOLE and _marked(m[3])
         if tag not in INLINE:
             if tag in CLOSES_P:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
@@ -118,8 +120,6 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             flush()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            if tag == "title" and not any(x[2] for x in stack):
-                pass  # a title outside the head is no article text either
             at = end.end() if end else len(page)
             continue
         if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):

@@ -294,6 +294,7 @@ def test_main_text(spark):
     assert got[1].text == want and got[1].n_chars == len(want)
     assert got[2].text == "" and got[2].url is None and got[3].text == "" and got[6].text == "plain text"
     assert got[4].text == "Long text, of many words.\n\nMore of it, and more."
+    assert html_text.main_text('<body class="has-sidebar"><div id=sidebar>more, and more</div><article class="no-comments"><p>The text, in full.</p></article></body>') == "The text, in full."
     assert html_text.extract_text(table.limit(0)).count() == 0
 
 
