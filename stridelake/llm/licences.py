@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from .shared import apply_by_id
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sub-license": "sublicense", "sub-licence": "sublicense", "non-commercial": "noncommercial", "per cent": "percent", "copyright owner": "copyright holder", "favour": "favor", "whilst": "while", "wilful": "willful", "https": "http"}
 #: Lines that begin so are copyright lines.
 COPYRIGHT = r"^\s*(copyright\b|\(c\)|©|all rights reserved\b).*"
+COPYRIGHT_MARKS = ["copyright", "(c)", "©", "all rights reserved"]
 
 #: Names of known licences with their SPDX identifiers.
 NAMES = {
@@ -105,17 +109,29 @@ def known_digests(texts: dict[str, str] | None = None, names: dict[str, list[str
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, words of letters and digits with one space between them."""
-    lines = F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(COPYRIGHT))
-    some = "|".join(rf"\b{re.escape(a)}\b" for a in SPELLINGS)
+    """Lower case, no copyright lines, one spelling, words of letters and digits with one space between them.
+
+    Substring tests, far cheaper than the patterns, tell which texts the patterns can change at all.
+    """
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def some(x: Column, parts: list[str]) -> Column:
+        least = [p for p in parts if not any(q != p and q in p for q in parts)]
+        return reduce(or_, [F.contains(x, F.lit(p)) for p in least])
+
+    def without_copyright(x: Column) -> Column:
+        lines = F.filter(F.split(x, "\n"), lambda line: ~line.rlike(COPYRIGHT))
+        return F.when(some(x, COPYRIGHT_MARKS), F.array_join(lines, " ")).otherwise(F.replace(x, F.lit("\n"), F.lit(" ")))
 
     def spelled(x: Column) -> Column:
         out = x
         for a, b in SPELLINGS.items():
             out = F.regexp_replace(out, rf"\b{re.escape(a)}\b", b)
-        return F.when(x.rlike(some), out).otherwise(x)
+        return F.when(some(x, list(SPELLINGS)), out).otherwise(x)
 
-    joined = F.transform(F.array(F.array_join(lines, " ")), spelled)[0]
+    joined = bound(bound(F.lower(text), without_copyright), spelled)
     return F.trim(F.regexp_replace(joined, "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " "))
 
 
