@@ -75,9 +75,13 @@ def random_sample(n: int = RANDOM_STRINGS, seed: int = 7) -> list[str]:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """The pair scores. Ordinary identifiers are the words of the ``sample_docs`` documents with the smallest hash.
 
-    Only the sample's distinct words of key characters (no flagged ones) reach the driver: at most those of ``sample_docs`` documents.
+    Only rows below a hash bound, about four times the sample, are sorted, so that no task meets rows of every partition.
+    The sample's texts, at most ``sample_docs``, are read one partition at a time by the driver.
     """
-    sample = docs.filter("text is not null").select("text").orderBy(F.xxhash64("text")).limit(sample_docs)
+    texts = docs.filter("text is not null").select("text", F.xxhash64("doc_id", "text").alias("__order"))
+    share = min(1.0, 4 * sample_docs / max(1, texts.count()))
+    bound = min(int(share * 2.0**64) - 2**63, 2**63 - 1)
+    sample = texts.filter(F.col("__order") <= bound).orderBy("__order").limit(sample_docs).select("text")
     words: set[str] = set()
     for (text,) in sample.toLocalIterator():
         flagged = [(a, b) for a, _, b in base_spans(text)]
