@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apply_by_id, digest
+from .shared import apply_by_id, digest, stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -97,7 +97,7 @@ def quality_report(docs: DataFrame, host: str = "source", **limits) -> DataFrame
 
 def quality_stage(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The kept documents without their boilerplate lines; same columns."""
-    out = judge(docs, host, **limits).filter("__kept")
+    out = stored(judge(docs, host, **limits), "judged").filter("__kept")  # pushed into the counts, the filter would repeat their expressions many times over
     stays = lambda line: ~line.rlike("[^ \\t-\\r]") | ~F.array_contains("__gone", digest(_normal(line), seed=3))
     text = F.when(F.size("__gone") > 0, F.array_join(F.filter(F.split("text", "\n"), stays), "\n")).otherwise(F.col("text"))
     return out.withColumn("text", text).select(*docs.columns)
