@@ -7,8 +7,11 @@ and a process stops once its time passes the latest of these, so a signature cos
 Two signatures agree at a position with a probability of the weighted Jaccard similarity.
 
 Documents that agree on a band meet in a bucket. Small buckets are paired; of large ones all members are compared with one leader, then
-with a leader from outside its class, and what is still in different classes is compared in full. Classes are the connected components of
-verified pairs, so a pair is left out only if its documents are in one class already.
+with a leader from outside its class. What is still in different classes is joined by differences: large buckets in which
+one class leads become one group around a centre (what its most linked document and some documents like it have in common), each member is described by the shingles it lacks of the centre and those it has
+beyond it, and two members far from the centre can only be similar if these differences overlap by a known count, so that they share an
+element of a prefix (see ``differences``). Classes are the connected components of verified pairs, so a pair is left out only if its
+documents are in one class already or provably too far apart.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import digest, stored
@@ -27,6 +31,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 SMALL_BUCKET = 8
+#: Documents that make up a centre.
+SAMPLE = 15
+#: Members of a group that tell which shingles are common in it.
+DRAWN = 64
 
 
 def shingles(words: np.ndarray, per_doc: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +183,70 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("__a", "__b", "__x", "__y").mapInArrow(overlap, "__a long, __b long")
 
 
+def consensus(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """``__c, __y``: the shingles that more than half of the (at most ``SAMPLE``) documents ``__id`` given for a ``__centre`` hold."""
+
+    def majority(rows: pd.DataFrame) -> pd.DataFrame:
+        names, held = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["__set"]]), return_counts=True)
+        return pd.DataFrame({"__c": rows["__centre"].iloc[:1], "__y": [names[2 * held > len(rows)].tobytes()]})
+
+    own = sets.withColumnRenamed("__id", "__i")
+    return near.join(own, F.col("__id") == F.col("__i")).select("__centre", "__set").groupBy("__centre").applyInPandas(majority, "__c long, __y binary")
+
+
+def differences(members: DataFrame, centres: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """What members of a group have to share with each other, given how they differ from the group's centre.
+
+    ``members`` has ``__id, __n, __centre``; added are the lists ``__index``, ``__probe``, and ``__best`` where a link to that document is proven.
+    Let a member lack ``d`` shingles of the centre's ``c``, have ``u`` others, and weigh ``w = d + s * u``. Two members are similar
+    if and only if their differences overlap by ``(w1 + w2 - (1 - s) * c) / (1 + s)`` or more. The lightest member of the group,
+    ``__best``, is therefore similar to all members that make up ``(1 - s) * c`` with it or less; the others are far. A far member
+    overlaps by more than ``(w - w(best)) / (1 + s)`` of any partner's difference. In an order that all members of the group share
+    (shingles beyond the centre first, rare before common), similar members then have a common element among the first ``size - overlap + 1`` of both.
+    ``__w``, ``__size`` (``c``) and ``__whole`` (``d + u``) are added for that count.
+    ``__index`` is that prefix against any far partner, ``__probe`` that of a far member against anyone.
+
+    A member with many shingles beyond the centre has a shorter way: similar sets of ``n`` elements have a common one among their first
+    ``n - ceil(s * n) + 1``, here all beyond the centre. It probes with these, and all members have theirs in ``__index``.
+    The centre, and the sample of ``DRAWN`` far members that tells common shingles, decide how much is compared, never the result.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for x, y in zip(batch.column("__x"), batch.column("__y"), strict=True):
+                own, centre = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                parts.append((np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True), len(centre)))
+            ends = np.cumsum([0, *(len(u) + len(d) for u, d, _ in parts)], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *(half for u, d, _ in parts for half in (np.sort(u), np.sort(d)))])
+            counts = [pa.array([x[0].size for x in parts], pa.int32()), pa.array([x[1].size for x in parts], pa.int32()), pa.array([x[2] for x in parts], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__n"), batch.column("__centre"), *counts, pa.ListArray.from_arrays(ends, flat.view(np.int64))], names=["__id", "__n", "__centre", "__u", "__d", "__size", "__apart"])
+
+    own = sets.withColumnsRenamed({"__id": "__i", "__set": "__x"})
+    both = members.join(own, F.col("__id") == F.col("__i")).join(centres, F.col("__centre") == F.col("__c"))
+    rows = both.select("__id", "__n", "__centre", "__x", "__y").mapInArrow(compare, "__id long, __n long, __centre long, __u int, __d int, __size int, __apart array<long>")
+    rows = stored(rows.withColumn("__w", F.col("__d") + similarity * F.col("__u")), "apart")
+    best = rows.groupBy(F.col("__centre").alias("__g")).agg(F.min("__w").alias("__low"), F.min_by("__id", F.struct("__w", "__id")).alias("__best"))
+    rows = rows.join(best, F.col("__centre") == F.col("__g")).drop("__g")
+    # shingles that many far members have stand behind the rarer ones
+    far = rows.filter(F.col("__w") + F.col("__low") > (1 - similarity) * F.col("__size")).select(F.col("__centre").alias("__g"), F.col("__id").alias("__i"))
+    drawn = far.withColumn("__k", F.row_number().over(Window.partitionBy("__g").orderBy(F.xxhash64("__i"), "__i"))).filter(F.col("__k") <= DRAWN).drop("__k")
+    drawn = rows.join(drawn, (F.col("__centre") == F.col("__g")) & (F.col("__id") == F.col("__i"))).select("__g", F.explode(F.slice("__apart", F.lit(1), F.col("__u"))).alias("__e"))
+    common = drawn.groupBy("__g", "__e").count().filter("count > 2").groupBy("__g").agg(F.collect_list("__e").alias("__common"))
+    rows = rows.join(common, F.col("__centre") == F.col("__g"), "left").withColumn("__common", F.coalesce("__common", F.array().cast("array<long>")))
+    beyond, lacked = F.slice("__apart", F.lit(1), F.col("__u")), F.slice("__apart", F.col("__u") + 1, F.col("__d"))
+    rows = rows.withColumn("__apart", F.concat(F.array_except(beyond, "__common"), F.array_intersect(beyond, "__common"), lacked))
+    # rounding errors may only lower the overlap that is asked for
+    excess = F.col("__w") + F.col("__low") - (1 - similarity) * F.col("__size")
+    near, whole = excess <= 1e-9, F.size("__apart")
+    first = (F.col("__n") - F.ceil(similarity * F.col("__n") - 1e-9) + 1).cast("int")
+    to_far = F.floor((F.col("__w") - F.col("__low")) / (1 + similarity) - 1e-9).cast("int") + 1
+    to_any = F.ceil(excess / (1 + similarity) - 1e-9).cast("int")
+    index = F.when(F.col("__u") >= first, first).otherwise(F.greatest("__u", whole - F.greatest(F.lit(1), to_far) + 1))
+    probe = F.when(near, 0).when(F.col("__u") >= first, first).otherwise(F.greatest(F.lit(0), whole - F.greatest(F.lit(1), to_any) + 1))
+    return rows.select("__id", "__centre", "__w", "__size", F.size("__apart").alias("__whole"), F.when(near, F.col("__best")).alias("__best"), F.slice("__apart", F.lit(1), index).alias("__index"), F.slice("__apart", F.lit(1), probe).alias("__probe"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``__id, __class`` (least id) of the connected components of ``__a, __b`` edges, by large-star and small-star rounds."""
     now = stored(edges.select(F.greatest("__a", "__b").alias("__u"), F.least("__a", "__b").alias("__v")).filter("__u != __v").distinct(), "edges")
@@ -233,21 +305,40 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         new = new.join(asked.withColumnsRenamed({"__a": "__p", "__b": "__q"}), (F.col("__a") == F.col("__p")) & (F.col("__b") == F.col("__q")), "left_anti")
         return stored(edges.union(verified(new.distinct(), sets, similarity)), "verified")
 
-    for last in (False, True):
+    def mixed() -> DataFrame:
+        """The members of large buckets that still hold more than one class."""
         rows = classed(large)
-        mixed = rows.groupBy("__bucket").agg(F.min("__class").alias("__low"), F.max("__class").alias("__high")).filter("__low < __high").withColumnRenamed("__bucket", "__k")
-        rows = stored(rows.join(mixed, F.col("__bucket") == F.col("__k")).drop("__k"), "mixed")
-        if rows.isEmpty():
-            break
-        if last:  # whatever is still in different classes of one bucket
-            them = rows.select(F.col("__bucket").alias("__k"), F.col("__id").alias("__other"), F.col("__n").alias("__on"), F.col("__class").alias("__oc"))
-            new = rows.join(them, (F.col("__bucket") == F.col("__k")) & (F.col("__class") < F.col("__oc"))).filter(near).select(*pair)
-        else:  # the first member outside the leader's class leads now
-            home = rows.filter(F.col("__id") == F.col("__leader")).select(F.col("__bucket").alias("__k"), F.col("__class").alias("__home"))
-            outside = rows.join(home, F.col("__bucket") == F.col("__k")).filter("__class != __home").groupBy("__bucket").agg(F.min("__id").alias("__second")).withColumnRenamed("__bucket", "__k")
-            led = rows.join(outside, F.col("__bucket") == F.col("__k")).drop("__k").withColumn("__leader", F.col("__second"))
-            new = with_leader(led).filter("__class != __leader_class").select(*pair)
-        edges = ask(new)
+        more = rows.groupBy("__bucket").agg(F.min("__class").alias("__low"), F.max("__class").alias("__high")).filter("__low < __high").withColumnRenamed("__bucket", "__k")
+        return stored(rows.join(more, F.col("__bucket") == F.col("__k")).drop("__k"), "mixed")
+
+    rows = mixed()
+    if not rows.isEmpty():  # the first member outside the leader's class leads now
+        home = rows.filter(F.col("__id") == F.col("__leader")).select(F.col("__bucket").alias("__k"), F.col("__class").alias("__home"))
+        outside = rows.join(home, F.col("__bucket") == F.col("__k")).filter("__class != __home").groupBy("__bucket").agg(F.min("__id").alias("__second")).withColumnRenamed("__bucket", "__k")
+        led = rows.join(outside, F.col("__bucket") == F.col("__k")).drop("__k").withColumn("__leader", F.col("__second"))
+        edges = ask(with_leader(led).filter("__class != __leader_class").select(*pair))
+        classes = stored(components(edges), "classes")
+        rows = mixed()
+    if not rows.isEmpty():  # whatever is still in different classes, in one group per class that leads in a bucket
+        links = edges.union(edges.select("__b", "__a")).groupBy("__a").agg(F.count(F.lit(1)).alias("__links"))
+        best = F.max_by("__id", F.struct(F.coalesce("__links", F.lit(0)), -F.col("__id"))).alias("__centre")
+        centres = classes.join(links, F.col("__id") == F.col("__a"), "left").groupBy("__class").agg(best).withColumnRenamed("__class", "__c")
+        leads = rows.groupBy("__bucket", "__class").agg(F.count(F.lit(1)).alias("__size")).groupBy("__bucket").agg(F.max_by("__class", F.struct("__size", -F.col("__class"))).alias("__lead"))
+        home = leads.join(centres, F.col("__lead") == F.col("__c"), "left").select(F.col("__bucket").alias("__k"), F.coalesce("__centre", "__lead").alias("__centre"))
+        group = rows.join(home, F.col("__bucket") == F.col("__k")).select("__centre", "__id", "__n", "__class").distinct()
+        centre = group.select("__centre").distinct()
+        beside = edges.union(edges.select("__b", "__a")).distinct().join(centre, F.col("__a") == F.col("__centre")).select("__centre", F.col("__b").alias("__id"))
+        beside = beside.withColumn("__k", F.row_number().over(Window.partitionBy("__centre").orderBy("__id"))).filter(F.col("__k") < SAMPLE).drop("__k")
+        centres = consensus(beside.union(centre.select("__centre", "__centre")), sets)
+        apart = differences(group.select("__id", "__n", "__centre"), centres, sets, similarity).withColumnsRenamed({"__id": "__i", "__centre": "__g"})
+        group = stored(group.join(apart, (F.col("__id") == F.col("__i")) & (F.col("__centre") == F.col("__g"))).drop("__i", "__g"), "differences")
+        probe = group.select("__centre", "__id", "__n", "__class", "__w", "__size", "__whole", F.posexplode("__probe").alias("__at", "__element"))
+        index = group.select(F.col("__centre").alias("__g"), F.col("__id").alias("__other"), F.col("__n").alias("__on"), F.col("__class").alias("__oc"), F.col("__w").alias("__ow"), F.col("__whole").alias("__all"), F.posexplode("__index").alias("__oat", "__e"))
+        # no more than the elements from the first common one on can be shared
+        enough = (1 + similarity) * F.least(F.col("__whole") - F.col("__at"), F.col("__all") - F.col("__oat")) >= F.col("__w") + F.col("__ow") - (1 - similarity) * F.col("__size") - 1e-9
+        new = probe.join(index, (F.col("__centre") == F.col("__g")) & (F.col("__element") == F.col("__e")) & (F.col("__class") != F.col("__oc")) & enough & near).select(*pair)
+        new = stored(new.distinct(), "candidates")
+        edges = ask(new).union(group.filter("__id != __best").select(F.least("__id", "__best").alias("__a"), F.greatest("__id", "__best").alias("__b")))
         classes = stored(components(edges), "classes")
 
     firsts = signs.select("__id", "__h1", "__h2").join(owner, (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))).select("__id", "__first")

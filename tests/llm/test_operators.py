@@ -235,6 +235,30 @@ def test_near_classes_equal_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_buckets_equal_brute_force(spark, seed):
+    """Copies of a base with up to many edits, of which most are not similar to it; every bucket of more than two is a large one."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(2):
+        base = [f"g{g}w{k}" for k in range(70)]
+        other = base[:50] + [f"g{g}v{k}" for k in range(20)]
+        for k in range(45):
+            words = (base if k % 3 else other).copy()
+            for _ in range(rng.randint(0, 7)):
+                at = rng.randrange(60)
+                words[at : at + rng.choice([0, 1, 1])] = [f"n{rng.randrange(2)}"] * rng.choice([0, 1, 1])
+            texts.append(" ".join(words))
+    parent = list(range(len(texts)))
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if similarity(texts[i], texts[j]) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    got = {r.doc_id: r.class_id for r in minhash.near_report(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), small=2).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     words = rng.integers(1, 2**62, 300, dtype=np.uint64)
