@@ -357,3 +357,40 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert ids and len(ids) == len(set(ids))
+
+
+@pytest.mark.parametrize(("classes", "small"), [(line_dedup.WORD_CLASSES, 32), (line_dedup.WORD_CLASSES, 3), (((4, 7, 1), (7, 99, 2)), 3)])
+def test_long_lines_by_words_equal_brute_force(spark, classes, small):
+    rng = random.Random(small)
+    sizes = [5, 6, 7, 9] if classes[0][0] == 4 else [20, 30, 59, 60, 70]
+    base = [[rng.choice(["alpha", "beta", "gamma", "delta7", "é"]) for _ in range(rng.choice(sizes))] for _ in range(8)]
+    lines = []
+    for _ in range(120):
+        words = rng.choice(base).copy()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = rng.choice([[], ["changed"], [f"n{rng.randint(0, 99)}"]])
+        lines.append(" ".join(words))
+
+    def near(a, b):
+        x, y = a.split(" "), b.split(" ")
+        most = [t for low, high, t in classes if low <= min(len(x), len(y)) < high]
+        return distance(a, b) <= 1 or bool(most) and distance(x, y) <= most[0]
+
+    seen, want = [], {}
+    for i, line in enumerate(lines):
+        if len(line) >= 20 and line not in seen:
+            want[i] = (0, int(any(near(line, s) for s in seen)))
+        else:
+            want[i] = (int(len(line) >= 20), 0)
+        seen += [line] if len(line) >= 20 else []
+    got = {r.doc_id: (r.n_exact, r.n_near) for r in line_dedup.line_report(docs(spark, list(zip(range(len(lines)), lines, ["a"] * len(lines)))), small=small, word_classes=classes).collect()}
+    assert got == want
+
+
+def test_line_stage_removes_a_long_line_with_one_changed_word(spark):
+    words = [f"word{k}" for k in range(80)]
+    other = [*words[:40], "replacement", *words[41:79], "42"]
+    rows = [(1, " ".join(words), "a"), (2, " ".join(other) + "\nanother line of this document that nobody repeats", "a")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_stage(docs(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "another line of this document that nobody repeats"
