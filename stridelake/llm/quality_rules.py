@@ -12,6 +12,8 @@ MAX_REPEAT_PERCENT = 50
 #: A line is boilerplate of its host if at least so many documents there, and this share of them, hold it.
 MIN_LINE_DOCS = 10
 MIN_LINE_SHARE = 0.10
+#: In the pipeline only the number of documents counts: a share would rise with the host.
+STAGE_LINE_SHARE = 0.0
 #: A document is depleted if more than this share of its words stood in boilerplate lines.
 MAX_REMOVED_SHARE = 0.5
 
@@ -70,6 +72,8 @@ def boilerplate(docs: DataFrame, host: str = "source", min_docs: int = MIN_LINE_
     texts = docs.filter("text is not null").select(F.col(host).alias("__h"), digest(F.col("text"), seed=5).alias("__text"))
     hosts = texts.groupBy("__h", "__text").agg(F.lit(1).alias("__one")).groupBy("__h").agg(F.count(F.lit(1)).alias("__host_docs"))
     above = held.filter(F.col("__docs") >= min_docs)
+    if min_share <= 0:
+        return above.select("__host", "__key")
     return above.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).filter(F.col("__docs") >= min_share * F.col("__host_docs")).select("__host", "__key")
 
 
@@ -95,9 +99,21 @@ def quality_report(docs: DataFrame, host: str = "source", **limits) -> DataFrame
     return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("__removed_words").alias("n_removed_words"), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-def quality_stage(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The kept documents without their boilerplate lines; same columns."""
-    out = stored(judge(docs, host, **limits), "judged").filter("__kept")  # pushed into the counts, the filter would repeat their expressions many times over
+def _last_holders(judged: DataFrame, host: str) -> DataFrame:
+    """``__whole``: of every removed line that no kept document of its host holds, the first depleted document with it.
+
+    Near copies of one text deplete each other; so one of them stays.
+    """
+    held = judged.filter(~F.col("__base_failed") & (F.size("__gone") > 0))
+    held = held.select("doc_id", F.col(host).alias("__host"), "__kept", F.explode("__gone").alias("__key"))
+    lost = held.groupBy("__host", "__key").agg(F.max("__kept").alias("__any"), F.min("doc_id").alias("__whole")).filter(~F.col("__any") & F.col("__whole").isNotNull())
+    return lost.select("__whole").distinct()
+
+
+def quality_stage(docs: DataFrame, host: str = "source", min_share: float = STAGE_LINE_SHARE, **limits) -> DataFrame:
+    """The kept documents without their boilerplate lines, and whole the depleted ones that alone hold lines (see ``_last_holders``); same columns."""
+    judged = stored(judge(docs, host, min_share=min_share, **limits), "judged")  # pushed into the counts, the filter would repeat their expressions many times over
+    out = judged.join(_last_holders(judged, host), F.col("doc_id") == F.col("__whole"), "left").filter(F.col("__kept") | F.col("__whole").isNotNull() & ~F.col("__base_failed"))
     stays = lambda line: ~line.rlike("[^ \\t-\\r]") | ~F.array_contains("__gone", digest(_normal(line), seed=3))
-    text = F.when(F.size("__gone") > 0, F.array_join(F.filter(F.split("text", "\n"), stays), "\n")).otherwise(F.col("text"))
+    text = F.when(F.col("__kept") & (F.size("__gone") > 0), F.array_join(F.filter(F.split("text", "\n"), stays), "\n")).otherwise(F.col("text"))
     return out.withColumn("text", text).select(*docs.columns)

@@ -394,3 +394,15 @@ def test_line_stage_removes_a_long_line_with_one_changed_word(spark):
     rows = [(1, " ".join(words), "a"), (2, " ".join(other) + "\nanother line of this document that nobody repeats", "a")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_stage(docs(spark, rows)).collect()}
     assert got[1] == rows[0][1] and got[2] == "another line of this document that nobody repeats"
+
+
+def test_stage_limit_does_not_rise_with_the_host_and_one_near_copy_stays(spark):
+    letters = lambda n: chr(97 + n // 26) + chr(97 + n % 26)
+    own = lambda i: " ".join(letters(i) + letters(j) for j in range(60))
+    boiler = "all rights of this page are with the host that shows it to you here"
+    rows = [(i, f"{boiler}\n{own(i)}" if i < 12 else own(i), "h") for i in range(300)]
+    shared = [" ".join(f"shared{letters(20 * k + j)}" for j in range(20)) for k in range(5)]
+    rows += [(1000 + i, "\n".join([*shared, f"the copy that has the mark m{chr(97 + i)}"]), "h") for i in range(15)]
+    got = {r.doc_id: r.text for r in quality_rules.quality_stage(docs(spark, rows)).collect()}
+    assert all(got[i] == own(i) for i in range(300))
+    assert [i for i in got if i >= 1000] == [1000] and got[1000] == rows[300][1]
