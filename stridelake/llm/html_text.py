@@ -2,8 +2,9 @@
 
 Every block of text has the path of block-level tags from the root. Per path, text length and punctuation are averaged over its
 blocks and fused; the scores are smoothed along the page, and paths whose blocks score above a share of the page's spread
-hold content. The main text is everything in the element that holds most of the content blocks, but for parts that are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
+hold content. The main text is everything in the article or main element that holds most of the content blocks, else in the
+innermost element that holds all of them, but for parts that are menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or comments.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture map area".split())
 DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video nav header footer aside form button select textarea input dialog menu".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Words in class, id or role that mark what isn't the article.
+#: Words that mark, if a class, id or role has no others,  what isn't the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead header notice notices cookie cookies consent popup modal newsletter subscribe share sharing social related comment comments commentlist respond reply replies disqus toolbar pagination pager search login contentinfo complementary".split())
 CLOSES_P = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag ends open elements of these kinds, up to the given ancestors.
@@ -39,9 +40,16 @@ ENDS = {
 HOLDERS = frozenset(("article", "main"))
 #: Marks on these tell of the page's layout, not of a part to leave out.
 WHOLE = HOLDERS | {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: The id of these is often a slug of their heading.
+SLUGGED = frozenset(("section",))
+#: Elements of one kind of text, which may stand amid the article, but don't hold it whole.
+PARTS = HEADINGS | frozenset("p ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption address details summary".split())
+#: Such text next to an element belongs to the same article.
+PROSE = HEADINGS | {"p"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
-_MARKING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_MARKING = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 _SIGMA, _RADIUS, _SHARE = 1.0, 2, 0.5
 
@@ -51,12 +59,17 @@ class Block:
     path: tuple[str, ...]
     holders: tuple[int, ...]
     dropped: bool
+    marks: tuple[int, ...]
     text: str
 
 
-def _marked(attributes: str) -> bool:
+def _marked(tag: str, attributes: str) -> bool:
+    """Whether all words of a class, id or role are marks."""
     for m in _MARKING.finditer(attributes):
-        if not MARKS.isdisjoint(re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())):
+        if m[1].lower() == "id" and tag in SLUGGED:
+            continue
+        words = [w for w in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()) if w]
+        if words and MARKS.issuperset(words):
             return True
     return False
 
@@ -64,7 +77,7 @@ def _marked(attributes: str) -> bool:
 def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     """The text blocks in page order, and the tag of every element that can hold some."""
     tags: dict[int, str] = {0: ""}
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     out: list[Block] = []
     pieces: list[str] = []
     serial, at = 0, 0
@@ -74,7 +87,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
         pieces.clear()
         if text:
             level = [x for x in stack if x[0] not in INLINE]
-            out.append(Block(tuple(x[0] for x in level), tuple(x[1] for x in level), any(x[2] for x in stack), text))
+            out.append(Block(tuple(x[0] for x in level), tuple(x[1] for x in level), any(x[2] for x in stack), tuple(x[1] for x in stack if x[3]), text))
 
     def close(upto: int) -> None:
         if any(x[0] not in INLINE for x in stack[upto:]):
@@ -102,7 +115,8 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
         if tag == "br":
             pieces.append("\n")
             continue
-        drop = tag in DROPPED or tag not in WHOLE and _marked(m[3])
+        drop = tag in DROPPED
+        mark = not drop and tag not in WHOLE and tag not in HEADINGS and _marked(tag, m[3])
         if tag not in INLINE:
             if tag in CLOSES_P:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
@@ -116,7 +130,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
                     if stack[k][0] in kinds:
                         close(k)
             flush()
-        elif drop:
+        elif drop or mark:
             flush()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
@@ -126,7 +140,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             continue
         serial += 1
         tags[serial] = tag
-        stack.append((tag, serial, drop))
+        stack.append((tag, serial, drop, mark))
     flush()
     return out, tags
 
@@ -155,24 +169,50 @@ def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
     return {p for p, s in by_path.items() if np.mean(s) >= limit and scores[p] >= 0.1 * best}
 
 
+def _unmarked(found: list[Block], tags: dict[int, str]) -> list[Block]:
+    """The blocks outside marked elements; a mark on what holds an article or all content blocks tells nothing."""
+    if not any(b.marks for b in found):
+        return found
+    paths = content_paths(found)
+    content = [b.holders for b in found if b.path in paths]
+    wrappers: set[int] = set()
+    for b in found:
+        last = max((k for k, h in enumerate(b.holders) if tags[h] in HOLDERS), default=0)
+        wrappers.update(b.holders[:last])
+    wrappers |= {m for b in found for m in b.marks if all(m in holders for holders in content)}
+    return [b for b in found if wrappers.issuperset(b.marks)]
+
+
+def _holder(found: list[Block], tags: dict[int, str]) -> int:
+    """The element that holds the article."""
+    paths = content_paths(found)
+    content = [b for b in found if b.path in paths]
+    held: dict[int, int] = defaultdict(int)
+    for b in content:
+        for h in b.holders:
+            held[h] += len(b.text)
+    whole = [h for h, n in held.items() if tags[h] in HOLDERS and n >= 0.6 * held[0]]
+    if whole:
+        return min(whole)  # elements are numbered in page order, so the outermost is first
+    chain = list(content[0].holders)
+    for b in content:
+        chain = [h for h, x in zip(chain, b.holders, strict=False) if h == x]
+    while len(chain) > 1:
+        around = any(b.holders[-2:-1] == (chain[-2],) and b.holders[-1] != chain[-1] and b.path[-1] in PROSE for b in found)
+        if tags[chain[-1]] not in PARTS and not around:
+            break
+        chain.pop()
+    return chain[-1]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by empty lines; empty if there is none."""
     found, tags = blocks(page or "")
     found = [b for b in found if not b.dropped]
+    found = _unmarked(found, tags) if found else []
     if not found:
         return ""
-    paths = content_paths(found)
-    held: dict[int, int] = defaultdict(int)
-    for b in found:
-        if b.path in paths:
-            for h in b.holders:
-                held[h] += len(b.text)
-    total = held[0]
-    holder = max(h for h, n in held.items() if n >= 0.6 * total)  # elements are numbered in page order, so the innermost is last
-    chain = next(b.holders[: b.holders.index(holder) + 1] for b in found if holder in b.holders)
-    holder = next((h for h in chain if tags[h] in HOLDERS), holder)
-    if tags[holder] not in HOLDERS and tags[holder] in ("p", "h1", "h2", "h3", "li", "blockquote"):
-        holder = chain[-2]
+    holder = _holder(found, tags)
     return "\n\n".join(b.text for b in found if holder in b.holders)
 
 

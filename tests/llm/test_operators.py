@@ -406,3 +406,20 @@ def test_stage_limit_does_not_rise_with_the_host_and_one_near_copy_stays(spark):
     got = {r.doc_id: r.text for r in quality_rules.quality_stage(docs(spark, rows)).collect()}
     assert all(got[i] == own(i) for i in range(300))
     assert [i for i in got if i >= 1000] == [1000] and got[1000] == rows[300][1]
+
+
+@pytest.mark.parametrize("big", ["<ul>{}</ul>", "<ol>{}</ol>", "<table>{}</table>", "<dl>{}</dl>", "<pre>{}</pre>", "<section>{}</section>", "<div>{}</div>"])
+def test_main_text_keeps_what_stands_around_a_large_part(big):
+    rows = {"<ul>": "<li>", "<ol>": "<li>", "<dl>": "<dd>", "<table>": "<tr><td>"}
+    inner = "".join(f"{rows.get(big.split('{')[0], '<p>' if big[1] in 'sd' else '')}Entry {k}, which has quite a few words, and more of them." for k in range(12))
+    page = f"<body><nav>menu</nav><div><h1>Title</h1><p>The intro, of some words.</p>{big.format(inner)}<p>The closing words, at the end.</p></div><footer>foot</footer></body>"
+    got = html_text.main_text(page)
+    assert got.startswith("Title\n\nThe intro, of some words.") and got.endswith("The closing words, at the end.") and "Entry 11" in got and "menu" not in got and "foot" not in got
+
+
+def test_marks_do_not_drop_content():
+    text = "<p>Some text of the page, in full.</p>"
+    for wrapper in ('<div id=page class="has-sidebar">{}</div>', '<div class="navigation">{}</div>', '<div class=banner><article>{}</article></div>', '<div class="page-header">{}</div>', '<section id="search">{}</section>'):
+        assert "Some text of the page, in full." in html_text.main_text(f"<body>{wrapper.format(text)}<div>tiny</div></body>"), wrapper
+    page = '<body><div><h2 id="related-work">Related work</h2><p>One text, with words.</p><section id="search"><h2>Search</h2><p>Second text, with words.</p></section><div class="page-header"><p>Third text, with words.</p></div><div class="nav-menu ad"><p>Buy this, and that.</p></div></div></body>'
+    assert html_text.main_text(page) == "Related work\n\nOne text, with words.\n\nSearch\n\nSecond text, with words.\n\nThird text, with words."
