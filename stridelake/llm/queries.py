@@ -24,7 +24,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read_tokens(token_files.write_tokens(read_table(spark, sf_dir, "documents"), LIBRARY_VOCABULARY))
+    return token_files.read_tokens(token_files.write_tokens(read_table(spark, sf_dir, "documents"), LIBRARY_VOCABULARY, with_added=True))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

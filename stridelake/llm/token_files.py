@@ -7,6 +7,8 @@ files (the manifest) names those of the tasks that counted, and prefix sums over
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -53,18 +55,44 @@ def _store(vocabulary: str) -> PieceStore:
     return _stores[key]
 
 
-def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) -> DataFrame:
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of a tokenizers JSON file (given as text), by content."""
+    found = json.loads(vocabulary).get("added_tokens") or []
+    if any(t[k] for t in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that are matched to the letter are known")
+    return {t["content"]: t["id"] for t in found}
+
+
+def encoded(store: PieceStore, texts: list[str | None], added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in order, and how many each text has; texts are cut at the ``added`` tokens first."""
+    texts = ["" if t is None else t for t in texts]
+    if not any(a in t for a in added for t in texts):
+        return store.texts(texts)
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [cut.split(t) for t in texts]  # every second one is an added token
+    flat, n = store.texts([x for p in parts for x in p[::2]])
+    ends = np.cumsum(n)
+    own = np.cumsum([len(p[::2]) for p in parts])
+    inner = np.ones(len(n), bool)
+    inner[own - 1] = False
+    ids = np.insert(flat, ends[inner], [added[x] for p in parts for x in p[1::2]])
+    return ids, np.diff(ends[own - 1], prepend=0) + np.array([len(p) // 2 for p in parts])
+
+
+def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, with_added: bool = False) -> DataFrame:
     """Write the files; the manifest: ``part, path, width, n_docs, n_tokens, base``.
 
     Null text counts as empty (only the end id). Null ids come first. Rows that repeat an id follow each other.
-    An empty table gives an empty manifest. ``vocabulary_path`` is read on the driver; its text (a fixed file) goes to the tasks.
+    An empty table gives an empty manifest. With ``with_added``, the contents of the file's added tokens in a text become
+    their ids, as by the library's default settings; else they are split like other text. ``vocabulary_path`` is read on the driver; its text (a fixed file) goes to the tasks.
     """
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:
         text = f.read()
     from tokenizers import Tokenizer
 
-    width = 2 if max(Tokenizer.from_str(text).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    added = added_tokens(text) if with_added else {}
+    width = 2 if max(Tokenizer.from_str(text).get_vocab_size(), end_id + 1, *(i + 1 for i in added.values())) <= 1 << 16 else 4
     vocabulary = spark.sparkContext.broadcast(text)
     root = new_path(spark, "tokens")
 
@@ -80,7 +108,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) ->
             if out is None and texts:
                 out = store_fs.open_output_stream(f"{name}.tmp")
             for a, b in portions([len(t or "") for t in texts]):
-                flat, n = store.texts(texts[a:b])
+                flat, n = encoded(store, texts[a:b], added)
                 ends = np.cumsum(n)
                 out.write(np.insert(flat, ends, end_id).astype(f"<u{width}").tobytes())
                 counts.append(n + 1)

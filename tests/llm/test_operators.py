@@ -423,3 +423,20 @@ def test_marks_do_not_drop_content():
         assert "Some text of the page, in full." in html_text.main_text(f"<body>{wrapper.format(text)}<div>tiny</div></body>"), wrapper
     page = '<body><div><h2 id="related-work">Related work</h2><p>One text, with words.</p><section id="search"><h2>Search</h2><p>Second text, with words.</p></section><div class="page-header"><p>Third text, with words.</p></div><div class="nav-menu ad"><p>Buy this, and that.</p></div></div></body>'
     assert html_text.main_text(page) == "Related work\n\nOne text, with words.\n\nSearch\n\nSecond text, with words.\n\nThird text, with words."
+
+
+def test_op3_equals_the_library_at_its_default_settings(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.LIBRARY_VOCABULARY)
+    end = "<|endoftext|>"
+    assert library.encode(f"a {end} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = random.Random(7)
+    texts = [f"a {end} b", end, end * 3, f" {end}", f"{end} it's", "", "plain", "<|endoftext|", *(end.join(nasty(rng.randint(1, 4), k)) for k in range(50))]
+    docs(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(len(texts), None, "a")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_token_files(spark, str(tmp_path)).collect()}
+    at = 0
+    for i, text in enumerate([*texts, ""]):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
