@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import digest, stored
+from .shared import discard, packed, row_key, same_row, stored
 from .wordhash import GOLDEN, SPACED, mix, portions, word_hashes
 
 SHINGLE = 5
@@ -123,7 +123,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """``__id, __n`` (shingles with repeats) and ``__bands`` keys of every document with a word."""
+    """Row key, ``__n`` (shingles with repeats) and ``__bands`` keys (none without a word) of every row."""
     schema = pa.schema([("__id", pa.int64()), ("__h1", pa.int64()), ("__h2", pa.int64()), ("__n", pa.int64()), ("__bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +133,12 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                 words, per_doc = word_hashes(texts[a:b], SPACED)
                 out, own = shingles(words, per_doc, width)
                 sig = bag_signatures(*weighted(out, own), b - a, bands * rows)
-                some = np.flatnonzero(per_doc)
-                keys = band_keys(sig[some], bands, rows)
-                n = np.bincount(own, minlength=b - a)[some]
-                pick = pa.array(some)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a).take(pick) for c in ("__id", "__h1", "__h2")], pa.array(n), pa.ListArray.from_arrays(np.arange(len(some) + 1) * bands, keys.ravel())], schema=schema)
+                keys = band_keys(sig[per_doc > 0], bands, rows)
+                ends = np.cumsum(np.where(per_doc > 0, bands, 0), dtype=np.int32)
+                lists = pa.ListArray.from_arrays(np.concatenate((np.zeros(1, np.int32), ends)), keys.ravel())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("__id", "__h1", "__h2")], pa.array(np.bincount(own, minlength=b - a)), lists], schema=schema)
 
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("__id"), digest(F.col("text"), seed=31).alias("__h1"), digest(F.col("text"), seed=37).alias("__h2"), "text")
-    return rows_in.mapInArrow(sign, "__id long, __h1 long, __h2 long, __n long, __bands array<long>")
+    return docs.select(*row_key(), "text").mapInArrow(sign, "__id long, __h1 long, __h2 long, __n long, __bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -178,8 +176,9 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(common >= similarity * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column("__a"), batch.column("__b")], names=["__a", "__b"]).filter(pa.array(keep, pa.bool_()))
 
+    # sets grow with the corpus: joined by shuffle at every size; the left document may be the leader of many pairs, so it comes last
     left, right = sets.withColumnsRenamed({"__id": "__i", "__set": "__x"}), sets.withColumnsRenamed({"__id": "__j", "__set": "__y"})
-    both = pairs.join(left, F.col("__a") == F.col("__i")).join(right, F.col("__b") == F.col("__j"))
+    both = pairs.join(right.hint("merge"), F.col("__b") == F.col("__j")).join(left.hint("merge"), F.col("__a") == F.col("__i"))
     return both.select("__a", "__b", "__x", "__y").mapInArrow(overlap, "__a long, __b long")
 
 
@@ -248,39 +247,51 @@ def differences(members: DataFrame, centres: DataFrame, sets: DataFrame, similar
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``__id, __class`` (least id) of the connected components of ``__a, __b`` edges, by large-star and small-star rounds."""
+    """``__id, __class`` (least id) of the connected components of ``__a, __b`` edges, by large-star and small-star rounds.
+
+    Least neighbours are stored before they are joined to a node's edges, so that the edges of a node with very many can be split.
+    """
     now = stored(edges.select(F.greatest("__a", "__b").alias("__u"), F.least("__a", "__b").alias("__v")).filter("__u != __v").distinct(), "edges")
     if now.isEmpty():
         return now.select(F.col("__u").alias("__id"), F.col("__v").alias("__class"))
+    n = now.count()
     while True:
         # large-star: larger neighbours of each node to its least neighbour
         ways = now.union(now.select("__v", "__u"))
-        least = ways.groupBy("__u").agg(F.least(F.min("__v"), F.col("__u")).alias("__m")).withColumnRenamed("__u", "__w")
-        large = ways.join(least, F.col("__u") == F.col("__w")).filter("__v > __u").select(F.col("__v").alias("__u"), F.col("__m").alias("__v")).distinct()
+        least = stored(ways.groupBy("__u").agg(F.least(F.min("__v"), F.col("__u")).alias("__m")).withColumnRenamed("__u", "__w"), "least")
+        large = stored(ways.filter("__v > __u").join(least, F.col("__u") == F.col("__w")).select(F.col("__v").alias("__u"), F.col("__m").alias("__v")).distinct(), "large")
         # small-star: smaller neighbours and the node itself to its least neighbour
-        lows = large.groupBy("__u").agg(F.min("__v").alias("__m")).withColumnRenamed("__u", "__w")
-        small = large.join(lows, F.col("__u") == F.col("__w"))
-        small = small.filter("__v != __m").select(F.col("__v").alias("__u"), F.col("__m").alias("__v")).union(small.select("__u", F.col("__m").alias("__v"))).distinct()
-        nxt = stored(small, "edges")
-        if nxt.count() == now.count() and nxt.exceptAll(now).isEmpty():
+        lows = large.groupBy("__u").agg(F.min("__v").alias("__m"))
+        small = large.join(lows.withColumnRenamed("__u", "__w"), F.col("__u") == F.col("__w")).filter("__v != __m").select(F.col("__v").alias("__u"), F.col("__m").alias("__v")).union(lows)
+        nxt = stored(small.distinct(), "edges")
+        n_next = nxt.count()
+        same = n_next == n and nxt.exceptAll(now).isEmpty()
+        discard(least, large, now)
+        now, n = nxt, n_next
+        if same:
             break
-        now = nxt
     members = now.select(F.col("__u").alias("__id"), F.col("__v").alias("__class"))
     return members.union(members.select("__class", "__class").distinct())
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE, small: int = SMALL_BUCKET) -> DataFrame:
-    """``__id, __first, __class`` of every document with a word: the least id with its exact text, and the least of its class."""
+    """One row per row of ``docs``: its key, ``__n``, ``__first`` (least id with its exact text) and ``__rep_id, __rep_h1, __rep_h2``, the key of
+    the document that stands for its class (least id, nulls last, then text digest); the last four are null without a word."""
     signs = stored(signatures(docs, bands, rows, width), "signatures")
-    texts = signs.groupBy("__h1", "__h2").agg(F.min("__id").alias("__first"))
-    owner = texts.select(F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2"), "__first")
-    lone = signs.join(owner, (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2")) & (F.col("__id") == F.col("__first"))).dropDuplicates(["__id"])
-
-    spread = lone.select("__id", "__n", F.explode("__bands").alias("__bucket"))
-    sizes = spread.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"), F.min("__id").alias("__leader")).filter("__size > 1").withColumnRenamed("__bucket", "__k")
-    members = stored(spread.join(sizes, F.col("__bucket") == F.col("__k")).drop("__k"), "buckets")
-    texts_of = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(members.select(F.col("__id").alias("__m")).distinct(), F.col("__id") == F.col("__m"), "left_semi")
-    sets = stored(shingle_sets(texts_of, width).dropDuplicates(["__id"]), "sets")
+    texts = signs.filter("__n > 0").groupBy("__h1", "__h2").agg(F.min("__id").alias("__first"), F.first("__n").alias("__n"), F.first("__bands").alias("__bands"))
+    # the stored number names the text from here on
+    texts = stored(texts.withColumn("__id", F.monotonically_increasing_id()), "texts")
+
+    # buckets may be large: their sizes are stored first, so that the join can split them
+    spread = texts.select("__id", "__n", F.explode("__bands").alias("__bucket"))
+    sizes = stored(spread.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"), F.min("__id").alias("__leader")).filter("__size > 1").withColumnRenamed("__bucket", "__k"), "sizes")
+    members = stored(spread.join(sizes.hint("merge"), F.col("__bucket") == F.col("__k")).drop("__k"), "buckets")
+    # of copies only the row with the least id is wanted, and with the id in the key they don't meet in one task
+    wanted = texts.select("__id", F.col("__first").alias("__id_t"), F.col("__h1").alias("__h1_t"), F.col("__h2").alias("__h2_t")).join(members.select(F.col("__id").alias("__m")).distinct(), F.col("__id") == F.col("__m"), "left_semi")
+    wanted = wanted.withColumnRenamed("__id", "__node")
+    texts_of = docs.select(*row_key(), "text").join(wanted.hint("merge"), same_row("", "_t")).dropDuplicates(["__id", "__h1", "__h2"]).select(F.col("__node").alias("__id"), "text")
+    sets = stored(shingle_sets(texts_of, width), "sets")
+    discard(sizes)
 
     near = (F.least("__n", "__on") >= similarity * F.greatest("__n", "__on")) & (F.col("__id") != F.col("__other"))
     pair = [F.least("__id", "__other").alias("__a"), F.greatest("__id", "__other").alias("__b")]
@@ -293,8 +304,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
     large = members.filter(F.col("__size") > small)
     asked = stored(few.union(with_leader(large).select(*pair)).distinct(), "pairs")
+    made = [members, sets, asked]
     edges = stored(verified(asked, sets, similarity), "verified")
     classes = stored(components(edges), "classes")
+    made += [edges, classes]
 
     def classed(rows: DataFrame) -> DataFrame:
         of = classes.select(F.col("__id").alias("__c"), "__class")
@@ -303,13 +316,17 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     def ask(new: DataFrame) -> DataFrame:
         """The edges with those of ``new`` pairs that were not compared before."""
         new = new.join(asked.withColumnsRenamed({"__a": "__p", "__b": "__q"}), (F.col("__a") == F.col("__p")) & (F.col("__b") == F.col("__q")), "left_anti")
-        return stored(edges.union(verified(new.distinct(), sets, similarity)), "verified")
+        more = stored(edges.union(verified(new.distinct(), sets, similarity)), "verified")
+        made.append(more)
+        return more
 
     def mixed() -> DataFrame:
         """The members of large buckets that still hold more than one class."""
         rows = classed(large)
-        more = rows.groupBy("__bucket").agg(F.min("__class").alias("__low"), F.max("__class").alias("__high")).filter("__low < __high").withColumnRenamed("__bucket", "__k")
-        return stored(rows.join(more, F.col("__bucket") == F.col("__k")).drop("__k"), "mixed")
+        more = stored(rows.groupBy("__bucket").agg(F.min("__class").alias("__low"), F.max("__class").alias("__high")).filter("__low < __high").withColumnRenamed("__bucket", "__k"), "more")
+        out = stored(rows.join(more, F.col("__bucket") == F.col("__k")).drop("__k"), "mixed")
+        made.extend((more, out))
+        return out
 
     rows = mixed()
     if not rows.isEmpty():  # the first member outside the leader's class leads now
@@ -318,6 +335,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         led = rows.join(outside, F.col("__bucket") == F.col("__k")).drop("__k").withColumn("__leader", F.col("__second"))
         edges = ask(with_leader(led).filter("__class != __leader_class").select(*pair))
         classes = stored(components(edges), "classes")
+        made.append(classes)
         rows = mixed()
     if not rows.isEmpty():  # whatever is still in different classes, in one group per class that leads in a bucket
         links = edges.union(edges.select("__b", "__a")).groupBy("__a").agg(F.count(F.lit(1)).alias("__links"))
@@ -338,29 +356,45 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         enough = (1 + similarity) * F.least(F.col("__whole") - F.col("__at"), F.col("__all") - F.col("__oat")) >= F.col("__w") + F.col("__ow") - (1 - similarity) * F.col("__size") - 1e-9
         new = probe.join(index, (F.col("__centre") == F.col("__g")) & (F.col("__element") == F.col("__e")) & (F.col("__class") != F.col("__oc")) & enough & near).select(*pair)
         new = stored(new.distinct(), "candidates")
+        made += [group, new]
         edges = ask(new).union(group.filter("__id != __best").select(F.least("__id", "__best").alias("__a"), F.greatest("__id", "__best").alias("__b")))
         classes = stored(components(edges), "classes")
+        made.append(classes)
+
+    # the document that stands for each class
+    named = classes.select(F.col("__id").alias("__c"), "__class").join(texts, F.col("__c") == F.col("__id"))
+    stands = F.min(F.struct(F.col("__first").isNull().alias("no_id"), F.col("__first").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))).alias("__rep")
+    reps = stored(named.groupBy("__class").agg(stands).withColumnRenamed("__class", "__k"), "representatives")
+    of = classes.select(F.col("__id").alias("__c"), "__class").join(reps, F.col("__class") == F.col("__k")).select("__c", "__rep")
+    known = texts.join(of, F.col("__id") == F.col("__c"), "left")
+    own = F.struct(F.col("__first").isNull().alias("no_id"), F.col("__first").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
+    known = stored(known.select(F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2"), "__first", F.coalesce("__rep", own).alias("__rep")), "known")
+    discard(texts, reps, *made)
+    out = signs.select("__id", "__h1", "__h2", "__n").join(known, (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2")), "left")
+    return out.select("__id", "__h1", "__h2", "__n", "__first", F.col("__rep.id").alias("__rep_id"), F.col("__rep.h1").alias("__rep_h1"), F.col("__rep.h2").alias("__rep_h2"))
+
 
-    firsts = signs.select("__id", "__h1", "__h2").join(owner, (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))).select("__id", "__first")
-    of = classes.select(F.col("__id").alias("__c"), "__class")
-    return firsts.join(of, F.col("__first") == F.col("__c"), "left").select("__id", "__first", F.coalesce("__class", "__first").alias("__class"))
+def _stays() -> Column:
+    """Whether a row of ``near_classes`` stands for its class."""
+    return (F.col("__n") == 0) | F.col("__id").eqNullSafe(F.col("__rep_id")) & (F.col("__h1") == F.col("__rep_h1")) & (F.col("__h2") == F.col("__rep_h2"))
 
 
 def near_report(docs: DataFrame, **settings) -> DataFrame:
-    """One row per document: ``doc_id, class_id`` (least id of its near-duplicate class), ``first_id`` (least id with the same text) and ``kept``.
+    """One row per row: ``doc_id, class_id`` (least id of its near-duplicate class), ``first_id`` (least id with the same text) and ``kept``.
 
     Texts are the same class if a chain of pairs joins them, each of similarity 0.8 or more over multisets of five-word shingles. Words
     are runs of non-space characters; a text of one to four words is one shingle. Documents without words (null, empty, blank)
-    are alone in their class and kept. Rows that repeat a doc_id are one document. Rows without doc_id are alone and kept.
+    are alone in their class and kept. One document of each class is kept: that of least id, nulls last, then of least text digest. Rows
+    that repeat an id with different texts are different documents; rows equal in id and text are one, kept or not together. Without
+    any id in the class, ``class_id`` and ``first_id`` are null. Very long texts are read whole; an empty table gives no rows; other columns are not looked at.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = near_classes(rows.filter("doc_id is not null"), **settings).dropDuplicates(["__id"])
-    out = rows.select("doc_id").join(classes, F.col("doc_id") == F.col("__id"), "left")
-    return out.select("doc_id", F.coalesce("__class", "doc_id").alias("class_id"), F.coalesce("__first", "doc_id").alias("first_id"), (F.col("__class").isNull() | (F.col("__class") == F.col("doc_id"))).alias("kept"))
+    out = near_classes(docs.select("doc_id", "text"), **settings)
+    some = F.col("__n") > 0
+    return out.select(F.col("__id").alias("doc_id"), F.when(some, F.col("__rep_id")).otherwise(F.col("__id")).alias("class_id"), F.when(some, F.col("__first")).otherwise(F.col("__id")).alias("first_id"), _stays().alias("kept"))
 
 
 def near_stage(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each class stays (that of least id); same columns."""
-    classes = near_classes(docs.filter("doc_id is not null"), **settings)
-    gone = classes.filter("__class != __id").select("__id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti").select(*docs.columns)
+    """The documents that stand for their classes, whole (see ``near_report``, also on nulls and repeats); same columns."""
+    gone = near_classes(docs.select("doc_id", "text"), **settings).filter(~_stays()).select("__id", "__h1", "__h2").distinct()
+    gone = gone.withColumnsRenamed({"__id": "__id_g", "__h1": "__h1_g", "__h2": "__h2_g"})
+    return packed(docs).join(gone, same_row("", "_g"), "left_anti").select("__row.*")

@@ -1,32 +1,13 @@
-"""What the training-data operators share: tables in the shared folder and document columns."""
+"""What the training-data operators share: document columns and row keys. Intermediate tables are those of ``stridelake.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, new_path, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a new temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["digest", "discard", "new_path", "packed", "read_table", "row_key", "same_row", "shared_dir", "stored"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +19,21 @@ def digest(*cols: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def apply_by_id(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` left-joined (nulls equal) to one-row-per-document ``decisions`` keyed by ``__id``.
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """``__id, __h1, __h2``: what tells rows apart whose id is null or repeated. Rows equal in all three are one document."""
+    return [F.col(doc_id).cast("long").alias("__id"), digest(F.col(text), seed=31).alias("__h1"), digest(F.col(text), seed=37).alias("__h2")]
 
-    Column names of ``decisions`` must start with ``__`` so they never clash with those of ``docs``.
-    """
+
+def same_row(a: str, b: str) -> Column:
+    """Join condition of two tables whose row keys carry these suffixes (``__id`` + suffix, ...)."""
+    return F.col(f"__id{a}").eqNullSafe(F.col(f"__id{b}")) & (F.col(f"__h1{a}") == F.col(f"__h1{b}")) & (F.col(f"__h2{a}") == F.col(f"__h2{b}"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns in the struct ``__row``, next to its row key: no column's name can clash. ``select("__row.*")`` undoes it."""
+    return docs.select(F.struct("*").alias("__row"), *row_key())
+
+
+def apply_by_id(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` left-joined (nulls equal) to one-row-per-document ``decisions`` keyed by ``__id``."""
     return docs.join(decisions, docs[doc_id].eqNullSafe(decisions["__id"]), "left").drop("__id")

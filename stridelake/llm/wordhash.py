@@ -8,7 +8,6 @@ import numpy as np
 
 _rng = np.random.default_rng(20_240_801)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -19,13 +18,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def multipliers(n: int) -> np.ndarray:
+    """A random odd factor for each place of a run. (Powers of one base would let some pairs of different runs collide.)"""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 
 
-_POWERS = powers(4096)
+_FACTORS = multipliers(4096)
 
 
 def segment_hashes(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -34,7 +32,7 @@ def segment_hashes(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     first = np.cumsum(lengths) - lengths
     longest = int(lengths.max())
-    table = _POWERS if longest <= len(_POWERS) else powers(longest)
+    table = _FACTORS if longest <= len(_FACTORS) else multipliers(longest)
     place = np.arange(len(values)) - np.repeat(first, lengths)
     return mix(np.add.reduceat(values * table[place], first) + lengths.astype(np.uint64) * GOLDEN)
 
