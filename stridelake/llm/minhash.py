@@ -6,12 +6,12 @@ points of the last range count only if their weight lies below the shingle's. A
 and a process stops once its time passes the latest of these, so a signature costs little more than one draw per shingle.
 Two signatures agree at a position with a probability of the weighted Jaccard similarity.
 
-Documents that agree on a band meet in a bucket. Small buckets are paired; of large ones all members are compared with one leader, then
-with a leader from outside its class. What is still in different classes is joined by differences: large buckets in which
+Documents that agree on a band meet in a bucket. Small buckets are paired; of large ones all members are compared with one leader.
+What is still in different classes is joined by differences: large buckets in which
 one class leads become one group around a centre (what its most linked document and some documents like it have in common), each member is described by the shingles it lacks of the centre and those it has
 beyond it, and two members far from the centre can only be similar if these differences overlap by a known count, so that they share an
 element of a prefix (see ``differences``). Classes are the connected components of verified pairs, so a pair is left out only if its
-documents are in one class already or provably too far apart.
+documents are linked already or provably too far apart.
 """
 
 from __future__ import annotations
@@ -176,9 +176,9 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(common >= similarity * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column("__a"), batch.column("__b")], names=["__a", "__b"]).filter(pa.array(keep, pa.bool_()))
 
-    # sets grow with the corpus: joined by shuffle at every size; the left document may be the leader of many pairs, so it comes last
+    # the left document may be the leader of many pairs, so it comes last
     left, right = sets.withColumnsRenamed({"__id": "__i", "__set": "__x"}), sets.withColumnsRenamed({"__id": "__j", "__set": "__y"})
-    both = pairs.join(right.hint("merge"), F.col("__b") == F.col("__j")).join(left.hint("merge"), F.col("__a") == F.col("__i"))
+    both = pairs.join(right, F.col("__b") == F.col("__j")).join(left, F.col("__a") == F.col("__i"))
     return both.select("__a", "__b", "__x", "__y").mapInArrow(overlap, "__a long, __b long")
 
 
@@ -196,7 +196,7 @@ def consensus(near: DataFrame, sets: DataFrame) -> DataFrame:
 def differences(members: DataFrame, centres: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """What members of a group have to share with each other, given how they differ from the group's centre.
 
-    ``members`` has ``__id, __n, __centre``; added are the lists ``__index``, ``__probe``, and ``__best`` where a link to that document is proven.
+    ``members`` has ``__id, __n, __class, __centre``; added are the lists ``__index``, ``__probe``, and ``__best`` where a link to that document is proven.
     Let a member lack ``d`` shingles of the centre's ``c``, have ``u`` others, and weigh ``w = d + s * u``. Two members are similar
     if and only if their differences overlap by ``(w1 + w2 - (1 - s) * c) / (1 + s)`` or more. The lightest member of the group,
     ``__best``, is therefore similar to all members that make up ``(1 - s) * c`` with it or less; the others are far. A far member
@@ -219,12 +219,12 @@ def differences(members: DataFrame, centres: DataFrame, sets: DataFrame, similar
             ends = np.cumsum([0, *(len(u) + len(d) for u, d, _ in parts)], dtype=np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *(half for u, d, _ in parts for half in (np.sort(u), np.sort(d)))])
             counts = [pa.array([x[0].size for x in parts], pa.int32()), pa.array([x[1].size for x in parts], pa.int32()), pa.array([x[2] for x in parts], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__n"), batch.column("__centre"), *counts, pa.ListArray.from_arrays(ends, flat.view(np.int64))], names=["__id", "__n", "__centre", "__u", "__d", "__size", "__apart"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("__id", "__n", "__class", "__centre")], *counts, pa.ListArray.from_arrays(ends, flat.view(np.int64))], names=["__id", "__n", "__class", "__centre", "__u", "__d", "__size", "__apart"])
 
     own = sets.withColumnsRenamed({"__id": "__i", "__set": "__x"})
     both = members.join(own, F.col("__id") == F.col("__i")).join(centres, F.col("__centre") == F.col("__c"))
-    rows = both.select("__id", "__n", "__centre", "__x", "__y").mapInArrow(compare, "__id long, __n long, __centre long, __u int, __d int, __size int, __apart array<long>")
-    rows = stored(rows.withColumn("__w", F.col("__d") + similarity * F.col("__u")), "apart")
+    rows = both.select("__id", "__n", "__class", "__centre", "__x", "__y").mapInArrow(compare, "__id long, __n long, __class long, __centre long, __u int, __d int, __size int, __apart array<long>")
+    rows = apart = stored(rows.withColumn("__w", F.col("__d") + similarity * F.col("__u")), "apart")
     best = rows.groupBy(F.col("__centre").alias("__g")).agg(F.min("__w").alias("__low"), F.min_by("__id", F.struct("__w", "__id")).alias("__best"))
     rows = rows.join(best, F.col("__centre") == F.col("__g")).drop("__g")
     # shingles that many far members have stand behind the rarer ones
@@ -243,34 +243,40 @@ def differences(members: DataFrame, centres: DataFrame, sets: DataFrame, similar
     to_any = F.ceil(excess / (1 + similarity) - 1e-9).cast("int")
     index = F.when(F.col("__u") >= first, first).otherwise(F.greatest("__u", whole - F.greatest(F.lit(1), to_far) + 1))
     probe = F.when(near, 0).when(F.col("__u") >= first, first).otherwise(F.greatest(F.lit(0), whole - F.greatest(F.lit(1), to_any) + 1))
-    return rows.select("__id", "__centre", "__w", "__size", F.size("__apart").alias("__whole"), F.when(near, F.col("__best")).alias("__best"), F.slice("__apart", F.lit(1), index).alias("__index"), F.slice("__apart", F.lit(1), probe).alias("__probe"))
+    out = rows.select("__id", "__n", "__class", "__centre", "__w", "__size", F.size("__apart").alias("__whole"), F.when(near, F.col("__best")).alias("__best"), F.slice("__apart", F.lit(1), index).alias("__index"), F.slice("__apart", F.lit(1), probe).alias("__probe"))
+    out = stored(out, "differences")
+    discard(apart)
+    return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``__id, __class`` (least id) of the connected components of ``__a, __b`` edges, by large-star and small-star rounds.
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (``__u`` above ``__v``) with the same connected components as ``__a, __b``, by large-star and small-star rounds until all form stars around the least ids.
 
     Least neighbours are stored before they are joined to a node's edges, so that the edges of a node with very many can be split.
     """
     now = stored(edges.select(F.greatest("__a", "__b").alias("__u"), F.least("__a", "__b").alias("__v")).filter("__u != __v").distinct(), "edges")
-    if now.isEmpty():
-        return now.select(F.col("__u").alias("__id"), F.col("__v").alias("__class"))
-    n = now.count()
     while True:
+        # in a star no node has both a smaller and a larger neighbour
+        both = now.select(F.col("__u").alias("__node"), F.lit(1).alias("__up"), F.lit(0).alias("__down")).union(now.select("__v", F.lit(0), F.lit(1)))
+        chains = both.groupBy("__node").agg(F.max("__up").alias("__up"), F.max("__down").alias("__down"), F.sum("__up").alias("__n")).filter("__up = 1 and __down = 1 or __n > 1")
+        if chains.isEmpty():
+            break
         # large-star: larger neighbours of each node to its least neighbour
         ways = now.union(now.select("__v", "__u"))
         least = stored(ways.groupBy("__u").agg(F.least(F.min("__v"), F.col("__u")).alias("__m")).withColumnRenamed("__u", "__w"), "least")
-        large = stored(ways.filter("__v > __u").join(least, F.col("__u") == F.col("__w")).select(F.col("__v").alias("__u"), F.col("__m").alias("__v")).distinct(), "large")
+        large = ways.filter("__v > __u").join(least, F.col("__u") == F.col("__w")).select(F.col("__v").alias("__u"), F.col("__m").alias("__v"))
         # small-star: smaller neighbours and the node itself to its least neighbour
-        lows = large.groupBy("__u").agg(F.min("__v").alias("__m"))
-        small = large.join(lows.withColumnRenamed("__u", "__w"), F.col("__u") == F.col("__w")).filter("__v != __m").select(F.col("__v").alias("__u"), F.col("__m").alias("__v")).union(lows)
-        nxt = stored(small.distinct(), "edges")
-        n_next = nxt.count()
-        same = n_next == n and nxt.exceptAll(now).isEmpty()
-        discard(least, large, now)
-        now, n = nxt, n_next
-        if same:
-            break
-    members = now.select(F.col("__u").alias("__id"), F.col("__v").alias("__class"))
+        small = large.withColumn("__m", F.min("__v").over(Window.partitionBy("__u")))
+        moved = F.explode(F.array(F.struct(F.col("__u").alias("u"), F.col("__m").alias("v")), F.struct(F.col("__v").alias("u"), F.col("__m").alias("v")))).alias("e")
+        nxt = stored(small.select(moved).select(F.col("e.u").alias("__u"), F.col("e.v").alias("__v")).filter("__u != __v").distinct(), "edges")
+        discard(least, now)
+        now = nxt
+    return now
+
+
+def labels(star: DataFrame) -> DataFrame:
+    """``__id, __class`` of all nodes of ``stars``: the least id of their component."""
+    members = star.select(F.col("__u").alias("__id"), F.col("__v").alias("__class"))
     return members.union(members.select("__class", "__class").distinct())
 
 
@@ -285,8 +291,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     # buckets may be large: their sizes are stored first, so that the join can split them
     spread = texts.select("__id", "__n", F.explode("__bands").alias("__bucket"))
     sizes = stored(spread.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"), F.min("__id").alias("__leader")).filter("__size > 1").withColumnRenamed("__bucket", "__k"), "sizes")
-    members = stored(spread.join(sizes.hint("merge"), F.col("__bucket") == F.col("__k")).drop("__k"), "buckets")
-    # of copies only the row with the least id is wanted, and with the id in the key they don't meet in one task
+    members = stored(spread.join(sizes, F.col("__bucket") == F.col("__k")).drop("__k"), "buckets")
+    # of copies only the row with the least id is wanted, and with the id in the key they don't meet in one task; texts and members grow
+    # with the corpus: joined by shuffle at every size
     wanted = texts.select("__id", F.col("__first").alias("__id_t"), F.col("__h1").alias("__h1_t"), F.col("__h2").alias("__h2_t")).join(members.select(F.col("__id").alias("__m")).distinct(), F.col("__id") == F.col("__m"), "left_semi")
     wanted = wanted.withColumnRenamed("__id", "__node")
     texts_of = docs.select(*row_key(), "text").join(wanted.hint("merge"), same_row("", "_t")).dropDuplicates(["__id", "__h1", "__h2"]).select(F.col("__node").alias("__id"), "text")
@@ -298,58 +305,40 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     other = members.select(F.col("__bucket").alias("__k"), F.col("__id").alias("__other"), F.col("__n").alias("__on"), "__size")
     few = members.filter(F.col("__size") <= small).join(other.filter(F.col("__size") <= small).drop("__size"), (F.col("__bucket") == F.col("__k")) & (F.col("__id") < F.col("__other"))).filter(near).select(*pair)
 
-    def with_leader(rows: DataFrame) -> DataFrame:
-        led = rows.filter(F.col("__id") == F.col("__leader")).select(F.col("__bucket").alias("__k"), F.col("__id").alias("__other"), F.col("__n").alias("__on"), *[F.col(c).alias("__leader_class") for c in rows.columns if c == "__class"])
-        return rows.join(led, F.col("__bucket") == F.col("__k")).filter(near)
-
     large = members.filter(F.col("__size") > small)
-    asked = stored(few.union(with_leader(large).select(*pair)).distinct(), "pairs")
+    led = large.filter(F.col("__id") == F.col("__leader")).select(F.col("__bucket").alias("__k"), F.col("__id").alias("__other"), F.col("__n").alias("__on"))
+    to_leader = large.join(led, F.col("__bucket") == F.col("__k")).filter(near).select(*pair)
+    asked = stored(few.union(to_leader).distinct(), "pairs")
     made = [members, sets, asked]
     edges = stored(verified(asked, sets, similarity), "verified")
-    classes = stored(components(edges), "classes")
-    made += [edges, classes]
+    ways = edges.union(edges.select("__b", "__a"))
+    links = stars(edges)
+    classes = labels(links)
+    made += [edges, links]
+    links = links.select(F.col("__u").alias("__a"), F.col("__v").alias("__b"))
 
     def classed(rows: DataFrame) -> DataFrame:
         of = classes.select(F.col("__id").alias("__c"), "__class")
         return rows.join(of, F.col("__id") == F.col("__c"), "left").withColumn("__class", F.coalesce("__class", "__id")).drop("__c")
 
-    def ask(new: DataFrame) -> DataFrame:
-        """The edges with those of ``new`` pairs that were not compared before."""
-        new = new.join(asked.withColumnsRenamed({"__a": "__p", "__b": "__q"}), (F.col("__a") == F.col("__p")) & (F.col("__b") == F.col("__q")), "left_anti")
-        more = stored(edges.union(verified(new.distinct(), sets, similarity)), "verified")
-        made.append(more)
-        return more
-
-    def mixed() -> DataFrame:
-        """The members of large buckets that still hold more than one class."""
-        rows = classed(large)
-        more = stored(rows.groupBy("__bucket").agg(F.min("__class").alias("__low"), F.max("__class").alias("__high")).filter("__low < __high").withColumnRenamed("__bucket", "__k"), "more")
-        out = stored(rows.join(more, F.col("__bucket") == F.col("__k")).drop("__k"), "mixed")
-        made.extend((more, out))
-        return out
-
-    rows = mixed()
-    if not rows.isEmpty():  # the first member outside the leader's class leads now
-        home = rows.filter(F.col("__id") == F.col("__leader")).select(F.col("__bucket").alias("__k"), F.col("__class").alias("__home"))
-        outside = rows.join(home, F.col("__bucket") == F.col("__k")).filter("__class != __home").groupBy("__bucket").agg(F.min("__id").alias("__second")).withColumnRenamed("__bucket", "__k")
-        led = rows.join(outside, F.col("__bucket") == F.col("__k")).drop("__k").withColumn("__leader", F.col("__second"))
-        edges = ask(with_leader(led).filter("__class != __leader_class").select(*pair))
-        classes = stored(components(edges), "classes")
-        made.append(classes)
-        rows = mixed()
+    # the members of large buckets that still hold more than one class
+    rows = classed(large)
+    more = stored(rows.groupBy("__bucket").agg(F.min("__class").alias("__low"), F.max("__class").alias("__high")).filter("__low < __high").withColumnRenamed("__bucket", "__k"), "more")
+    rows = stored(rows.join(more, F.col("__bucket") == F.col("__k")).drop("__k"), "mixed")
+    made += [more, rows]
     if not rows.isEmpty():  # whatever is still in different classes, in one group per class that leads in a bucket
-        links = edges.union(edges.select("__b", "__a")).groupBy("__a").agg(F.count(F.lit(1)).alias("__links"))
+        degree = ways.groupBy("__a").agg(F.count(F.lit(1)).alias("__links"))
         best = F.max_by("__id", F.struct(F.coalesce("__links", F.lit(0)), -F.col("__id"))).alias("__centre")
-        centres = classes.join(links, F.col("__id") == F.col("__a"), "left").groupBy("__class").agg(best).withColumnRenamed("__class", "__c")
+        centres = classes.join(degree, F.col("__id") == F.col("__a"), "left").groupBy("__class").agg(best).withColumnRenamed("__class", "__c")
         leads = rows.groupBy("__bucket", "__class").agg(F.count(F.lit(1)).alias("__size")).groupBy("__bucket").agg(F.max_by("__class", F.struct("__size", -F.col("__class"))).alias("__lead"))
         home = leads.join(centres, F.col("__lead") == F.col("__c"), "left").select(F.col("__bucket").alias("__k"), F.coalesce("__centre", "__lead").alias("__centre"))
-        group = rows.join(home, F.col("__bucket") == F.col("__k")).select("__centre", "__id", "__n", "__class").distinct()
+        group = stored(rows.join(home, F.col("__bucket") == F.col("__k")).select("__centre", "__id", "__n", "__class").distinct(), "group")
+        made.append(group)
         centre = group.select("__centre").distinct()
-        beside = edges.union(edges.select("__b", "__a")).distinct().join(centre, F.col("__a") == F.col("__centre")).select("__centre", F.col("__b").alias("__id"))
+        beside = ways.distinct().join(centre, F.col("__a") == F.col("__centre")).select("__centre", F.col("__b").alias("__id"))
         beside = beside.withColumn("__k", F.row_number().over(Window.partitionBy("__centre").orderBy("__id"))).filter(F.col("__k") < SAMPLE).drop("__k")
         centres = consensus(beside.union(centre.select("__centre", "__centre")), sets)
-        apart = differences(group.select("__id", "__n", "__centre"), centres, sets, similarity).withColumnsRenamed({"__id": "__i", "__centre": "__g"})
-        group = stored(group.join(apart, (F.col("__id") == F.col("__i")) & (F.col("__centre") == F.col("__g"))).drop("__i", "__g"), "differences")
+        group = differences(group, centres, sets, similarity)
         probe = group.select("__centre", "__id", "__n", "__class", "__w", "__size", "__whole", F.posexplode("__probe").alias("__at", "__element"))
         index = group.select(F.col("__centre").alias("__g"), F.col("__id").alias("__other"), F.col("__n").alias("__on"), F.col("__class").alias("__oc"), F.col("__w").alias("__ow"), F.col("__whole").alias("__all"), F.posexplode("__index").alias("__oat", "__e"))
         # no more than the elements from the first common one on can be shared
@@ -357,9 +346,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         new = probe.join(index, (F.col("__centre") == F.col("__g")) & (F.col("__element") == F.col("__e")) & (F.col("__class") != F.col("__oc")) & enough & near).select(*pair)
         new = stored(new.distinct(), "candidates")
         made += [group, new]
-        edges = ask(new).union(group.filter("__id != __best").select(F.least("__id", "__best").alias("__a"), F.greatest("__id", "__best").alias("__b")))
-        classes = stored(components(edges), "classes")
-        made.append(classes)
+        new = new.join(asked.withColumnsRenamed({"__a": "__p", "__b": "__q"}), (F.col("__a") == F.col("__p")) & (F.col("__b") == F.col("__q")), "left_anti")
+        proven = group.filter("__id != __best").select("__id", "__best")
+        links = links.union(verified(new, sets, similarity)).union(proven)
+        links = stars(links)
+        classes = labels(links)
+        made.append(links)
 
     # the document that stands for each class
     named = classes.select(F.col("__id").alias("__c"), "__class").join(texts, F.col("__c") == F.col("__id"))
