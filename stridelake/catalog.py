@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import operators as op
 from . import plans, sources, streaming
-from .schemas import table_schema
+from .schemas import ACTIVITIES_RAW_KM, ACTIVITIES_RAW_MI, PAYLOAD, table_schema
+from .storage import new_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -68,9 +69,24 @@ _r = lambda c, n=4: F.round(c, n).alias(c)
 # -- sources and sinks ---------------------------------------------------------------------------------------
 
 
+def _csv(df: DataFrame, label: str, name: str) -> str:
+    """Write ``df`` as CSV with a header under file names that end in ``name``; returns the folder."""
+    folder = new_path(df.sparkSession, label)
+    df.write.options(header=True, escape='"').csv(f"{folder}/{name}")
+    return folder
+
+
+@query("src1_read_table", "select c_custkey, c_name, c_acctbal, null::varchar as note from customer")
+def _(s, d):
+    folder = _csv(table(s, d, "customer").select("c_acctbal", F.concat("c_name", F.lit("\nsays \"hi\", twice")).alias("c_name"), "c_custkey"), "src1", "customers")
+    out = sources.read_table(s, f"{folder}/customers/*.csv", table_schema("c_custkey bigint, c_name string, c_acctbal double, note string"))
+    return out.withColumn("c_name", F.replace("c_name", F.lit("\nsays \"hi\", twice"), F.lit("")))
+
+
 @query("src2_read_dir", "select n_nationkey, n_name from nation")
 def _(s, d):
-    return s.read.schema("n_nationkey int, n_name string").option("pathGlobFilter", "nation*.parquet").parquet(d)
+    folder = _csv(table(s, d, "nation").select("n_name", "n_regionkey", "n_nationkey"), "src2", "nations")
+    return sources.read_dir(s, f"{folder}/nations", "*.csv", table_schema("n_nationkey int, n_name string"))
 
 
 @query("src3_batch_number", "select page_id, case when regexp_extract(replace(url, 'page=', 'batch_'), 'batch_([0-9]+)', 1) = '' then 'Unknown' else regexp_extract(replace(url, 'page=', 'batch_'), 'batch_([0-9]+)', 1) end as batch from pages")
@@ -81,8 +97,59 @@ def _(s, d):
 @query("src4_by_unit", "select event_id, value * 1.60934 as km from events where event_type = 'view' union all select event_id, value from events where event_type <> 'view'")
 def _(s, d):
     e = table(s, d, "events")
-    mi = e.filter("event_type = 'view'").select("event_id", fn.mi_to_km(F.col("value")).alias("km"))
-    return op.stack(mi, e.filter("event_type != 'view'").select("event_id", F.col("value").alias("km")))
+    folder = _csv(e.filter("event_type = 'view'").select(F.col("value").alias("Distance (mi)"), F.col("event_id").alias("Activity ID")), "src4", "mi")
+    e.filter("event_type != 'view'").select(F.col("event_id").alias("Activity ID"), F.col("value").alias("Distance (km)")).write.option("header", True).csv(f"{folder}/km")
+    e.groupBy("event_type").count().write.option("header", True).csv(f"{folder}/other")
+    mi, km, _ = sources.read_by_unit(s, f"{folder}/*", ACTIVITIES_RAW_MI, ACTIVITIES_RAW_KM)
+    mi = mi.select(F.col("`Activity ID`").alias("event_id"), fn.mi_to_km(F.col("`Distance (mi)`")).alias("km"))
+    return op.stack(mi, km.select(F.col("`Activity ID`").alias("event_id"), F.col("`Distance (km)`").alias("km")))
+
+
+@query("qlt3_header_gate", "select r_regionkey, r_name from region")
+def _(s, d):
+    folder = _csv(table(s, d, "region").select("r_name", "r_regionkey"), "qlt3", "good")
+    table(s, d, "nation").select("n_name").write.option("header", True).csv(f"{folder}/bad")
+    return sources.accepted_files(s, f"{folder}/*", "*.csv", table_schema("r_regionkey int, r_name string"))[0]
+
+
+@query("snk1_overwrite", "select c_custkey from customer where c_acctbal > 0")
+def _(s, d):
+    root = new_path(s, "snk1")
+    sources.write_table(table(s, d, "customer").select("c_custkey", "c_acctbal"), root)
+    sources.write_table(sources.load_table(s, root).filter("c_acctbal > 0"), root)
+    return sources.load_table(s, root).select("c_custkey")
+
+
+@query("snk2_append", "select c_custkey as id from customer union all select s_suppkey from supplier")
+def _(s, d):
+    root = new_path(s, "snk2")
+    sources.write_table(table(s, d, "customer").select(F.col("c_custkey").cast("long").alias("id")), root)
+    sources.append_table(table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id")), root)
+    return sources.load_table(s, root)
+
+
+@query("snk3_snapshot", "select 'kept' as state, count(*) as n from customer union all select 'now', (select count(*) from customer) + (select count(*) from supplier)")
+def _(s, d):
+    root = new_path(s, "snk3")
+    sources.write_table(table(s, d, "customer").select(F.col("c_custkey").cast("long").alias("id")), root)
+    kept = sources.snapshot(s, root)
+    sources.append_table(table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id")), root)
+    return sources.stack_counts({"kept": sources.load_table(s, root, kept), "now": sources.load_table(s, root)}).withColumnRenamed("name", "state")
+
+
+@query("snk4_refresh", "select 'athletes' as name, count(*) as n from customer union all select 'results', count(*) from orders")
+def _(s, d):
+    root = new_path(s, "snk4")
+    for _i in range(2):
+        sources.publish({"athletes": table(s, d, "customer").select("c_custkey"), "results": table(s, d, "orders").select("o_orderkey")}, root)
+    return sources.stack_counts({n: sources.load_table(s, f"{root}/{n}") for n in ("athletes", "results")})
+
+
+@query("snk5_initial_load", "select 'athletes' as name, count(*) as n from customer union all select 'results', count(*) from orders")
+def _(s, d):
+    root = new_path(s, "snk5")
+    sources.publish({"athletes": table(s, d, "customer").select("c_custkey"), "results": table(s, d, "orders").select("o_orderkey")}, root, "append")
+    return sources.stack_counts({n: sources.load_table(s, f"{root}/{n}") for n in ("athletes", "results")})
 
 
 @query("src5_payload", "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -177,8 +244,14 @@ def _(s, d):
 
 @query("prj9_explode_entries", "select conv_id, turn, role, text from conversations")
 def _(s, d):
-    c = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("entries"))
-    return c.select("conv_id", F.explode("entries").alias("e")).select("conv_id", "e.*")
+    row = F.struct(F.col("turn").alias("activity_id"), F.col("conv_id").alias("athlete_id"), F.col("role").alias("athlete_name"), F.col("text").alias("name"))
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(row).alias("activities"))
+    entries = F.array(F.struct(F.struct("activities").alias("rowData")))
+    # every other payload has its entries below appContext
+    direct, below = F.struct(entries.alias("preFetchedEntries")), F.struct(F.struct(entries.alias("preFetchedEntries")).alias("appContext"))
+    raw = c.select("conv_id", F.when(F.col("conv_id") % 2 == 0, F.to_json(direct)).otherwise(F.to_json(below)).alias("json"))
+    out = plans.explode_entries(sources.parse_payload(raw, "json", PAYLOAD)[0], ["conv_id"])
+    return out.select("conv_id", F.col("activity_id").cast("int").alias("turn"), F.col("athlete_name").alias("role"), F.col("activity_name").alias("text"))
 
 
 @query("prj11_export_fill", "select c_custkey, coalesce(n, 0)::bigint as n, coalesce(first_status, 'NA') as first_status from customer left join (select o_custkey, count(*) as n, min(o_orderstatus) as first_status from orders where o_orderkey % 5 = 0 group by 1) on o_custkey = c_custkey")
@@ -701,10 +774,10 @@ def _(s, d):
     return op.training_metrics(op.keep_ids(activities(s, d), "athlete_id", [1, 2, 3]), 4, 4).select("athlete_id", "total_run_km")
 
 
-@query("job5_update_metadata", f"with {ACT} select c_custkey as athlete_id, coalesce(m.km, c_acctbal) as total_run_km, 49 as weeks from customer left join (select athlete_id, round(coalesce(sum(km) filter (type = 'Run'), 0), 2) as km from act group by 1) m on m.athlete_id = c_custkey")
+@query("job5_update_metadata", f"with {ACT} select c_custkey as athlete_id, coalesce(m.km, c_acctbal) as total_run_km, 45 + case when m.athlete_id is null then 0 else 4 end as weeks from customer left join (select athlete_id, round(coalesce(sum(km) filter (type = 'Run'), 0), 2) as km from act where minutes > 95 group by 1) m on m.athlete_id = c_custkey")
 def _(s, d):
     old = table(s, d, "customer").select(F.col("c_custkey").alias("athlete_id"), F.col("c_acctbal").alias("total_run_km"), F.lit(45).alias("weeks"))
-    return plans.update_metadata(old, op.training_metrics(activities(s, d), 4), 4)
+    return plans.update_metadata(old, op.training_metrics(activities(s, d).filter("minutes > 95"), 49), 45, 49)
 
 
 @query("job6_unify_units", f"select event_id, case when event_type = 'view' then value * 1.60934 else value end as km, ({_K} * 60) as seconds from events")
@@ -756,8 +829,80 @@ def _(s, d):
 @query("job16_country_report", "select n_name, count(*) as n, any_value(n_regionkey) as n_regionkey from customer join nation on n_nationkey = c_nationkey group by 1")
 def _(s, d):
     n = table(s, d, "nation")
-    counts = op.value_counts(table(s, d, "customer").join(n, F.col("c_nationkey") == n.n_nationkey), "n_name")
-    return op.with_coordinates(counts, n.select("n_name", "n_regionkey"), "n_name")
+    return plans.country_report(table(s, d, "customer").join(n, F.col("c_nationkey") == n.n_nationkey), n.select("n_name", "n_regionkey"), "n_name")
+
+
+@query("job9_consistency_ranking", f"with {_WEEKS}, c as ({_CONS}) select k, round(consistency_pct, 6) as consistency_pct, row_number() over (order by consistency_pct desc, std_dev nulls last, no_data, k) as serial from c")
+def _(s, d):
+    return plans.consistency_ranking(_weeks(s, d), "k", "km").select("k", _r("consistency_pct", 6), "serial")
+
+
+@query("job11_link_results", "select o_orderkey, case when o_orderstatus = 'P' then 0 when c_custkey is null then -1 else v end as runs from orders left join (select c_custkey, c_nationkey as v from customer where c_acctbal > 0) on c_custkey = o_custkey")
+def _(s, d):
+    c = table(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("runs"), F.lit(1).alias("seq"))
+    o = table(s, d, "orders").withColumnRenamed("o_custkey", "k")
+    return plans.link_results_to_athletes(o, [c, c.withColumn("runs", F.lit(-5))], "k", "seq", ["runs"], "o_orderstatus", "P", {"runs": -1}).select("o_orderkey", "runs")
+
+
+_IDS = "i as (select 'CUSTOMER#' || lpad(o_custkey::varchar, 9, '0') as k, max(o_orderkey) as id from orders where o_totalprice > 350000 group by 1)"
+
+
+def _assigned(s, d):
+    m = table(s, d, "orders").filter("o_totalprice > 350000").select(F.concat(F.lit(" customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("c_name"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"))
+    return plans.assign_athlete_ids(table(s, d, "customer"), m, "c_name", "id", "seq")
+
+
+@query("job12_assign_athlete_ids", f"with {_IDS} select c_custkey, coalesce(id, 0)::bigint as assigned_id from customer left join i on upper(c_name) = k")
+def _(s, d):
+    return _assigned(s, d)[0].select("c_custkey", "assigned_id")
+
+
+@query("job12_unmatched_names", f"with {_IDS} select upper(c_name) as match_key, count(*) as n from customer where upper(c_name) not in (select k from i) group by 1")
+def _(s, d):
+    return _assigned(s, d)[1]
+
+
+@query("job12_match_statistics", f"with {_IDS} select count(*) as total, count(id) as with_id, count(*) - count(id) as without_id from customer left join i on upper(c_name) = k")
+def _(s, d):
+    return _assigned(s, d)[2]
+
+
+def _home(s, d):
+    c = table(s, d, "customer").select(F.col("c_name").alias("athlete"), F.col("c_nationkey").alias("nat"))
+    coords = table(s, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("nat"), F.col("n_regionkey").alias("lat"), F.col("n_name").alias("lng"))
+    log = table(s, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.max("ts").alias("timestamp"), F.count(F.lit(1)).alias("activities_count"))
+    return plans.serve_home(c, coords, log)
+
+
+@query("job17_home_athletes", "select c_name as athlete, c_nationkey as nat, n_regionkey as lat, n_name as lng from customer left join nation on n_nationkey = c_nationkey and n_regionkey < 3")
+def _(s, d):
+    return _home(s, d)[0]
+
+
+@query("job17_home_counts", "select count(*) as athletes, count(distinct c_nationkey) as countries from customer")
+def _(s, d):
+    return _home(s, d)[1]
+
+
+@query("job17_home_log", "select strftime(max(ts), '%Y-%m-%d %H:%M:%S') || ' (GMT +8)' as last_updated, (select count(*) from events where ts::date = (select max(ts)::date from events)) as activities_count from events")
+def _(s, d):
+    return _home(s, d)[2].select("last_updated", "activities_count")
+
+
+def _page(s, d):
+    meta = op.summarise_results(performances(s, d), "name", "nat", "status", "status", "discipline", "id")
+    acts = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("name"), "o_orderkey", F.col("o_orderdate").alias("day"), (F.col("o_totalprice") / 1000).alias("km"))
+    return plans.athlete_page(meta, acts, "name", " customer#000000010", "day")
+
+
+@query("job18_athlete_profile", f"with {PERF}, mine as (select * from perf where lower(name) = 'customer#000000010'), m as (select status, row_number() over (order by min(id)) as r from mine group by 1), x as (select discipline, row_number() over (order by min(id)) as r from mine group by 1) select x.r::int as i, discipline, status as mark from x join m on x.r = m.r")
+def _(s, d):
+    return _page(s, d)[0].select(F.posexplode("event_times").alias("i", "e")).select((F.col("i") + 1).alias("i"), "e.discipline", "e.mark")
+
+
+@query("job18_athlete_activities", "select o_orderkey, strftime(o_orderdate, '%B %d, %Y at %I:%M %p') as start_text, printf('%.2f', o_totalprice / 1000) as km_text from orders join customer on c_custkey = o_custkey where lower(c_name) = 'customer#000000010'")
+def _(s, d):
+    return _page(s, d)[1].select("o_orderkey", "start_text", "km_text")
 
 
 @query("job18_serve_athlete", "select o_orderkey from orders join customer on c_custkey = o_custkey where lower(c_name) = 'customer#000000010'")
@@ -774,3 +919,114 @@ def _(s, d):
 @query("str2_weekly", "select user_id, (date '2024-01-01' + (datediff('day', date '2024-01-01', ts::date) // 7 * 7)::int)::timestamp as week_start, round(sum(value), 4) as total, count(*) as n from events group by 1, 2")
 def _(s, d):
     return streaming.weekly(table(s, d, "events"), "user_id", "ts", "value").withColumn("total", F.round("total", 4))
+
+
+@query("job14_unranked_finalists", "with o as (select o_orderpriority as event, o_custkey as athlete, min(o_orderkey) as place from orders group by 1, 2), r as (select event, athlete, row_number() over (partition by event order by s desc, athlete) as rank from (select o_orderpriority as event, o_custkey as athlete, max(o_totalprice) as s from orders where o_orderstatus = 'F' group by 1, 2)) select 'filled' as predictor, o.event, round(avg(case when rank is null then 0 else pow(rank - place, 2) end), 2) as mse, count(*) as n from o left join r on r.event = o.event and r.athlete = o.athlete group by 2")
+def _(s, d):
+    o = table(s, d, "orders").withColumnsRenamed({"o_orderpriority": "event", "o_custkey": "athlete"})
+    final = o.groupBy("event", "athlete").agg(F.min("o_orderkey").alias("place"))
+    ranked = o.filter("o_orderstatus = 'F'").groupBy("event", "athlete").agg(F.max("o_totalprice").alias("score")).withColumn("predictor", F.lit("filled"))
+    return plans.evaluate_predictions(final, ranked, "zero").select("predictor", "event", _r("mse", 2), "n")
+
+
+@query("job14_scoreboard", "select o_orderpriority as event, round(sum(o_totalprice) filter (o_orderstatus = 'O'), 2) as rmse_open, round(sum(o_totalprice) filter (o_orderstatus = 'F'), 2) as rmse_filled from orders where o_orderstatus in ('O', 'F') group by 1")
+def _(s, d):
+    o = table(s, d, "orders").withColumn("predictor", F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "filled"))
+    errors = o.groupBy("predictor", F.col("o_orderpriority").alias("event")).agg(F.round(F.sum("o_totalprice"), 2).alias("rmse"))
+    return plans.prediction_scoreboard(errors, "open", "filled")
+
+
+def _payloads(s, d):
+    one = F.concat(F.lit('{"preFetchedEntries":[{"activity":{"id":'), F.col("event_id").cast("string"), F.lit(',"activityName":"x","startDate":"2024-01-05T10:00:00Z","elapsedTime":60,"type":"Run","athlete":{"athleteId":'), F.col("user_id").cast("string"), F.lit(',"athleteName":"'), F.col("user_id").cast("string"), F.lit('"},"stats":[{"key":"stat_one","value":"'), F.get_json_object("props", "$.k"), F.lit(' km"}]}}]}'))
+    return table(s, d, "events").select("event_id", one.alias("JSON Data"), F.col("user_id").cast("string").alias("Name"))
+
+
+@query("job20_weekly_pipeline", f"select user_id as athlete_id, round(sum({_K}), 2)::double as total_run_km, case when count(*) filter (event_type <> 'click') > 0 then 2 else 0 end + case when count(*) filter (event_type = 'click') > 0 then 1 else 0 end as weeks from events group by 1")
+def _(s, d):
+    raw = _payloads(s, d).join(table(s, d, "events").select("event_id", "event_type"), "event_id")
+    store, meta = new_path(s, "job20-acts"), new_path(s, "job20-meta")
+    plans.weekly_pipeline(s, raw.filter("event_type != 'click'").drop("event_id", "event_type"), store, meta, 3, 5)
+    # all rows again: only those of the clicks are new, and in a third run none is
+    for start in (5, 6):
+        plans.weekly_pipeline(s, raw.drop("event_id", "event_type"), store, meta, start, start + 1)
+    return sources.load_table(s, meta).select("athlete_id", "total_run_km", "weeks")
+
+
+@query("str1_append_unseen", "select event_id, user_id from events")
+def _(s, d):
+    root, state = new_path(s, "str1"), new_path(s, "str1-state")
+    e = table(s, d, "events")
+    stream = s.readStream.schema(e.schema).parquet(d + "/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(2):  # the second stream finds nothing new
+        streaming.once_per_id(stream, "event_id", "ts").writeStream.foreachBatch(streaming.append_unseen(root, "event_id")).option("checkpointLocation", f"{state}{i}").trigger(availableNow=True).start().awaitTermination()
+    return sources.load_table(s, root).select("event_id", "user_id")
+
+
+@query("str3_refresh_metadata", f"with {ACT} select athlete_id, round(coalesce(sum(km) filter (type = 'Run'), 0), 2) as total_run_km from act group by 1")
+def _(s, d):
+    acts, meta, state = new_path(s, "str3-acts"), new_path(s, "str3-meta"), new_path(s, "str3-state")
+    sources.write_table(activities(s, d), acts)
+    e = table(s, d, "events")
+    stream = s.readStream.schema(e.schema).parquet(d + "/events.parquet*").withColumnRenamed("user_id", "athlete_id")
+    stream.writeStream.foreachBatch(streaming.refresh_metadata(acts, meta, "athlete_id", 4)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return sources.load_table(s, meta).select("athlete_id", "total_run_km")
+
+
+@query("ord3_by_score", "select o_orderkey, o_totalprice from orders")
+def _(s, d):
+    return op.by_score(table(s, d, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("ord4_by_name", "select o_orderkey, o_clerk_or_status from (select o_orderkey, o_orderstatus as o_clerk_or_status from orders)")
+def _(s, d):
+    return op.by_name(table(s, d, "orders"), "o_orderstatus", "o_orderpriority").select("o_orderkey", F.col("o_orderstatus").alias("o_clerk_or_status"))
+
+
+@query("fn11_upper_name", "select c_custkey, upper(c_name) as name from customer")
+def _(s, d):
+    return table(s, d, "customer").select("c_custkey", fn.upper_name(F.lower("c_name")).alias("name"))
+
+
+@query("fn30_mean_policy", f"with {PERF}, {_RANKS} select id, round(coalesce(case when status <> 'F' then rank - place end, avg(case when status <> 'F' then rank - place end) over (partition by athlete)), 4)::double as delta from r")
+def _(s, d):
+    p = op.with_rank(op.with_rank(performances(s, d), ["discipline"], ["day", "id"], "place"), ["discipline"], [F.desc("score"), "id"])
+    some = F.when(F.col("status") != "F", F.col("rank"))
+    return p.select("id", F.round(fn.rank_delta(some, F.col("place"), "mean", Window.partitionBy("athlete")), 4).alias("delta"))
+
+
+@query("agg11_with_events", "select o_orderkey, events from orders join (select o_custkey as k, string_agg(distinct o_orderpriority, ', ' order by o_orderpriority) as events from orders group by 1) on k = o_custkey")
+def _(s, d):
+    return op.with_events(table(s, d, "orders"), "o_custkey", "o_orderpriority").select("o_orderkey", F.array_join("events", ", ").alias("events"))
+
+
+@query("agg16_location_counts", "select n_regionkey, n_nationkey, count(*) as n, min(c_name) as first_name, max(c_name) as last_name from customer join nation on n_nationkey = c_nationkey group by 1, 2")
+def _(s, d):
+    c = op.with_coordinates(table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), table(s, d, "nation"), "n_nationkey")
+    return op.location_counts(c, "n_regionkey", "n_nationkey", "c_name")
+
+
+def _dear(s, d):
+    o = table(s, d, "orders").filter("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return op.attach_results(table(s, d, "customer"), o, "c_custkey")
+
+
+@query("flt13_without_dear_orders", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
+def _(s, d):
+    return op.unmatched(_dear(s, d), "n").select("c_custkey")
+
+
+@query("qlt1_nulls_of_a_join", "select 'n' as column_name, count(*) as n_null from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000) having count(*) > 0")
+def _(s, d):
+    return op.null_profile(_dear(s, d))
+
+
+@query("qlt6_nulls_replaced", "select 'n' as column_name, count(*) as n_replaced from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000) having count(*) > 0")
+def _(s, d):
+    return op.nulls_replaced(_dear(s, d), op.export_fill(_dear(s, d), {"n": 0}))
+
+
+@query("job10_new_results", "select o_orderstatus, count(*) as n from orders where o_orderstatus <> 'F' and o_totalprice >= 1100 group by 1")
+def _(s, d):
+    root, o = new_path(s, "job10"), table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    sources.write_table(op.with_literals(o.filter("o_orderstatus = 'F'"), Date_Created="30 Oct 24"), root)
+    return plans.update_results_table(s, root, op.stack(o, o), ["o_orderkey", "o_orderstatus"], "o_totalprice", 1100, "1 Nov 24", "o_orderstatus")[1]

@@ -82,6 +82,11 @@ def flip_name(c: Column, mode: str = "one_comma") -> Column:
     return F.upper(F.when(F.size(parts) == 2, F.concat_ws(" ", F.trim(parts[1]), F.trim(parts[0]))).otherwise(c))
 
 
+def upper_name(c: Column) -> Column:
+    """FN-11."""
+    return F.upper(c)
+
+
 def mi_to_km(c: Column) -> Column:
     """FN-12."""
     return c * MILE_KM

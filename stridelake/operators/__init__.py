@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import finite, match_key, pace
+from ..functions import finite, match_key, pace, upper_name
+from ..storage import stored
 
 # -- projections ---------------------------------------------------------------------------------------------
 
@@ -43,18 +42,25 @@ def conform(df: DataFrame, schema: T.StructType, defaults: bool = True) -> DataF
     return df.select(*[column(f) for f in schema])
 
 
-def with_serial(df: DataFrame, order_by: list[str], start: int = 0, name: str = "serial") -> DataFrame:
-    """PRJ-7: consecutive numbers after ``start`` in the given order, without moving all rows to one task.
+def _dealt(df: DataFrame, order: list) -> DataFrame:
+    """``df`` in ranges of ``order``, stored once in the shared folder with each row's range ``__part`` and its ``__place`` in it.
+
+    The ranges come from a sample, so a plan that dealt the rows twice could deal them differently; the stored table is read twice instead.
+    """
+    place = F.monotonically_increasing_id() % F.lit(1 << 33)
+    return stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__place": place}), "dealt")
+
+
+def with_serial(df: DataFrame, order_by: list, start: int = 0, name: str = "serial") -> DataFrame:
+    """PRJ-7: consecutive numbers after ``start`` in the given order (columns or names), without moving all rows to one task.
 
-    Rows are range-partitioned and sorted, each partition is numbered alone and offset by the rows before it.
+    Each stored range is numbered alone and offset by the rows before it; there is one offset per range, so they can be broadcast.
     """
-    part, place = "__part", "__place"
-    dealt = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id() % F.lit(1 << 33))
-    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(part).alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = dealt.join(F.broadcast(offsets), F.col(part) == F.col("__p"))
-    return joined.withColumn(name, F.col("__before") + F.col(place) + 1 + start).drop(part, place, "__p", "__before")
+    dealt = _dealt(df, order_by)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    joined = dealt.join(F.broadcast(offsets), F.col("__part") == F.col("__p"), "left")
+    return joined.withColumn(name, F.col("__before") + F.col("__place") + 1 + start).drop("__part", "__place", "__p", "__before")
 
 
 def chunk_ids(df: DataFrame, id_col: str, size: int = 60) -> DataFrame:
@@ -76,11 +82,15 @@ def min_score(df: DataFrame, score: str, cutoff: float = 1100) -> DataFrame:
     return df.filter(F.col(score) >= cutoff)
 
 
-def take_while_at_least(df: DataFrame, group: str, order: list, score: str, cutoff: float) -> DataFrame:
-    """FLT-2: rows of each group up to the first below the cutoff; unreadable scores are passed over."""
-    upto = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.col(score).try_cast("double")
-    return df.withColumn("__low", F.min(value).over(upto)).filter(value.isNotNull() & (F.col("__low") >= cutoff)).drop("__low")
+def take_while_at_least(df: DataFrame, group: str, order: list[str], score: str, cutoff: float) -> DataFrame:
+    """FLT-2: rows of each group up to the first below the cutoff, in ascending ``order``; unreadable scores are passed over.
+
+    The first low row of a group is a partial aggregate, so no task has to sort a long list. Of rows equal in ``order`` to it none stays.
+    """
+    value, place = F.col(score).try_cast("double"), F.struct(*order)
+    stops = df.filter(value < cutoff).groupBy(F.col(group).alias("__g")).agg(F.min(place).alias("__stop"))
+    kept = df.filter(value >= cutoff).join(stops, F.col(group).eqNullSafe(F.col("__g")), "left")
+    return kept.filter(F.col("__stop").isNull() | (place < F.col("__stop"))).drop("__g", "__stop")
 
 
 def keep_ids(df: DataFrame, column: str, ids: list) -> DataFrame:
@@ -150,8 +160,8 @@ def attach_results(metrics: DataFrame, results: DataFrame, on: str) -> DataFrame
 
 def entrants(perf: DataFrame, roster: DataFrame, perf_name: str, roster_name: str, nat: str = "nat") -> DataFrame:
     """JN-2: inner join on upper-cased names; both nations are kept under their own names."""
-    left = perf.withColumn("__key", F.upper(perf_name)).withColumnRenamed(nat, f"{nat}_perf")
-    right = roster.withColumn("__rkey", F.upper(roster_name)).withColumnRenamed(nat, f"{nat}_roster")
+    left = perf.withColumn("__key", upper_name(F.col(perf_name))).withColumnRenamed(nat, f"{nat}_perf")
+    right = roster.withColumn("__rkey", upper_name(F.col(roster_name))).withColumnRenamed(nat, f"{nat}_roster")
     return left.join(right, F.col("__key") == F.col("__rkey")).drop("__key", "__rkey")
 
 
@@ -190,16 +200,16 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
-def unseen(df: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
-    """JN-9."""
-    return df.join(stored, on, "left_anti")
+def unseen(df: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """JN-9: rows whose keys are not known yet; null keys never are (the ingest drops them first)."""
+    return df.join(known, on, "left_anti")
 
 
-def update_from(stored: DataFrame, new: DataFrame, on: str, columns: list[str]) -> DataFrame:
+def update_from(old: DataFrame, new: DataFrame, on: str, columns: list[str]) -> DataFrame:
     """JN-10: matching rows take the new values where there are any."""
     fresh = new.select(F.col(on).alias("__on"), *[F.col(c).alias(f"__{c}") for c in columns])
-    joined = stored.join(fresh, F.col(on) == F.col("__on"), "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in stored.columns])
+    joined = old.join(fresh, F.col(on) == F.col("__on"), "left")
+    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 
 def rank_lookup(df: DataFrame, ranked: DataFrame, keys: list[str], rank: str = "rank", name: str = "found_rank") -> DataFrame:
@@ -298,10 +308,16 @@ def best_discipline(perf: DataFrame, athlete: str, discipline: str, score: str)
 
 
 def events_per_athlete(roster: DataFrame, athlete: str, event: str) -> DataFrame:
-    """AGG-11."""
+    """AGG-11, one row per athlete. ``with_events`` puts the list on every row."""
     return roster.groupBy(athlete).agg(F.array_sort(F.collect_set(event)).alias("events"))
 
 
+def with_events(roster: DataFrame, athlete: str, event: str, name: str = "events") -> DataFrame:
+    """AGG-11: every row with the sorted events of its athlete."""
+    lists = events_per_athlete(roster, athlete, event).select(F.col(athlete).alias("__a"), F.col("events").alias(name))
+    return roster.join(lists, F.col(athlete).eqNullSafe(F.col("__a"))).drop("__a")
+
+
 def headline_counts(df: DataFrame, nat: str) -> DataFrame:
     """AGG-12."""
     return df.agg(F.count(F.lit(1)).alias("athletes"), F.countDistinct(nat).alias("countries"))
@@ -323,8 +339,13 @@ def ingest_report(new: DataFrame, name: str) -> DataFrame:
     return new.groupBy(name).agg(F.count(F.lit(1)).alias("new_rows"))
 
 
+def location_counts(df: DataFrame, lat: str, lng: str, name: str) -> DataFrame:
+    """AGG-16 for places with very many athletes: their number with the first and last name; the names are the rows of ``df`` itself."""
+    return df.groupBy(lat, lng).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("first_name"), F.max(name).alias("last_name"))
+
+
 def athletes_by_location(df: DataFrame, lat: str, lng: str, name: str) -> DataFrame:
-    """AGG-16: number and names of the athletes at each coordinate."""
+    """AGG-16: number and names of the athletes at each coordinate. All names of a place stand in one row: see ``location_counts``."""
     return df.groupBy(lat, lng).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
 
 
@@ -373,8 +394,16 @@ def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_rank(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
-    """WIN-5: position in each list, from 1. For one list of all rows use ``with_serial``."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """WIN-5: position in each list, from 1. A list may be longer than a task can sort: rows are dealt in ranges of (list, order), and the
+    ranks of a range follow on the list's rows in earlier ranges. For one list of all rows use ``with_serial``."""
+    dealt = _dealt(df, [*by, *order])
+    upto = Window.partitionBy(*[f"__{k}" for k in by]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__from"))
+    counts = counts.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__{k}") for k in by], "__n", "__from").withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+    # as many rows as there are lists, and one more per range
+    on = [F.col("__part") == F.col("__p"), *[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]]
+    joined = dealt.join(counts, on, "left").withColumn(name, F.col("__before") + F.col("__place") - F.col("__from") + 1)
+    return joined.drop("__part", "__place", "__p", *[f"__{k}" for k in by], "__n", "__from", "__before")
 
 
 def dedupe_ids(df: DataFrame, id_col: str, order: list) -> DataFrame:
@@ -387,6 +416,16 @@ def order_like(df: DataFrame, ranking: DataFrame, on: str, then: str) -> DataFra
     return df.join(ranking.select(on, "serial"), on).orderBy("serial", then)
 
 
+def by_score(df: DataFrame, score: str, *ties: str) -> DataFrame:
+    """ORD-3: highest score first, unreadable scores last."""
+    return df.orderBy(F.desc_nulls_last(score), *ties)
+
+
+def by_name(df: DataFrame, name: str, discipline: str) -> DataFrame:
+    """ORD-4."""
+    return df.orderBy(name, discipline)
+
+
 def top_n(df: DataFrame, n: int, *order) -> DataFrame:
     """ORD-5."""
     return df.orderBy(*order).limit(n)
@@ -413,17 +452,24 @@ def stack(*frames: DataFrame, allow_missing: bool = False) -> DataFrame:
     return out
 
 
-def new_ids(new: DataFrame, stored: DataFrame, column: str) -> DataFrame:
+def new_ids(new: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """SET-3, QLT-5."""
-    return new.select(column).subtract(stored.select(column))
+    return new.select(column).subtract(known.select(column))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """QLT-1, QLT-6: number of nulls of every column that has some, in one pass."""
+    """QLT-1: number of nulls of every column that has some, in one pass."""
     counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
     return counts.unpivot([], df.columns, "column_name", "n_null").filter("n_null > 0")
 
 
+def nulls_replaced(before: DataFrame, after: DataFrame) -> DataFrame:
+    """QLT-6: how many nulls of each column were replaced between two states of a table, without columns where none was."""
+    left = null_profile(after).select(F.col("column_name").alias("__c"), F.col("n_null").alias("__left"))
+    out = null_profile(before).join(left, F.col("column_name") == F.col("__c"), "left").withColumn("n_replaced", F.col("n_null") - F.coalesce("__left", F.lit(0)))
+    return out.filter("n_replaced > 0").select("column_name", "n_replaced")
+
+
 def unmatched_report(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     """QLT-4: names of ``a`` that ``b`` lacks, with their number of rows."""
     return a.join(b, on, "left_anti").groupBy(on).agg(F.count(F.lit(1)).alias("n"))
@@ -432,7 +478,3 @@ def unmatched_report(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 def schema_accepts(columns: list[str], schema: T.StructType) -> bool:
     """QLT-3: whether a header has the contract's columns, in any order."""
     return set(columns) == {f.name for f in schema}
-
-
-def today() -> date:
-    return date.today()

@@ -1,8 +1,8 @@
-"""Composite jobs JOB-1 to JOB-20: DataFrames in, DataFrames out; only the weekly pipeline writes."""
+"""Composite jobs JOB-1 to JOB-20: DataFrames in, DataFrames out; only the weekly pipeline and the update of the results table write."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -47,9 +47,11 @@ def clean_activities(raw: DataFrame, start_serial: int = 0) -> DataFrame:
     return op.conform(op.with_serial(out, ["Activity ID"], start_serial, "Serial"), schemas.ACTIVITIES)
 
 
-def ingest_activities(new: DataFrame, stored: DataFrame, id_col: str = "Activity ID") -> DataFrame:
-    """JOB-3: the rows to append; running it twice adds nothing."""
-    return op.unseen(op.first_per(new, [id_col], [id_col]), stored.select(id_col), [id_col])
+def ingest_activities(new: DataFrame, known: DataFrame, id_col: str = "Activity ID", order: list | None = None) -> DataFrame:
+    """JOB-3: the rows to append; running it twice adds nothing. Rows without an id are left out; of rows with the same id the
+    first in ``order`` counts (by default that of all columns, so that the choice never changes)."""
+    rows = new.filter(F.col(f"`{id_col}`").isNotNull())
+    return op.unseen(op.first_per(rows, [id_col], order or [F.col(f"`{c}`") for c in new.columns]), known.select(id_col), [id_col])
 
 
 def unify_units(miles: DataFrame, km: DataFrame) -> DataFrame:
@@ -66,11 +68,12 @@ def build_metadata(activities: DataFrame, results: DataFrame, start: str, weeks:
     return op.export_fill(op.attach_results(metrics, results, "athlete"), {"marks": "", "disciplines": "", "n_events": 0})
 
 
-def update_metadata(stored: DataFrame, metrics: DataFrame, weeks: int) -> DataFrame:
-    """JOB-5: new metrics over old ones, weeks added up."""
-    columns = [c for c in metrics.columns if c != "athlete_id" and c in stored.columns]
-    out = op.update_from(stored, metrics, "athlete_id", columns)
-    return out.withColumn("weeks", F.col("weeks") + weeks)
+def update_metadata(old: DataFrame, metrics: DataFrame, start_week: int, end_week: int) -> DataFrame:
+    """JOB-5: new metrics over old ones; the weeks from ``start_week`` to ``end_week`` are added where there are new metrics, and nowhere else."""
+    columns = [c for c in metrics.columns if c != "athlete_id" and c in old.columns]
+    added = metrics.select("athlete_id", *columns, F.lit(end_week - start_week).alias("__more"))
+    out = op.update_from(old.withColumn("__more", F.lit(0)), added, "athlete_id", [*columns, "__more"])
+    return out.withColumn("weeks", F.col("weeks") + F.col("__more")).drop("__more")
 
 
 def merge_weekly_batches(df: DataFrame, name: str = "Name", batch: str = "batch") -> DataFrame:
@@ -85,15 +88,41 @@ def consistency_ranking(weekly: DataFrame, key: str, value: str) -> DataFrame:
     return op.with_serial(stats, ["__c", "__s", "no_data", key]).drop("__c", "__s")
 
 
-def update_results(stored: DataFrame, new: DataFrame, keys: list[str], score: str, cutoff: float) -> DataFrame:
-    """JOB-10: stored results and the new ones above the cutoff, each performance once."""
-    fresh = op.unseen(op.min_score(new, score, cutoff), stored, keys)
-    return op.stack(stored, fresh)
+def new_results(old: DataFrame, new: DataFrame, keys: list[str], score: str, cutoff: float) -> DataFrame:
+    """JOB-10: the new results with a score from the cutoff on whose performance (FN-21) is not stored, each performance once (that of the highest score)."""
+    key = fn.performance_key(*[F.col(k) for k in keys])
+    rows = op.min_score(new, score, cutoff).withColumn("__key", key)
+    rows = op.first_per(rows, ["__key"], [F.desc(score), *new.columns])
+    return op.unseen(rows, old.select(key.alias("__key")), ["__key"]).drop("__key")
 
 
-def link_results_to_athletes(results: DataFrame, meta: DataFrame, key: str, seq: str, values: list[str], created: str, today) -> DataFrame:
-    """JOB-11."""
-    return op.link_first_match(results, meta, key, seq, values, created, today)
+def update_results(old: DataFrame, new: DataFrame, keys: list[str], score: str, cutoff: float) -> DataFrame:
+    """JOB-10: stored results that have a score, and the new ones, highest score first."""
+    return op.by_score(op.stack(op.require(old, score), new_results(old, new, keys, score, cutoff)), score, *keys)
+
+
+def update_results_table(spark: SparkSession, root: str, new: DataFrame, keys: list[str], score: str, cutoff: float, created: str, by: str) -> tuple[str, DataFrame]:
+    """JOB-10 on a stored table: the state before the change (SNK-3), and how many results were added by ``by`` (AGG-8). A second run adds none."""
+    before = sources.snapshot(spark, root)
+    old = sources.load_table(spark, root, before)
+    version = sources.append_table(new_results(old, op.with_literals(new, Date_Created=created), keys, score, cutoff), root)
+    return before, op.value_counts(spark.read.parquet(f"{root}/{version}"), by)
+
+
+def link_results_to_athletes(results: DataFrame, metas: list[DataFrame], key: str, seq: str, values: list[str], created: str, today, fills: dict | None = None) -> DataFrame:
+    """JOB-11: values of each competitor's first row in the stacked metadata (``seq`` orders the rows of a table, tables in the given order)."""
+    meta = op.stack(*[m.withColumn("__table", F.lit(i)) for i, m in enumerate(metas)])
+    first = op.first_per(meta, [key], ["__table", seq])
+    out = op.link_first_match(results, first, key, seq, values, created, today)
+    return op.export_fill(out, fills) if fills else out
+
+
+def assign_athlete_ids(meta: DataFrame, mapping: DataFrame, name: str, id_col: str, seq: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JOB-12: the table with ``assigned_id`` (0 if unknown), the unmatched names with their number of rows, and the match statistics."""
+    known = mapping.filter(F.col(id_col).isNotNull())
+    out, _ = op.assign_ids(meta, known, name, id_col, seq)
+    keyed = lambda df: df.withColumn("match_key", fn.match_key(F.col(name)))
+    return out, op.unmatched_report(keyed(meta), keyed(known), "match_key"), op.match_stats(out, "assigned_id")
 
 
 def form_scores(perf: DataFrame, roster: DataFrame, reference: str = "2024-08-01", lam: float = 0.001) -> DataFrame:
@@ -105,11 +134,24 @@ def form_scores(perf: DataFrame, roster: DataFrame, reference: str = "2024-08-01
     return out.withColumn("days", days).withColumn("weighted_score", fn.decayed(F.col("score"), days, lam))
 
 
-def evaluate_predictions(final: DataFrame, predictions: DataFrame) -> DataFrame:
-    """JOB-14: final (event, athlete, place), predictions (predictor, event, athlete, score): error of each predictor's ranks."""
+def evaluate_predictions(final: DataFrame, predictions: DataFrame, null_policy: str = "none") -> DataFrame:
+    """JOB-14: final (event, athlete, place), predictions (predictor, event, athlete, score): error of each predictor's ranks.
+
+    Finalists a predictor did not rank (FN-30): left out (``none``), no error (``zero``), or the mean error (``mean``, which leaves the means as they are and counts them).
+    """
     ranked = op.with_rank(predictions, ["predictor", "event"], [F.desc("score"), "athlete"])
-    joined = final.join(ranked.groupBy("predictor", "event", "athlete").agg(F.min("rank").alias("rank")), ["event", "athlete"])
-    return op.rank_error(joined, ["predictor", "event"], "rank", "place")
+    ranked = ranked.groupBy("predictor", "event", "athlete").agg(F.min("rank").alias("rank"))
+    if null_policy == "none":
+        return op.rank_error(final.join(ranked, ["event", "athlete"]), ["predictor", "event"], "rank", "place")
+    asked = final.join(ranked.select("predictor", "event").distinct(), "event").join(ranked, ["predictor", "event", "athlete"], "left")
+    square = F.pow(fn.rank_delta(F.col("rank"), F.col("place"), "zero" if null_policy == "zero" else "none"), F.lit(2))
+    return asked.groupBy("predictor", "event").agg(F.avg(square).alias("mse"), F.sqrt(F.avg(square)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+
+def prediction_scoreboard(errors: DataFrame, one: str, other: str) -> DataFrame:
+    """JOB-14: the root mean squared errors of two predictors side by side, event by event (JN-4)."""
+    side = lambda name: errors.filter(F.col("predictor") == name).select("event", F.col("rmse").alias(f"rmse_{name}"))
+    return op.compare_scoreboards(side(one), side(other))
 
 
 def multi_discipline_report(perf: DataFrame, athlete: str, discipline: str, score: str) -> DataFrame:
@@ -123,37 +165,58 @@ def recollection_plan(meta: DataFrame, state: str, value, id_col: str, size: int
     return op.chunk_ids(op.where_state(meta, state, value), id_col, size)
 
 
+def country_report(results: DataFrame, coords: DataFrame, nat: str = "nat") -> DataFrame:
+    """JOB-16: number of results of each nation that has coordinates, with them."""
+    return op.with_coordinates(op.value_counts(results, nat), coords, nat, "inner")
+
+
+def serve_home(athletes: DataFrame, coords: DataFrame, log: DataFrame, nat: str = "nat", ts: str = "timestamp") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JOB-17: athletes with their nation's coordinates (null if unknown), the headline counts, and the latest load with its time as text."""
+    latest = op.latest_row(log, ts).withColumn("last_updated", F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" (GMT +8)")))
+    return op.with_coordinates(athletes, coords, nat), op.headline_counts(athletes, nat), latest
+
+
 def serve_athlete(activities: DataFrame, name_col: str, name: str, ts: str) -> DataFrame:
     """JOB-18: one athlete's activities, newest first."""
     return op.newest_first(op.find_by_name(activities, name_col, name), ts)
 
 
-def weekly_pipeline(spark: SparkSession, raw: DataFrame, store: str, metadata: str, weeks: int) -> DataFrame:
+def athlete_page(meta: DataFrame, activities: DataFrame, name_col: str, name: str, ts: str, km: str = "km", marks: str = "marks", disciplines: str = "disciplines") -> tuple[DataFrame, DataFrame]:
+    """JOB-18: the athlete's row with ``event_times`` (disciplines and marks side by side), and the activities, newest first, with time and distance as text."""
+    found = op.find_by_name(meta, name_col, name)
+    listed = fn.not_blank(F.col(marks)) & fn.not_blank(F.col(disciplines))
+    pairs = F.when(listed, fn.zip_lists(F.col(disciplines), F.col(marks)))
+    profile = found.withColumn("event_times", F.coalesce(F.transform(pairs, lambda p: F.struct(p["a"].alias("discipline"), p["b"].alias("mark"))), F.array().cast("array<struct<discipline:string,mark:string>>")))
+    shown = serve_athlete(activities, name_col, name, ts)
+    return profile, shown.withColumn("start_text", fn.human_date(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))).withColumn("km_text", fn.fixed(F.col(km).cast("double"), 2))
+
+
+def weekly_pipeline(spark: SparkSession, raw: DataFrame, store: str, metadata: str, start_week: int, end_week: int) -> DataFrame:
     """JOB-20: payloads to stored activities to metadata; returns the number of new rows per athlete.
 
-    The new rows are appended once; metrics are computed for the athletes among them only.
+    New rows are written as a batch of their own, then appended to the store; metrics are computed for the athletes of the batch only,
+    over their whole history, per week up to ``end_week``. The metadata say up to which batch they go (``upto``), so what a crash
+    left undone is done by the next run, and a run without new rows changes nothing.
     """
     flat, _ = flatten_payloads(raw)
     names = {"athlete_id": "Athlete ID", "athlete_name": "Athlete Name", "activity_id": "Activity ID", "activity_name": "Activity Name", "description": "Description", "start_date": "Start Date", "elapsed_time": "Elapsed Time", "type": "Type", "location": "Location", "distance_km": "Distance (km)", "pace_min_km": "Pace (min/km)", "time": "Time"}
-    stored = sources.load_table(spark, store) if sources.versions(spark, store) else None
-    last = stored.agg(F.max("Serial")).first()[0] or 0 if stored is not None else 0
+    batches = f"{store}-new"
+    kept = sources.load_table(spark, store) if sources.versions(spark, store) else None
+    last = kept.agg(F.max("Serial")).first()[0] or 0 if kept is not None else 0
     raw_km = flat.withColumnsRenamed(names)
-    fresh = clean_activities(raw_km if stored is None else ingest_activities(raw_km, stored), last)
-    version = sources.write_table(fresh, f"{store}-new")
-    fresh = sources.load_table(spark, f"{store}-new", version)
-    sources.append_table(fresh, store)
+    known = spark.createDataFrame([], "`Activity ID` bigint") if kept is None else kept
+    version = sources.write_table(clean_activities(ingest_activities(raw_km, known), last), batches)
+    old = sources.load_table(spark, metadata) if sources.versions(spark, metadata) else None
+    upto = old.agg(F.max("upto")).first()[0] or "" if old is not None else ""
+    pending = [spark.read.parquet(f"{batches}/{v}") for v in sources.versions(spark, batches) if v > upto]
+    fresh = op.first_per(op.stack(*pending), ["Activity ID"], ["Serial"])
+    missing = fresh if kept is None else op.unseen(fresh, kept.select("Activity ID"), ["Activity ID"])
+    sources.append_table(missing, store)
     every = sources.load_table(spark, store).select(F.col("`Athlete ID`").alias("athlete_id"), fn.activity_type(F.col("Type")).alias("type"), F.col("`Distance (km)`").alias("km"), F.col("`Time (min)`").alias("minutes"))
     mine = op.semi(every, fresh.select(F.col("`Athlete ID`").alias("athlete_id")), ["athlete_id"])
-    metrics = op.training_metrics(mine, weeks)
-    if sources.versions(spark, metadata):
-        old = sources.load_table(spark, metadata)
-        metrics = op.stack(update_metadata(old, metrics, weeks), op.unseen(metrics, old, ["athlete_id"]).withColumn("weeks", F.lit(weeks)))
-    else:
-        metrics = metrics.withColumn("weeks", F.lit(weeks))
-    sources.write_table(metrics, metadata)
-    return op.ingest_report(fresh, "Athlete Name")
-
-
-def running_total(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Cumulative value per athlete, as the serving page draws it."""
-    return df.withColumn("running", F.sum(value).over(Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)))
+    metrics = op.training_metrics(mine, end_week)
+    added = metrics.withColumn("weeks", F.lit(end_week - start_week))
+    if old is not None:
+        added = op.stack(update_metadata(old.drop("upto"), metrics, start_week, end_week), op.unseen(added, old, ["athlete_id"]))
+    sources.write_table(added.withColumn("upto", F.lit(version)), metadata)
+    return op.ingest_report(spark.read.parquet(f"{batches}/{version}"), "Athlete Name")

@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import conform
+from ..operators import conform, schema_accepts
+
+
+def headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
+    """Column names of every file that fits the pattern; of each file only the first line is read (one header per file reaches the driver)."""
+    fs, where, _ = _files(spark, pattern)
+    out = {}
+    for status in fs.globStatus(where) or []:
+        if status.isFile():
+            reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
+            line = reader.readLine()
+            reader.close()
+            out[status.getPath().toString()] = next(csv.reader([(line or "").removeprefix("\ufeff")]), [])
+    return out
+
+
+def read_files(spark: SparkSession, files: dict[str, list[str]], schema: T.StructType) -> DataFrame:
+    """CSV files by the names in their headers, whatever the order of columns; quoted fields may hold line breaks. Missing columns and
+    broken fields become null. Files of equal header are read together."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, names in files.items():
+        groups.setdefault(tuple(names), []).append(path)
+    read = lambda paths: spark.read.options(header=True, multiLine=True, escape='"').csv(paths)
+    parts = [conform(read(paths), schema, defaults=False) for names, paths in groups.items() if names]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC-1: CSV with a header and a contract; broken fields become null."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    """SRC-1: CSV with a header and a contract (see ``read_files``)."""
+    return read_files(spark, headers(spark, path), schema)
 
 
 def read_dir(spark: SparkSession, folder: str, glob: str, schema: T.StructType) -> DataFrame:
     """SRC-2: all files of a folder whose name fits."""
-    return spark.read.schema(schema).option("header", True).option("pathGlobFilter", glob).csv(folder)
+    return read_files(spark, headers(spark, f"{folder}/{glob}"), schema)
 
 
 def batch_of(name: Column) -> Column:
@@ -33,19 +59,19 @@ def with_batch(df: DataFrame) -> DataFrame:
     return df.withColumn("batch", batch_of(F.col("_metadata.file_name")))
 
 
-def file_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
-    """First line of every file: ``path, columns``."""
-    text = spark.read.option("pathGlobFilter", glob).option("wholetext", False).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("row"))
-    return text.filter("at = 0").groupBy("path").agg(F.min_by("value", "row").alias("header")).select("path", F.split("header", ",").alias("columns"))
+def read_by_unit(spark: SparkSession, folder: str, miles: T.StructType, km: T.StructType, glob: str = "*.csv") -> tuple[DataFrame, DataFrame, int]:
+    """SRC-4, QLT-3: files in miles, files in km, and the number of files with neither header."""
+    found = headers(spark, f"{folder}/{glob}")
+    mi = {p: names for p, names in found.items() if "Distance (mi)" in names}
+    kms = {p: names for p, names in found.items() if "Distance (km)" in names and p not in mi}
+    return read_files(spark, mi, miles), read_files(spark, kms, km), len(found) - len(mi) - len(kms)
 
 
-def read_by_unit(spark: SparkSession, folder: str, miles: T.StructType, km: T.StructType, glob: str = "*.csv") -> tuple[DataFrame, DataFrame, int]:
-    """SRC-4, QLT-3: files in miles, files in km, and the number of files with neither header (one header per file reaches the driver)."""
-    headers = [(r.path, {c.strip().strip('"') for c in r["columns"]}) for r in file_headers(spark, folder, glob).toLocalIterator()]
-    of = lambda unit: [p for p, names in headers if f"Distance ({unit})" in names]
-    mi, kms = of("mi"), [p for p in of("km") if p not in of("mi")]
-    read = lambda paths, schema: conform(spark.read.option("header", True).csv(paths), schema, defaults=False) if paths else spark.createDataFrame([], schema)
-    return read(mi, miles), read(kms, km), len(headers) - len(mi) - len(kms)
+def accepted_files(spark: SparkSession, folder: str, glob: str, schema: T.StructType) -> tuple[DataFrame, list[str]]:
+    """QLT-3: the rows of the files whose header has the contract's columns, and the names of the others."""
+    found = headers(spark, f"{folder}/{glob}")
+    good = {p: names for p, names in found.items() if schema_accepts(names, schema)}
+    return read_files(spark, good, schema), sorted(p.rsplit("/", 1)[1] for p in found if p not in good)
 
 
 def parse_payload(df: DataFrame, column: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +115,7 @@ def page_manifest(events: DataFrame, url: str, start: int, end: int) -> DataFram
     return pages.withColumn("url", F.regexp_replace(url, "page=1(?![0-9])", "page={}")).withColumn("url", F.replace("url", F.lit("{}"), F.col("page").cast("string")))
 
 
-# -- sinks: a table is a folder of versions; readers take the newest whole one ---------------------------------
+# -- sinks: a table is a folder of numbered states, whole ones (v=) and rows added to the state before (a=) -------
 
 
 def _files(spark: SparkSession, path: str):
@@ -99,44 +125,46 @@ def _files(spark: SparkSession, path: str):
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
-    """Versions that were written to their end, oldest first."""
+    """States that were written to their end, oldest first."""
     fs, where, path = _files(spark, root)
     if not fs.exists(where):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(where)]
-    return sorted(n for n in names if re.match(r"v=\d+$", n) and fs.exists(path(f"{root}/{n}/_SUCCESS")))
+    return sorted((n for n in names if re.match(r"[va]=\d+$", n) and fs.exists(path(f"{root}/{n}/_SUCCESS"))), key=lambda n: n[2:])
 
 
 def load_table(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The newest state, or that of ``version``: the last whole one up to it with all rows added since."""
     found = versions(spark, root)
     if not found:
         raise FileNotFoundError(root)
-    return spark.read.parquet(f"{root}/{version or found[-1]}")
+    upto = found[: found.index(version) + 1] if version else found
+    whole = max((i for i, n in enumerate(upto) if n[0] == "v"), default=0)
+    return spark.read.parquet(*[f"{root}/{n}" for n in upto[whole:]])
 
 
-def _next(spark: SparkSession, root: str) -> str:
+def _next(spark: SparkSession, root: str, kind: str) -> str:
     found = versions(spark, root)
-    return f"v={int(found[-1][2:]) + 1 if found else 1:012d}"
+    return f"{kind}={int(found[-1][2:]) + 1 if found else 1:012d}"
 
 
 def write_table(df: DataFrame, root: str) -> str:
-    """SNK-1: a new version; the one being read stays whole."""
-    version = _next(df.sparkSession, root)
+    """SNK-1: a new whole state; the one being read stays."""
+    version = _next(df.sparkSession, root, "v")
     df.write.mode("errorifexists").parquet(f"{root}/{version}")
     return version
 
 
-def append_table(df: DataFrame, root: str) -> None:
-    """SNK-2: rows added to the newest version."""
-    found = versions(df.sparkSession, root)
-    df.write.mode("append").parquet(f"{root}/{found[-1] if found else _next(df.sparkSession, root)}")
+def append_table(df: DataFrame, root: str) -> str:
+    """SNK-2: a new state with rows added; readers of earlier states don't see them."""
+    version = _next(df.sparkSession, root, "a")
+    df.write.mode("errorifexists").parquet(f"{root}/{version}")
+    return version
 
 
 def snapshot(spark: SparkSession, root: str) -> str:
-    """SNK-3: the newest version is frozen; later changes go to a copy."""
-    kept = versions(spark, root)[-1]
-    write_table(load_table(spark, root, kept), root)
-    return kept
+    """SNK-3: the name of the newest state, which nothing changes any more; no row is copied."""
+    return versions(spark, root)[-1]
 
 
 def publish(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:

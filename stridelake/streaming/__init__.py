@@ -18,12 +18,13 @@ def once_per_id(stream: DataFrame, id_col: str, ts: str, delay: str = "8 days")
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
 
 
-def append_unseen(store: str, id_col: str):
-    """STR-1: a ``foreachBatch`` function that appends the ids the store lacks; a repeated batch adds nothing."""
+def append_unseen(store: str, id_col: str, order: list | None = None):
+    """STR-1: a ``foreachBatch`` function that appends the ids the store lacks; a repeated batch adds nothing. Rows without an id are left out;
+    of rows with the same id the first in ``order`` counts (by default that of all columns)."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = op.first_per(batch, [id_col], [id_col])
+        fresh = op.first_per(batch.filter(F.col(id_col).isNotNull()), [id_col], order or batch.columns)
         if sources.versions(spark, store):
             fresh = op.unseen(fresh, sources.load_table(spark, store).select(id_col), [id_col])
         sources.append_table(fresh, store)

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridelake import operators as op
@@ -38,8 +40,9 @@ def test_units_by_header(spark, tmp_path):
     both = {r["Activity ID"]: r for r in plans.unify_units(mi, km).collect()}
     assert round(both[10]["Distance (km)"], 4) == 3.2187 and both[11]["Athlete ID"] == 1
     assert both[11]["Activity Time (s)"] == 1200
-    read = sources.with_batch(sources.read_dir(spark, str(tmp_path), "*_meta.csv", spark.createDataFrame([], "`Athlete ID` string, Name string").schema))
-    assert read.first()["batch"] == "3"
+    read = sources.read_dir(spark, str(tmp_path), "*_meta.csv", spark.createDataFrame([], "Name string, `Athlete ID` string").schema)
+    assert tuple(read.first()) == ("Ada", "1")
+    assert sources.with_batch(spark.read.option("header", True).csv(str(tmp_path / "batch_3_meta.csv"))).first()["batch"] == "3"
     assert not op.schema_accepts(["Athlete ID"], schemas.WEEKLY_TOTALS) and op.schema_accepts(schemas.WEEKLY_TOTALS.fieldNames()[::-1], schemas.WEEKLY_TOTALS)
 
 
@@ -73,11 +76,71 @@ def test_weekly_pipeline_is_idempotent(spark, tmp_path):
     flat, bad = plans.flatten_payloads(raw)
     assert sorted(r.activity_id for r in flat.collect()) == [10, 11, 77] and bad.count() == 1
     store, meta = str(tmp_path / "acts"), str(tmp_path / "meta")
-    plans.weekly_pipeline(spark, raw, store, meta, 1).collect()
-    plans.weekly_pipeline(spark, raw, store, meta, 1).collect()
+    plans.weekly_pipeline(spark, raw, store, meta, 0, 2).collect()
+    before = sources.load_table(spark, meta).first()
+    plans.weekly_pipeline(spark, raw, store, meta, 2, 3).collect()
     acts = sources.load_table(spark, store)
     assert sorted(acts.select("Serial").toPandas()["Serial"]) == [1, 2, 3]
-    assert sources.load_table(spark, meta).first().total_run_km == 10.0
+    after = sources.load_table(spark, meta).first()
+    assert (after.total_run_km, after.avg_weekly_run_km, after.weeks) == (before.total_run_km, before.avg_weekly_run_km, before.weeks) == (10.0, 5.0, 2)
+
+
+def test_weekly_pipeline_makes_up_for_a_crash(spark, tmp_path, monkeypatch):
+    store, meta = str(tmp_path / "acts"), str(tmp_path / "meta")
+    raw = spark.createDataFrame([payload(10)], "`JSON Data` string, Name string")
+    plans.weekly_pipeline(spark, raw, store, meta, 0, 1).collect()
+    more = spark.createDataFrame([payload(10, 11)], "`JSON Data` string, Name string")
+    whole = sources.write_table
+
+    def broken(df, root):
+        if root == meta:
+            raise RuntimeError("lost")
+        return whole(df, root)
+
+    monkeypatch.setattr(sources, "write_table", broken)
+    with pytest.raises(RuntimeError):
+        plans.weekly_pipeline(spark, more, store, meta, 1, 2)
+    monkeypatch.undo()
+    plans.weekly_pipeline(spark, more, store, meta, 1, 2).collect()
+    assert sources.load_table(spark, store).count() == 3
+    got = sources.load_table(spark, meta).first()
+    assert (got.total_run_km, got.weeks) == (10.0, 2)
+
+
+def test_ingest_drops_null_ids_and_picks_alike(spark):
+    new = spark.createDataFrame([(1, "b"), (1, "a"), (None, "x")], "id long, batch string")
+    known = spark.createDataFrame([(None,), (5,)], "id long")
+    assert [tuple(r) for r in plans.ingest_activities(new, known, "id").collect()] == [(1, "a")]
+    old = spark.createDataFrame([(1, 1200.0)], "id long, score double")
+    many = spark.createDataFrame([(1, 1300.0), (2, 1150.0), (2, 1150.0), (3, 900.0)], "id long, score double")
+    assert [r.id for r in plans.update_results(old, many, ["id"], "score", 1100).collect()] == [1, 2]
+
+
+def test_serials_and_ranks_of_many_wide_rows(spark):
+    """Enough rows for sampled ranges and adaptive coalescing to differ between two plans of the same exchange."""
+    n = 500_000
+    df = spark.range(n, numPartitions=64).select((F.col("id") * 7919 % n).alias("k"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
+    try:
+        wrong = op.with_serial(df, ["k"], 5).agg(F.count_if(F.col("serial") != F.col("k") + 6).alias("wrong"), F.count(F.lit(1)).alias("n")).first()
+        assert (wrong.wrong, wrong.n) == (0, n)
+        ranked = op.with_rank(df, ["g"], [F.desc("k")])
+        want = df.select("g", "k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("k"))).alias("want"))
+        both = ranked.join(want, ["g", "k"]).agg(F.count_if(F.col("rank") != F.col("want")).alias("wrong"), F.count(F.lit(1)).alias("n")).first()
+        assert (both.wrong, both.n) == (0, n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_by_name_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Name,Athlete ID,Description\n"Ada",1,"two\nlines, ""quoted"""\n')
+    (tmp_path / "b.csv").write_text("Athlete ID,Description,Name\nx,plain,Bo\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = sources.read_dir(spark, str(tmp_path), "*.csv", schemas.table_schema("`Athlete ID` bigint, Name string, Description string"))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [(1, "Ada", 'two\nlines, "quoted"'), (None, "Bo", "plain")]
 
 
 def test_streams(spark, tmp_path):
