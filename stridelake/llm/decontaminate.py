@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import apply_by_id, stored
+from .shared import packed, row_key, same_row, stored
 from .wordhash import ALNUM, GOLDEN, LOWER, mix, portions, word_hashes
 
 WINDOW = 13
@@ -70,10 +70,10 @@ _ROW = "__doc long, __n long, __hits array<struct<width:int,at:long,gram:long,co
 _HIT = pa.struct([("width", pa.int32()), ("at", pa.int64()), ("gram", pa.int64()), ("context", pa.binary())])
 
 
-def fingerprints(texts: DataFrame, bitmap: np.ndarray | None, short: list[int], is_item: bool) -> DataFrame:
-    """``__doc, __n`` (words) and ``__hits`` of every text: kept grams that the bitmap lets pass, and grams of the short items' lengths."""
+def fingerprints(texts: DataFrame, bitmap: np.ndarray | None, short: list[int], is_item: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` (longs), ``__doc, __n`` (words) and ``__hits`` of every text: kept grams that the bitmap lets pass, and grams of the short items' lengths."""
     shared = texts.sparkSession.sparkContext.broadcast((bitmap, short))
-    schema = pa.schema([("__doc", pa.int64()), ("__n", pa.int64()), ("__hits", pa.list_(_HIT))])
+    schema = pa.schema([*((k, pa.int64()) for k in keep), ("__doc", pa.int64()), ("__n", pa.int64()), ("__hits", pa.list_(_HIT))])
 
     def passes(values: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
         if bitmap is None:
@@ -112,9 +112,9 @@ def fingerprints(texts: DataFrame, bitmap: np.ndarray | None, short: list[int],
                         base = int(first[d])
                         context = _context(words[base : int(ends[d])], at - base, size) if width > 0 else None
                         hits[d].append({"width": width, "at": at - base, "gram": int(every[at].astype(np.int64)), "context": context})
-                yield pa.RecordBatch.from_arrays([docs.slice(a, b - a), pa.array(per_doc), pa.array(hits, pa.list_(_HIT))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in keep], docs.slice(a, b - a), pa.array(per_doc), pa.array(hits, pa.list_(_HIT))], schema=schema)
 
-    return texts.select("__doc", "text").mapInArrow(take, _ROW)
+    return texts.select(*keep, "__doc", "text").mapInArrow(take, "".join(f"{k} long, " for k in keep) + _ROW)
 
 
 def _winnowed(every: np.ndarray, inside: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -173,14 +173,15 @@ def extended(joined: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``__id, __n_words, __n_hit, __items`` (sorted as strings) of every document; one row per row of ``docs``."""
+    """Row key, ``__n_words, __n_hit, __items`` (sorted as strings) of every row of ``docs``."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("__doc"), "text").filter("text is not null")
     lengths = fingerprints(bench, None, [], True).filter(F.col("__n").between(1, WINDOW - 1)).select("__n").distinct()
     short = sorted(r[0] for r in lengths.collect())  # at most twelve numbers
     items = stored(fingerprints(bench, None, short, True), "items")
     bitmap = _item_bitmap(items)
-    rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text")
-    prints = stored(fingerprints(rows, bitmap, short, False), "prints")
+    # hits belong to rows: the stored number of a row tells rows apart whose id is null or repeated
+    rows = docs.select(*row_key(), "text").withColumn("__doc", F.monotonically_increasing_id())
+    prints = stored(fingerprints(rows, bitmap, short, False, ("__id", "__h1", "__h2")), "prints")
 
     def opened(table: DataFrame, doc: str, context: str) -> DataFrame:
         return table.select(F.col("__doc").alias(doc), F.explode("__hits").alias("h")).select(doc, F.col("h.width").alias("__width"), F.col("h.at").alias("__at"), F.col("h.gram").alias("__gram"), F.col("h.context").alias(context))
@@ -194,9 +195,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     reach = F.coalesce(F.max("__to").over(order), F.lit(0).cast("long"))
     cover = inside.select("__doc", F.greatest(F.lit(0).cast("long"), F.col("__to") - F.greatest("__from", reach)).alias("__new")).groupBy("__doc").agg(F.sum("__new").alias("__n_hit"))
     found = spans.select("__doc", F.col("__item").cast("string").alias("__item")).distinct().groupBy("__doc").agg(F.array_sort(F.collect_list("__item")).alias("__items"))
-    hits = cover.join(found.withColumnRenamed("__doc", "__d"), F.col("__doc").eqNullSafe(F.col("__d"))).select(F.col("__doc").alias("__id"), "__n_hit", "__items")
-    out = apply_by_id(prints.select("__doc", F.col("__n").alias("__n_words")), hits, "__doc")
-    return out.select(F.col("__doc").alias("__id"), "__n_words", F.coalesce("__n_hit", F.lit(0).cast("long")).alias("__n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("__items"))
+    hits = cover.join(found.withColumnRenamed("__doc", "__d"), F.col("__doc") == F.col("__d")).select(F.col("__doc").alias("__of"), "__n_hit", "__items")
+    out = prints.join(hits, F.col("__doc") == F.col("__of"), "left")
+    return out.select("__id", "__h1", "__h2", F.col("__n").alias("__n_words"), F.coalesce("__n_hit", F.lit(0).cast("long")).alias("__n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("__items"))
 
 
 def _contaminated() -> Column:
@@ -208,15 +209,15 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of ASCII letters (A-Z lowered), digits and characters beyond ASCII. A window is thirteen neighbouring words of an
     item, or all words of an item that has fewer; every word of a document inside an occurrence of a window is hit. Contaminated: at
-    least one word in twenty is hit. Null and empty texts have no words; items without words have no window. Rows that repeat a doc_id
-    share their hits; repeated items count by their id. An empty benchmark hits nothing.
+    least one word in twenty is hit. Null and empty texts have no words; items without words have no window. Every row has hits of its own,
+    also where its id is null or repeated; repeated items count by their id. An empty benchmark hits nothing, an empty table gives no rows. Very long texts are read whole.
     """
     out = contamination(docs, benchmark)
     return out.select(F.col("__id").alias("doc_id"), F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), _contaminated().alias("contaminated"))
 
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated; same columns."""
-    gone = contamination(docs, benchmark).filter(_contaminated()).select("__id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti").select(*docs.columns)
-
+    """The documents that are not contaminated (see ``contamination_report``, also on nulls and repeats); same columns, of any name."""
+    gone = contamination(docs.select("doc_id", "text"), benchmark).filter(_contaminated()).select("__id", "__h1", "__h2").distinct()
+    gone = gone.withColumnsRenamed({"__id": "__id_g", "__h1": "__h1_g", "__h2": "__h2_g"})
+    return packed(docs).join(gone, same_row("", "_g"), "left_anti").select("__row.*")

@@ -11,7 +11,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apply_by_id
 
 #: Equivalent spellings.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sub-license": "sublicense", "sub-licence": "sublicense", "non-commercial": "noncommercial", "per cent": "percent", "copyright owner": "copyright holder", "favour": "favor", "whilst": "while", "wilful": "willful", "https": "http"}
@@ -139,16 +138,19 @@ def scan_licences(docs: DataFrame, known: dict[str, str] | None = None) -> DataF
     """One row per document: ``doc_id, licence`` (of the entire text, else null), ``n_lines`` (lines that state a licence in full) and
     ``licences`` (all found, sorted, comma-joined; empty if none).
 
-    Null and empty texts have none. Rows that repeat a doc_id get the findings of all of them. The known digests are a
+    Null and empty texts have none. Every row has findings of its own, also where its id is null or repeated; an empty table gives no rows; very
+    long texts are digested whole; other columns are not looked at. The known digests are a
     fixed table, broadcast after a check of its size; more than MOST_KNOWN of them are joined by shuffle.
     """
     known = known_digests() if known is None else known
     table = docs.sparkSession.createDataFrame(sorted(known.items()) or [("", "")], "__digest string, __spdx string")
     table = F.broadcast(table) if len(known) <= MOST_KNOWN else table
-    rows = docs.select(F.col("doc_id").alias("__doc"), "text").filter("text is not null")
-    units = rows.select("__doc", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part"))), F.when(F.contains("text", F.lit("\n")), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part")))).otherwise(F.array(F.struct(F.lit(False).alias("whole"), F.col("text").alias("part")))))).alias("u"))
-    units = units.select("__doc", "u.whole", F.sha2(canonical(F.col("u.part")), 256).alias("__unit"))
-    hits = units.join(table, F.col("__unit") == F.col("__digest"))
-    found = hits.groupBy(F.col("__doc").alias("__id")).agg(F.min(F.when(F.col("whole"), F.col("__spdx"))).alias("__licence"), F.count_if(~F.col("whole")).alias("__n"), F.array_join(F.array_sort(F.collect_set("__spdx")), ",").alias("__all"))
-    out = apply_by_id(docs.select("doc_id"), found)
-    return out.select("doc_id", F.col("__licence").alias("licence"), F.coalesce("__n", F.lit(0).cast("long")).alias("n_lines"), F.coalesce("__all", F.lit("")).alias("licences"))
+    # a row's units stay in its task, so its findings meet again before the shuffle and need no join back
+    rows = docs.select(F.col("doc_id").alias("__id"), F.monotonically_increasing_id().alias("__doc"), "text")
+    part = lambda whole, c: F.struct(F.lit(whole).alias("whole"), c.alias("part"))
+    lines = F.when(F.contains("text", F.lit("\n")), F.transform(F.split("text", "\n"), lambda x: part(False, x))).otherwise(F.array(part(False, F.col("text"))))
+    units = rows.select("__id", "__doc", F.explode(F.when(F.col("text").isNull(), F.array(part(True, F.lit(None).cast("string")))).otherwise(F.concat(F.array(part(True, F.col("text"))), lines))).alias("u"))
+    units = units.select("__id", "__doc", "u.whole", F.sha2(canonical(F.col("u.part")), 256).alias("__unit"))
+    hits = units.join(table, F.col("__unit") == F.col("__digest"), "left").filter(F.col("whole") | F.col("__spdx").isNotNull())
+    found = hits.groupBy("__doc", "__id").agg(F.min(F.when(F.col("whole"), F.col("__spdx"))).alias("licence"), F.count_if(~F.col("whole")).alias("n_lines"), F.array_join(F.array_sort(F.collect_set("__spdx")), ",").alias("licences"))
+    return found.select(F.col("__id").alias("doc_id"), "licence", "n_lines", "licences")

@@ -32,8 +32,3 @@ def same_row(a: str, b: str) -> Column:
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns in the struct ``__row``, next to its row key: no column's name can clash. ``select("__row.*")`` undoes it."""
     return docs.select(F.struct("*").alias("__row"), *row_key())
-
-
-def apply_by_id(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` left-joined (nulls equal) to one-row-per-document ``decisions`` keyed by ``__id``."""
-    return docs.join(decisions, docs[doc_id].eqNullSafe(decisions["__id"]), "left").drop("__id")
