@@ -1,8 +1,10 @@
 """Byte-level BPE by corpus-level merge replay, and decoding.
 
-The distinct pieces of a portion of the corpus lie end to end as linked tokens. An inverted index leads from each mergeable
+The distinct pieces of the corpus are counted by a shuffle, and each is encoded once, wherever it stands. The pieces of a task
+lie end to end as linked tokens. An inverted index leads from each mergeable
 pair (by the rank of what it merges to) to the positions where it stands; merges are applied in rank order at all positions of the
-index, and only the two neighbours of each position enter the index anew.
+index, and only the two neighbours of each position enter the index anew. The codes of the commonest pieces, a bounded number, go to all tasks
+that put texts together; a rarer piece is replayed in the task that meets it.
 """
 
 from __future__ import annotations
@@ -15,10 +17,17 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .pretokens import PieceStore
+from .pretokens import PieceStore, split_pieces
+from .shared import discard, stored
 from .wordhash import portions
 
+#: Most pieces, and most characters of one, whose codes are broadcast: some 10 MB at any size of the corpus.
+COMMON_PIECES, COMMON_CHARS = 200_000, 40
+#: Pieces that are replayed together.
+LOT = 100_000
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank from lines of base64 and number."""
@@ -119,24 +128,72 @@ class MergeReplay:
 _stores: dict[str, tuple[MergeReplay, PieceStore]] = {}
 
 
-def _store(key: str, ranks: dict[bytes, int]) -> tuple[MergeReplay, PieceStore]:
+def _store(key: str, ranks: dict[bytes, int], seed: tuple[list[str], np.ndarray, np.ndarray] | None = None) -> tuple[MergeReplay, PieceStore]:
+    """The worker's store for ``key``; an earlier one is dropped."""
     if key not in _stores:
+        _stores.clear()
         replay = MergeReplay(ranks)
-        _stores[key] = replay, PieceStore(replay.encode)
+        _stores[key] = replay, PieceStore(replay.encode, seed)
     return _stores[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` as little-endian bytes.
+def corpus_pieces(docs: DataFrame) -> DataFrame:
+    """``piece, n``: the distinct pieces of all texts and how often each stands there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in portions([len(t or "") for t in texts]):
+                codes, names, _ = split_pieces(texts[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.bincount(codes, minlength=len(names)).astype(np.int64))], names=["piece", "n"])
+
+    return docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
 
-    Null and empty texts have no ids. Rows are independent, so repeated ids and other columns do no harm; an empty table gives none.
-    ``ranks_path`` is read on the driver; the ranks (a fixed file) go to the tasks. No shuffle.
+def encoded_pieces(pieces: DataFrame, ranks_path: str) -> DataFrame:
+    """``piece, n`` with ``ids`` (little-endian 32-bit), every piece replayed once."""
+    ranks = pieces.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = MergeReplay(ranks.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, LOT):
+                part = batch.slice(a, LOT)
+                ids = [np.array(x, "<u4").tobytes() for x in engine.encode(part.column("piece").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("piece"), part.column("n"), pa.array(ids, pa.binary())], names=["piece", "n", "ids"])
+
+    return pieces.mapInArrow(replay, "piece string, n long, ids binary")
+
+
+def common_codes(codes: DataFrame, most: int = COMMON_PIECES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The commonest pieces, at most ``most`` of at most COMMON_CHARS characters, with their ids: what the driver sees is bounded."""
+    short = codes.filter(F.length("piece") <= COMMON_CHARS)
+    levels = short.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()  # at most 64 rows
+    least, total = 64, 0
+    for level, n in sorted(levels, reverse=True):
+        if total + n > most:
+            break
+        least, total = level, total + n
+    table = short.filter(F.col("n") >= F.lit(2.0) ** least).select("piece", "ids").toArrow()
+    ids = b"".join(table.column("ids").to_pylist())
+    return table.column("piece").to_pylist(), np.frombuffer(ids, "<u4"), np.array([len(x) // 4 for x in table.column("ids").to_pylist()], np.int64)
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, with_ids: bool = False, most: int = COMMON_PIECES) -> DataFrame:
+    """One row per row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` as little-endian bytes.
+
+    Null and empty texts have no ids. Rows are independent, so null and repeated ids do no harm; an empty table gives none; very long texts
+    and words are encoded whole; other columns are not looked at. ``ranks_path`` is read on the driver; the ranks (a fixed file) go to the tasks.
+    Only the distinct pieces of each task are shuffled.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    codes = stored(encoded_pieces(corpus_pieces(docs), ranks_path), "pieces")
+    spark = docs.sparkSession.sparkContext
+    ranks, seed, key = spark.broadcast(read_ranks(ranks_path)), spark.broadcast(common_codes(codes, most)), codes.stored_path
+    discard(codes)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, store = _store(ranks_path, ranks.value)
+        replay, store = _store(key, ranks.value, seed.value)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in portions([len(t or "") for t in texts]):

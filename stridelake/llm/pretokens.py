@@ -60,19 +60,48 @@ def piece_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def split_pieces(texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """For all texts in order: which distinct piece each piece is, the distinct pieces, and how many pieces each text has (null: none).
+
+    Pieces are grouped by a hash, and each is compared with the first of its group; should two differ, they are grouped letter by letter.
+    """
+    texts = ["" if t is None else t for t in texts]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    whole = "".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        return np.empty(0, np.int64), [], np.zeros(len(texts), np.int64)
+    starts = piece_starts(points, ends - lengths)
+    sizes = np.diff(starts, append=len(points))
+    codes, distinct = pd.factorize(segment_hashes((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), sizes))
+    first = np.empty(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    same = first[codes]
+    cut = lambda which: [whole[a : a + n] for a, n in zip(starts[which].tolist(), sizes[which].tolist(), strict=True)]
+    if (sizes == sizes[same]).all() and (points == points[np.arange(len(points)) + np.repeat(starts[same] - starts, sizes)]).all():
+        names = cut(first)
+    else:
+        codes, names = pd.factorize(np.array(cut(np.arange(len(starts))), dtype=object))
+        names = names.tolist()
+    return codes, names, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 class PieceStore:
-    """Ids of pieces seen so far, found by hash; emptied when it holds more than ``most`` pieces."""
+    """Ids of pieces: those given from the start (``seed``: pieces, all their ids, how many each has) and those met since, which are dropped when they are more than ``most``."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_200_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], seed: tuple[list[str], np.ndarray, np.ndarray] | None = None, most: int = 1_200_000):
+        self.encode, self.seed, self.most = encode, seed, most
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.start = np.empty(1 << 14, np.int64)
         self.size = np.empty(1 << 14, np.int64)
         self.used = 0
+        if self.seed:
+            self.put(*self.seed)
 
     @staticmethod
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -82,45 +111,34 @@ class PieceStore:
         out[: len(a)] = a
         return out
 
-    def add(self, hashes: list[int], pieces: list[str]) -> None:
-        coded = self.encode(pieces)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        total, k = int(sizes.sum()), len(self.known)
-        self.flat = self._grown(self.flat, self.used + total)
-        self.flat[self.used : self.used + total] = np.fromiter((x for ids in coded for x in ids), np.uint32, total)
-        self.start, self.size = self._grown(self.start, k + len(coded)), self._grown(self.size, k + len(coded))
-        self.start[k : k + len(coded)] = self.used + np.cumsum(sizes) - sizes
-        self.size[k : k + len(coded)] = sizes
-        self.used += total
-        self.known.update(zip(hashes, range(k, k + len(coded)), strict=True))
+    def put(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k = len(self.known)
+        self.flat = self._grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start, self.size = self._grown(self.start, k + len(pieces)), self._grown(self.size, k + len(pieces))
+        self.start[k : k + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.size[k : k + len(pieces)] = sizes
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(k, k + len(pieces)), strict=True))
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many each text has (null: none)."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most + (len(self.seed[0]) if self.seed else 0):
             self.clear()
-        texts = ["" if t is None else t for t in texts]
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(lengths)
-        whole = "".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if not len(points):
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        starts = piece_starts(points, ends - lengths)
-        sizes = np.diff(starts, append=len(points))
-        hashes = segment_hashes((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), sizes)
-        codes, distinct = pd.factorize(hashes)
-        found = np.fromiter(map(self.known.get, distinct.tolist(), [-1] * len(distinct)), np.int64, len(distinct))
+        codes, names, per_text = split_pieces(texts)
+        if not len(codes):
+            return np.empty(0, np.uint32), per_text
+        found = np.fromiter(map(self.known.get, names, [-1] * len(names)), np.int64, len(names))
         new = np.flatnonzero(found < 0)
         if len(new):
-            first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            at, size = starts[first[new]], sizes[first[new]]
-            k = len(self.known)
-            self.add(distinct[new].tolist(), [whole[a : a + s] for a, s in zip(at.tolist(), size.tolist(), strict=True)])
+            k, pieces = len(self.known), [names[i] for i in new.tolist()]
+            coded = self.encode(pieces)
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.put(pieces, np.fromiter((x for ids in coded for x in ids), np.uint32, int(sizes.sum())), sizes)
             found[new] = np.arange(k, k + len(new))
         piece = found[codes]
         size = self.size[piece]
         before = np.cumsum(size) - size
         ids = self.flat[np.arange(int(size.sum())) + np.repeat(self.start[piece] - before, size)]
-        upto = np.append(before, len(ids))[np.searchsorted(starts, ends)]
+        upto = np.append(before, len(ids))[np.cumsum(per_text)]
         return ids, np.diff(upto, prepend=0)

@@ -82,8 +82,8 @@ def encoded(store: PieceStore, texts: list[str | None], added: dict[str, int]) -
 def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, with_added: bool = False) -> DataFrame:
     """Write the files; the manifest: ``part, path, width, n_docs, n_tokens, base``.
 
-    Null text counts as empty (only the end id). Null ids come first. Rows that repeat an id follow each other.
-    An empty table gives an empty manifest. With ``with_added``, the contents of the file's added tokens in a text become
+    Null text counts as empty (only the end id). Null ids come first. Rows that repeat an id follow each other, in the order of a text digest.
+    An empty table gives an empty manifest; very long texts and words are encoded whole; other columns are not looked at. With ``with_added``, the contents of the file's added tokens in a text become
     their ids, as by the library's default settings; else they are split like other text. ``vocabulary_path`` is read on the driver; its text (a fixed file) goes to the tasks.
     """
     spark = docs.sparkSession

@@ -160,12 +160,22 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert {r.doc_id: r.text for r in byte_bpe.decode_ids(coded, queries.RANKS).collect()} == dict(enumerate(texts))
 
 
+def _thue_morse(n=10):
+    one = "a"
+    for _ in range(n):
+        one += one.translate({97: 98, 98: 97})
+    return one, one.translate({97: 98, 98: 97})
+
+
+#: Two words of 1,024 letters that a polynomial hash takes for equal.
+THUE_MORSE = _thue_morse()
+
+
 def test_token_files_equal_the_library(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(queries.LIBRARY_VOCABULARY)
-    library.encode_special_tokens = True
-    texts = [*nasty(200, 3), "<|endoftext|>"]
+    texts = [*nasty(200, 3), *THUE_MORSE]
     rows = [(i * 37 % 401, t, "a") for i, t in enumerate(texts)]
     manifest = token_files.write_tokens(docs(spark, rows), queries.LIBRARY_VOCABULARY)
     got = {r.doc_id: r for r in token_files.read_tokens(manifest).collect()}
@@ -178,6 +188,31 @@ def test_token_files_equal_the_library(spark):
     assert token_files.open_mapped(f"{stem}.bin", "<u2").dtype == np.uint16 and token_files.open_mapped(f"{stem}.idx", "<u8")[0] == 0
 
 
+def test_words_that_look_alike_to_a_polynomial():
+    from stridelake.llm.pretokens import split_pieces
+    from stridelake.llm.wordhash import SPACED, word_hashes
+
+    codes, names, _ = split_pieces([*THUE_MORSE, THUE_MORSE[0]])
+    assert codes.tolist() == [0, 1, 0] and tuple(names) == THUE_MORSE
+    assert len(set(word_hashes([" ".join(THUE_MORSE)], SPACED)[0].tolist())) == 2
+
+
+def test_pieces_with_equal_hashes_are_told_apart(monkeypatch):
+    from stridelake.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "segment_hashes", lambda values, lengths: np.zeros(len(lengths), np.uint64))
+    codes, names, per_text = pretokens.split_pieces(["one two", None, "two one"])
+    assert [names[c] for c in codes] == ["one", " two", "two", " one"] and per_text.tolist() == [2, 0, 2]
+
+
+@pytest.mark.parametrize("most", [0, 40])
+def test_rare_pieces_are_encoded_alike(spark, most):
+    texts = [*nasty(60, 12), *THUE_MORSE, "common words " * 50]
+    table = docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    same = [sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.encode_documents(table, queries.RANKS, most=n).collect()) for n in (most, byte_bpe.COMMON_PIECES)]
+    assert same[0] == same[1] and {r[0]: r[2] for r in same[0]} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def slow_base(text):
     """The fixed patterns read to the letter."""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
@@ -440,3 +475,32 @@ def test_op3_equals_the_library_at_its_default_settings(spark, tmp_path):
         ids = [*library.encode(text, add_special_tokens=False).ids, 2]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+NO_ID = [(None, "a line that stands in three rows of this table\nthe first row has this line of its own"), (None, "a line that stands in three rows of this table\nthe second row has another line of its own"), (1, "a line that stands in three rows of this table"), (1, "this row repeats an id with a text that nobody else has")]
+
+
+def test_rows_without_an_id_lose_nothing_of_their_own(spark):
+    table = docs(spark, [(i, t, "a") for i, t in NO_ID])
+    got = sorted((str(r.doc_id), r.n_exact, r.text) for r in line_dedup.line_report(table).collect())
+    assert got == [("1", 0, NO_ID[2][1]), ("1", 0, NO_ID[3][1]), ("None", 1, NO_ID[0][1].split("\n")[1]), ("None", 1, NO_ID[1][1].split("\n")[1])]
+    assert sorted(r.text for r in line_dedup.dedup_stage(table).collect()) == sorted(g[2] for g in got)
+
+
+def test_rows_without_an_id_have_hits_and_classes_of_their_own(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    clean = " ".join(f"c{k}" for k in range(30))
+    table = docs(spark, [(None, item, "a"), (None, clean, "a"), (3, item + " x", "a"), (3, clean + " y z", "a")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted((r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination_report(table, bench).collect())
+    assert got == [(20, 20, True), (21, 20, True), (30, 0, False), (32, 0, False)]
+    kept = decontaminate.decontamination_stage(table.withColumn("__h1", F.lit("clash")), bench)
+    assert sorted(r.text for r in kept.collect()) == [clean, clean + " y z"] and "__h1" in kept.columns
+    near = {r.text: r for r in minhash.near_stage(table.withColumn("__id", F.lit("clash"))).collect()}
+    assert set(near) == {item + " x", clean + " y z"}  # of each pair the row with an id
+    found = licences.scan_licences(docs(spark, [(None, "MIT License", "a"), (None, "no licence", "a"), (5, "MIT License", "a"), (5, "other", "a")])).collect()
+    assert sorted((str(r.doc_id), r.licences) for r in found) == [("5", ""), ("5", "MIT"), ("None", ""), ("None", "MIT")]
+    boiler = "subscribe to our letter and follow us on every channel there is today"
+    own = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    judged = quality_rules.quality_report(docs(spark, [(None, f"{boiler}\n{own(i)}", "h") for i in range(12)] + [(None, own(20), "h")])).collect()
+    assert sorted(r.n_removed_words for r in judged) == [0] + [13] * 12
