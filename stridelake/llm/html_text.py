@@ -2,7 +2,7 @@
 
 Every block of text has the path of block-level tags from the root. Per path, text length and punctuation are averaged over its
 blocks and fused; the scores are smoothed along the page, and paths whose blocks score above a share of the page's spread
-hold content. The main text is everything in the article or main element that holds most of the content blocks, else in the
+hold content. The main text is everything in the article and main elements that hold content blocks, if most of the content stands there, else in the
 innermost element that holds all of them, but for parts that are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments.
 """
@@ -48,8 +48,11 @@ PARTS = HEADINGS | frozenset("p ul ol li dl dt dd table thead tbody tfoot tr td
 #: Such text next to an element belongs to the same article.
 PROSE = HEADINGS | {"p"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
-_MARKING = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute: a quote counts only right after an equals sign.
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_TO_END = re.compile(r"[\s/]*>")
+_MARKING = frozenset(("class", "id", "role"))
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 _SIGMA, _RADIUS, _SHARE = 1.0, 2, 0.5
 
@@ -63,51 +66,102 @@ class Block:
     text: str
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def tokens(page: str) -> Iterator[tuple[str, str, list[tuple[str, str]], bool]]:
+    """(kind, value, attributes, self-closed) of the parts of a page in order: ``text``, ``open`` and ``close``; raw elements' content and comments are left out.
+
+    Every character is passed over a fixed number of times. A tag that never ends takes the rest of the page with it, as in browsers.
+    """
+    at, n = 0, len(page)
+    while at < n:
+        less = page.find("<", at)
+        less = n if less < 0 else less
+        if less > at:
+            yield "text", page[at:less], [], False
+        if less == n:
+            return
+        after = page[less + 1 : less + 2]
+        if page.startswith("<!--", less):
+            end = page.find("-->", less + 4)
+            at = n if end < 0 else end + 3
+        elif after in ("!", "?"):
+            end = page.find(">", less)
+            at = n if end < 0 else end + 1
+        elif name := _NAME.match(page, less + 2 if after == "/" else less + 1):
+            tag, at, attributes = name[0].lower(), name.end(), []
+            if page.find(">", at) < 0:
+                return
+            while not (end := _TO_END.match(page, at)):
+                found = _ATTRIBUTE.match(page, at)
+                if not found:
+                    return
+                at = found.end()
+                if found[1].lower() in _MARKING:
+                    attributes.append((found[1].lower(), found[2] or found[3] or found[4] or ""))
+            at = end.end()
+            if after == "/":
+                yield "close", tag, [], False
+            else:
+                yield "open", tag, attributes, "/" in end[0]
+                if tag in RAW:
+                    shut = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+                    at = shut.end() if shut else n
+        else:
+            yield "text", "<", [], False
+            at = less + 1
+
+
+def _marked(tag: str, attributes: list[tuple[str, str]]) -> bool:
     """Whether all words of a class, id or role are marks."""
-    for m in _MARKING.finditer(attributes):
-        if m[1].lower() == "id" and tag in SLUGGED:
+    for name, value in attributes:
+        if name == "id" and tag in SLUGGED:
             continue
-        words = [w for w in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()) if w]
+        words = [w for w in re.split(r"[\s_-]+", value.lower()) if w]
         if words and MARKS.issuperset(words):
             return True
     return False
 
 
+@dataclass
+class Element:
+    tag: str
+    serial: int
+    drop: bool = False
+    mark: bool = False
+    #: For an inline element whose text goes: the pieces before it, and how many blocks there were.
+    cut: tuple[int, int] | None = None
+
+
 def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     """The text blocks in page order, and the tag of every element that can hold some."""
     tags: dict[int, str] = {0: ""}
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    stack = [Element("", 0)]
     out: list[Block] = []
     pieces: list[str] = []
-    serial, at = 0, 0
+    serial = 0
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            level = [x for x in stack if x[0] not in INLINE]
-            out.append(Block(tuple(x[0] for x in level), tuple(x[1] for x in level), any(x[2] for x in stack), tuple(x[1] for x in stack if x[3]), text))
+            level = [x for x in stack if x.tag not in INLINE]
+            out.append(Block(tuple(x.tag for x in level), tuple(x.serial for x in level), any(x.drop for x in stack), tuple(x.serial for x in stack if x.mark), text))
 
     def close(upto: int) -> None:
-        if any(x[0] not in INLINE for x in stack[upto:]):
-            flush()
-        del stack[upto:]
+        for x in reversed(stack[upto:]):
+            if x.cut and x.cut[1] == len(out):
+                del pieces[x.cut[0] :]
+            elif x.cut or x.tag not in INLINE:
+                flush()
+            stack.pop()
 
-    while True:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            pieces.append(html.unescape(text))
-        if m is None:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    for kind, value, attributes, closed in tokens(page):
+        if kind == "text":
+            pieces.append(html.unescape(value))
             continue
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k and not (tag in INLINE and any(x[0] not in INLINE for x in stack[k:])):
+        tag = value
+        if kind == "close":
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            if k and not (tag in INLINE and any(x.tag not in INLINE for x in stack[k:])):
                 close(k)
             elif tag not in INLINE:
                 flush()
@@ -116,31 +170,28 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             pieces.append("\n")
             continue
         drop = tag in DROPPED
-        mark = not drop and tag not in WHOLE and tag not in HEADINGS and _marked(tag, m[3])
+        mark = not drop and tag not in WHOLE and tag not in HEADINGS and _marked(tag, attributes)
         if tag not in INLINE:
             if tag in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
                 if k:
                     close(k)
             if tag in ENDS:
                 kinds, limits = ENDS[tag]
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in limits:
+                    if stack[k].tag in limits:
                         break
-                    if stack[k][0] in kinds:
+                    if stack[k].tag in kinds:
                         close(k)
             flush()
-        elif drop or mark:
+        elif drop:
             flush()
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
+        if tag in RAW or tag in VOID or closed and tag in ("svg", "path"):
             continue
         serial += 1
         tags[serial] = tag
-        stack.append((tag, serial, drop, mark))
+        stack.append(Element(tag, serial, drop, mark, (len(pieces), len(out)) if mark and tag in INLINE else None))
+    close(1)
     flush()
     return out, tags
 
@@ -183,17 +234,17 @@ def _unmarked(found: list[Block], tags: dict[int, str]) -> list[Block]:
     return [b for b in found if wrappers.issuperset(b.marks)]
 
 
-def _holder(found: list[Block], tags: dict[int, str]) -> int:
-    """The element that holds the article."""
+def _holders(found: list[Block], tags: dict[int, str]) -> set[int]:
+    """The elements that hold the article: the outermost article or main elements with content blocks, if these are most of the content; else
+    the innermost element around all content blocks."""
     paths = content_paths(found)
     content = [b for b in found if b.path in paths]
     held: dict[int, int] = defaultdict(int)
     for b in content:
-        for h in b.holders:
-            held[h] += len(b.text)
-    whole = [h for h, n in held.items() if tags[h] in HOLDERS and n >= 0.6 * held[0]]
-    if whole:
-        return min(whole)  # elements are numbered in page order, so the outermost is first
+        held[next((h for h in b.holders if tags[h] in HOLDERS), 0)] += len(b.text)
+    outside = held.pop(0, 0)
+    if sum(held.values()) > outside:
+        return set(held)
     chain = list(content[0].holders)
     for b in content:
         chain = [h for h, x in zip(chain, b.holders, strict=False) if h == x]
@@ -202,7 +253,7 @@ def _holder(found: list[Block], tags: dict[int, str]) -> int:
         if tags[chain[-1]] not in PARTS and not around:
             break
         chain.pop()
-    return chain[-1]
+    return {chain[-1]}
 
 
 def main_text(page: str | None) -> str:
@@ -212,14 +263,15 @@ def main_text(page: str | None) -> str:
     found = _unmarked(found, tags) if found else []
     if not found:
         return ""
-    holder = _holder(found, tags)
-    return "\n\n".join(b.text for b in found if holder in b.holders)
+    holders = _holders(found, tags)
+    return "\n\n".join(b.text for b in found if not holders.isdisjoint(b.holders))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``. Null and empty html give empty text; a null url stays null.
 
-    Rows are independent: repeated ids and other columns do no harm, and an empty table gives none. No shuffle.
+    Rows are independent: null and repeated ids and other columns do no harm, and an empty table gives none. Very long pages are read whole,
+    in time linear in their length and depth. No shuffle.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -504,3 +504,27 @@ def test_rows_without_an_id_have_hits_and_classes_of_their_own(spark):
     own = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
     judged = quality_rules.quality_report(docs(spark, [(None, f"{boiler}\n{own(i)}", "h") for i in range(12)] + [(None, own(20), "h")])).collect()
     assert sorted(r.n_removed_words for r in judged) == [0] + [13] * 12
+
+
+@pytest.mark.parametrize(("inside", "want"), [
+    ("<p title='it's'>One text, of words.</p><p>Two.</p>", "One text, of words.\n\nTwo."),
+    ('<p title="a"b">One text, of words.</p><p>Two.</p>', "One text, of words.\n\nTwo."),
+    ('<p>One text, <span class="ad">BUY NOW</span>of words.</p>', "One text, of words."),
+    ('<p>One text, <span class="ad">BUY <b>NOW</b> of words.</p><p>Two.</p>', "One text,\n\nTwo."),
+    ('<div class="post-header"><h1>Head</h1></div><p>One text, 3 < 4 of words.</p>', "Head\n\nOne text, 3 < 4 of words."),
+    ("<div><p>One text, of words.</p></div><div class=search-result-social-story><p>Two texts, of words.</p></div>", "One text, of words.\n\nTwo texts, of words."),
+])
+def test_odd_markup(inside, want):
+    assert html_text.main_text(f"<body><nav>menu</nav><article>{inside}</article><footer>foot</footer></body>") == want
+
+
+def test_content_in_two_articles_and_linear_time():
+    import time
+
+    long, short = "A sentence of the first section, which is longer. " * 16, "A sentence of the second section, shorter. " * 10
+    page = f"<body><main><p>{long}</p></main><nav>menu</nav><article><p>{short}</p></article></body>"
+    assert html_text.main_text(page) == f"{long.strip()}\n\n{short.strip()}"
+    for odd in ("<a ", "<a b='", '<a b="', "<!-", "</", "<p>", "<script>", "<b x=1>"):
+        begun = time.time()
+        html_text.main_text("<p>Text.</p>" + odd * (200_000 // len(odd)))
+        assert time.time() - begun < 4, odd
