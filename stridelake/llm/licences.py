@@ -33,6 +33,7 @@ NAMES = {
     "ISC": ["ISC License"],
     "Zlib": ["zlib License"],
     "Unlicense": ["Unlicense"],
+    "0BSD": ["BSD Zero Clause License"],
     "EPL-2.0": ["Eclipse Public License 2.0"],
     "CC0-1.0": ["CC0 1.0", "Creative Commons Zero v1.0 Universal"],
     "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
@@ -63,6 +64,11 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
@@ -71,6 +77,19 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+#: Canonical digests of further entire texts, as their stewards publish them (fixed values).
+FULL_DIGESTS = {
+    "Apache-2.0": "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GPL-2.0": "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
+    "GPL-3.0": "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f",
+    "LGPL-2.1": "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+}
+#: Families whose identifiers come with these endings too.
+FAMILIES, ENDINGS = ("GPL-", "LGPL-", "AGPL-"), ("-only", "-or-later")
 #: Most known digests that a broadcast may hold.
 MOST_KNOWN = 20_000
 
@@ -98,8 +117,11 @@ def known_digests(texts: dict[str, str] | None = None, names: dict[str, list[str
         for title in titles:
             for statement in STATEMENTS:
                 found.setdefault(_digest(canonical_text(statement.format(title))), spdx)
-        found.setdefault(_digest(canonical_text(f"SPDX-License-Identifier: {spdx}")), spdx)
-        found.setdefault(_digest(canonical_text(f"License: {spdx}")), spdx)
+        for name in [spdx, *(spdx + e for e in ENDINGS if spdx.startswith(FAMILIES))]:
+            found.setdefault(_digest(canonical_text(f"SPDX-License-Identifier: {name}")), spdx)
+            found.setdefault(_digest(canonical_text(f"License: {name}")), spdx)
+    if texts is None:
+        found.update({d: spdx for spdx, d in FULL_DIGESTS.items()})
     for spdx, text in (TEXTS if texts is None else texts).items():
         found[_digest(canonical_text(text))] = spdx
         for title in names.get(spdx, []):

@@ -528,3 +528,19 @@ def test_content_in_two_articles_and_linear_time():
         begun = time.time()
         html_text.main_text("<p>Text.</p>" + odd * (200_000 // len(odd)))
         assert time.time() - begun < 4, odd
+
+
+def test_full_texts_and_endings(spark):
+    known = licences.known_digests()
+    sum_of = lambda t: hashlib.sha256(licences.canonical_text(t).encode()).hexdigest()
+    assert known[sum_of("Copyright 2020 Ada\n\n" + licences.TEXTS["BSD-3-Clause"])] == "BSD-3-Clause" and known[sum_of("SPDX-License-Identifier: GPL-3.0-or-later")] == "GPL-3.0"
+    assert {"Apache-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0"} <= {known[d] for d in licences.FULL_DIGESTS.values()}
+
+
+def test_mixed_case_keys_without_a_digit():
+    words = [w for w in re.findall(r"[A-Za-z_]{4,}", open(line_dedup.__file__).read() + open(minhash.__file__).read())]
+    scorer = secret_scan.Scorer(secret_scan.log_ratio(secret_scan.random_sample(2000), words), secret_scan.THRESHOLD)
+    rng = random.Random(21)
+    keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=32)) for _ in range(200)]
+    assert np.mean([any(k == "markov" for _, k, _ in secret_scan.spans_of(f"the key {key} stands here", scorer)[1]) for key in keys]) > 0.9
+    assert not secret_scan.spans_of("see TheOrdinaryDocumentNamesOfThisCorpus for more", scorer)[1]
