@@ -26,8 +26,11 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 #: The same matches, found without visiting the runs that are too short.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_DIGIT = re.compile(r"[0-9]")
+#: Runs of key characters from this length on are judged if they mix in digits or both cases. (Shorter or one-case runs without a digit say too
+#: little: below it the ratio of random keys and of ordinary words overlap.)
+LEAST_RUN = 20
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+_MIXED = re.compile(r"[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLE_DOCS = 500
@@ -86,7 +89,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     for (text,) in sample.toLocalIterator():
         flagged = [(a, b) for a, _, b in base_spans(text)]
         found = (m for m in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", text) if not any(a < m.end() and m.start() < b for a, b in flagged))
-        words.update(m[0] for m in found if not (CANDIDATE.fullmatch(m[0]) and _DIGIT.search(m[0])))  # what is to be judged is no example
+        words.update(m[0] for m in found if not (CANDIDATE.fullmatch(m[0]) and _MIXED.search(m[0])))  # what is to be judged is no example
     return log_ratio(random_sample(), sorted(words))
 
 
@@ -96,7 +99,6 @@ class Scorer:
         self.pair = {a + b: float(table[i, j]) for i, a in enumerate(ALPHABET) for j, b in enumerate(ALPHABET)}
 
     def random_like(self, run: str) -> bool:
-        # a key mixes digits with letters, or both cases; words joined by dashes do not
         score = sum(self.pair[run[i : i + 2]] for i in range(len(run) - 1)) / (len(run) - 1)
         return score > self.threshold
 
@@ -107,7 +109,7 @@ def spans_of(text: str, scorer: Scorer) -> tuple[list[tuple[int, str, int]], lis
     more = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if _DIGIT.search(run) and scorer.random_like(run) and not any(a <= m.start() and m.end() <= b for a, _, b in base):
+        if _MIXED.search(run) and scorer.random_like(run) and not any(a <= m.start() and m.end() <= b for a, _, b in base):
             more.append((m.start(), "markov", m.end()))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))
 
@@ -119,8 +121,8 @@ def _line(spans: list[tuple[int, str, int]]) -> str:
 def scan_secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans``.
 
-    Spans are ``kind:start:end`` in code points, end exclusive, by start, then kind. Null and empty texts have none. Rows are independent:
-    repeated ids and other columns do no harm. If the corpus has no words to train on, the identifier model is uniform.
+    Spans are ``kind:start:end`` in code points, end exclusive, by start, then kind. The model judges runs of LEAST_RUN key characters or more with a
+    digit or both cases. Null and empty texts have none. Rows are independent: null and repeated ids and other columns do no harm; an empty table gives no rows; very long texts are read whole. If the corpus has no words to train on, the identifier model is uniform.
     """
     table = docs.sparkSession.sparkContext.broadcast(train(docs, sample_docs))
     kinds = [("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_markov", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]
