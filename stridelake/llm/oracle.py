@@ -130,4 +130,47 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, c
 from docs d left join covered c using (doc_id) left join per_doc p using (doc_id)
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op6_bagminhash": OP6, "op7_licences": _op7(), "op10_winnowing": OP10}
+#: CRC-32 of a decimal number's digits, bit by bit.
+CRC32 = "xor(4294967295, list_reduce(list_transform(string_split({0}::varchar, ''), lambda c: ascii(c)::bigint), lambda s, c: list_reduce(list_concat([xor(s, c)], range(0, 8)), lambda t, i: case when t & 1 = 1 then xor(t >> 1, 3988292384) else t >> 1 end), 4294967295))"
+
+
+def _op13(levels: int = 8, top: int = 4) -> str:
+    """``levels`` of each language's tree (16.7 million leaves), ``top`` of the tree over their roots."""
+    item = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+    row = lambda text: f"sha256({' || '.join(map(item, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def grow(name: str, n: int) -> str:
+        """Node tables ``name``0, 1, ... and the runs that were hashed to get there."""
+        out = ""
+        for k in range(n):
+            out += f"""
+), {name}{k}m as materialized (select t from {name}{k} group by t having count(*) > 1
+), {name}{k}r as materialized (select t, i // 8 as i, string_agg(d, '' order by i) as run from {name}{k} where t in (select t from {name}{k}m) group by t, i // 8
+), {name}{k + 1} as materialized (select t, i, sha256(run) as d from {name}{k}r union all select t, i, d from {name}{k} where t not in (select t from {name}{k}m)"""
+        return out
+
+    def climb(source: str, name: str, n: int) -> str:
+        """The proof and the folded digest of every row of ``source`` (t, i, proof, acc), level by level."""
+        out, last = "", source
+        for k in range(n):
+            cut = f"left(r.run, (64 * (x.i // {8**k} % 8))::int)", f"substr(r.run, (64 * (x.i // {8**k} % 8) + 65)::int)"
+            out += f"""
+), {name}p{k} as (select x.* replace (x.proof || coalesce({cut[0]} || {cut[1]}, '') as proof, case when r.run is null then x.acc else sha256({cut[0]} || x.acc || {cut[1]}) end as acc) from {last} x left join {name}{k}r r on r.t = x.t and r.i = x.i // {8 ** (k + 1)}"""
+            last = f"{name}p{k}"
+        return out
+
+    return f"""
+with rows as materialized (
+  select doc_id, coalesce('=' || lang, '') as t, {row("text")} as leaf, case when {CRC32.format("doc_id")} % 3 = 0 then {row(small)} else {row("text")} end as shown from documents
+), placed as materialized (select *, row_number() over (partition by t order by doc_id nulls first, leaf) - 1 as i from rows
+), a0 as (select t, i, leaf as d from placed{grow("a", levels)}
+), b0 as (select 0 as t, row_number() over (order by t) - 1 as i, d, t as name from a{levels}{grow("b", top)}
+), x0 as (select *, '' as proof, shown as acc from placed{climb("x0", "a", levels)}
+), y0 as (select x.doc_id, x.leaf, x.proof, x.acc, 0 as t, b.i, b.d as subroot from ap{levels - 1} x join b0 b on b.name = x.t{climb("y0", "b", top)}
+)
+select doc_id, leaf, subroot, (select d from b{top}) as root, sha256(proof) as proof_sha256, acc as folded_root, acc = (select d from b{top}) as verified from bp{top - 1}
+"""
+
+
+ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op6_bagminhash": OP6, "op7_licences": _op7(), "op10_winnowing": OP10, "op13_merkle_manifest": _op13()}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, licences, line_dedup, minhash, quality_rules, secret_scan, sharding, token_files
+from . import byte_bpe, decontaminate, html_text, licences, line_dedup, merkle, minhash, quality_rules, secret_scan, sharding, token_files
 from .oracle import ORACLES
 from .shared import read_table
 
@@ -55,8 +57,19 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root; of every third id the row that is checked against them is its lower-cased twin."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "lang", merkle.row_digest(*fields, F.col("text")).alias("leaf"), F.when(tampered, merkle.row_digest(*fields, lower)).alias("shown"))
+    proven = merkle.manifest(rows, "lang", ["doc_id"])
+    out = proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.coalesce("shown", "leaf"), F.col("proof")).alias("folded_root"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_bagminhash, op7_licences, op8_sharding, op9_html_text, op10_winnowing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_bagminhash, op7_licences, op8_sharding, op9_html_text, op10_winnowing, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
