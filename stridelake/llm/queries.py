@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, licences, line_dedup, merkle, minhash, quality_rules, secret_scan, sharding, token_files
+from . import byte_bpe, decontaminate, html_text, licences, line_dedup, merkle, minhash, quality_rules, secret_scan, sharding, simhash, token_files
 from .oracle import ORACLES
 from .shared import read_table
 
@@ -57,6 +57,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(read_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and root; of every third id the row that is checked against them is its lower-cased twin."""
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -69,7 +73,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_bagminhash, op7_licences, op8_sharding, op9_html_text, op10_winnowing, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_bagminhash, op7_licences, op8_sharding, op9_html_text, op10_winnowing, op11_simhash, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
