@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, licences, line_dedup, merkle, minhash, quality_rules, secret_scan, sharding, simhash, token_files
+from . import byte_bpe, decontaminate, html_text, licences, line_dedup, merkle, minhash, quality_rules, runs, secret_scan, sharding, simhash, token_files
 from .oracle import ORACLES
 from .shared import read_table
 
@@ -61,6 +61,25 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(read_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, of which one in ten is made periodic from one of its words on."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = (g % F.col("n")).cast("int")
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    docs = docs.withColumns({"n": n, "g": g}).withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", p)
+    left = F.col("n") - F.col("a")
+    copies = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    periodic = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(copies, F.lit(1), left))
+    found = runs.periodic_runs(docs.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and root; of every third id the row that is checked against them is its lower-cased twin."""
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -73,7 +92,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_bagminhash, op7_licences, op8_sharding, op9_html_text, op10_winnowing, op11_simhash, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_files, op4_byte_bpe, op5_secret_scan, op6_bagminhash, op7_licences, op8_sharding, op9_html_text, op10_winnowing, op11_simhash, op12_periodic_runs, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
