@@ -113,8 +113,9 @@ def manifest(rows: DataFrame, by: str, order: list[str], leaf: str = "leaf", fan
 
     tops = ranked.select("__tree", "__leaf", "__block", "__at").groupBy("__tree", "__block").applyInArrow(top, "__tree string, __place long, __digest string")
     blocks = butterfly(tops, fanout)
-    trees = with_serial(blocks.filter("__place = 0").select(F.col("__tree").alias("__name"), "__digest"), ["__name"], -1, "__at").withColumnRenamed("__at", "__place")
-    forest = butterfly(trees.select(F.lit(0).alias("__tree"), "__place", "__digest"), fanout)
+    trees = with_serial(blocks.filter("__place = 0").select(F.col("__tree").alias("__name"), "__digest"), ["__name"], -1, "__at")
+    trees = stored(trees.select(F.lit(0).alias("__tree"), F.col("__at").alias("__place"), "__name", "__digest"), "trees")
+    forest = butterfly(trees.select("__tree", "__place", "__digest"), fanout)
     above = forest.select("__place", F.col("__digest").alias("__root"), F.col("__path").alias("__upper")).join(trees.select("__place", F.col("__name").alias("__tree")), "__place").drop("__place")
     blocks = blocks.join(above, "__tree").select("__tree", F.col("__place").alias("__block"), F.col("__digest").alias("__subroot"), "__root", F.concat("__path", "__upper").alias("__path"))
     kind = dict(ranked.dtypes)["__row"]
