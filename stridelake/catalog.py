@@ -917,6 +917,13 @@ def _(s, d):
 
 
 @query("str2_weekly", "select user_id, (date '2024-01-01' + (datediff('day', date '2024-01-01', ts::date) // 7 * 7)::int)::timestamp as week_start, round(sum(value), 4) as total, count(*) as n from events group by 1, 2")
+def _(s, d):
+    root, state = new_path(s, "str2"), new_path(s, "str2-state")
+    _in_triggers(s, d, "events", F.desc("ts")).writeStream.foreachBatch(streaming.add_weekly(root, "user_id", "ts", "value", "weeks")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return streaming.weekly_totals(s, root, "user_id").withColumn("total", F.round("total", 4))
+
+
+@query("str2_weekly_batch", "select user_id, (date '2024-01-01' + (datediff('day', date '2024-01-01', ts::date) // 7 * 7)::int)::timestamp as week_start, round(sum(value), 4) as total, count(*) as n from events group by 1, 2")
 def _(s, d):
     return streaming.weekly(table(s, d, "events"), "user_id", "ts", "value").withColumn("total", F.round("total", 4))
 
@@ -936,6 +943,13 @@ def _(s, d):
     return plans.prediction_scoreboard(errors, "open", "filled")
 
 
+def _in_triggers(s, d, name, order, n=4):
+    """A table as a stream of ``n`` files in the given order, one per trigger."""
+    files = new_path(s, name)
+    table(s, d, name).repartitionByRange(n, order).write.parquet(files)
+    return streaming.event_stream(s, files, s.read.parquet(files).schema, 1)
+
+
 def _payloads(s, d):
     one = F.concat(F.lit('{"preFetchedEntries":[{"activity":{"id":'), F.col("event_id").cast("string"), F.lit(',"activityName":"x","startDate":"2024-01-05T10:00:00Z","elapsedTime":60,"type":"Run","athlete":{"athleteId":'), F.col("user_id").cast("string"), F.lit(',"athleteName":"'), F.col("user_id").cast("string"), F.lit('"},"stats":[{"key":"stat_one","value":"'), F.get_json_object("props", "$.k"), F.lit(' km"}]}}]}'))
     return table(s, d, "events").select("event_id", one.alias("JSON Data"), F.col("user_id").cast("string").alias("Name"))
@@ -955,21 +969,19 @@ def _(s, d):
 @query("str1_append_unseen", "select event_id, user_id from events")
 def _(s, d):
     root, state = new_path(s, "str1"), new_path(s, "str1-state")
-    e = table(s, d, "events")
-    stream = s.readStream.schema(e.schema).parquet(d + "/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = _in_triggers(s, d, "events", F.desc("ts"))  # the oldest come last
     for i in range(2):  # the second stream finds nothing new
-        streaming.once_per_id(stream, "event_id", "ts").writeStream.foreachBatch(streaming.append_unseen(root, "event_id")).option("checkpointLocation", f"{state}{i}").trigger(availableNow=True).start().awaitTermination()
+        streaming.once_per_id(stream, "event_id").writeStream.foreachBatch(streaming.append_unseen(root, "event_id", stream=f"run{i}")).option("checkpointLocation", f"{state}{i}").trigger(availableNow=True).start().awaitTermination()
     return sources.load_table(s, root).select("event_id", "user_id")
 
 
 @query("str3_refresh_metadata", f"with {ACT} select athlete_id, round(coalesce(sum(km) filter (type = 'Run'), 0), 2) as total_run_km from act group by 1")
 def _(s, d):
-    acts, meta, state = new_path(s, "str3-acts"), new_path(s, "str3-meta"), new_path(s, "str3-state")
-    sources.write_table(activities(s, d), acts)
-    e = table(s, d, "events")
-    stream = s.readStream.schema(e.schema).parquet(d + "/events.parquet*").withColumnRenamed("user_id", "athlete_id")
-    stream.writeStream.foreachBatch(streaming.refresh_metadata(acts, meta, "athlete_id", 4)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return sources.load_table(s, meta).select("athlete_id", "total_run_km")
+    totals, meta, state, files = (new_path(s, f"str3-{x}") for x in ("sums", "meta", "state", "files"))
+    activities(s, d).repartitionByRange(4, F.desc("ts")).write.parquet(files)
+    stream = streaming.event_stream(s, files, s.read.parquet(files).schema, 1)
+    stream.writeStream.foreachBatch(streaming.refresh_metadata(totals, meta, "athlete_id", 4, "acts")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return streaming.metadata_rows(s, meta, "athlete_id").select("athlete_id", "total_run_km")
 
 
 @query("ord3_by_score", "select o_orderkey, o_totalprice from orders")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import operators as op
 from .. import schemas, sources
+from ..sources import sums
+from ..storage import discard, stored
 
 
 def payload_root(payload: str = "payload") -> Column:
@@ -50,8 +54,12 @@ def clean_activities(raw: DataFrame, start_serial: int = 0) -> DataFrame:
 def ingest_activities(new: DataFrame, known: DataFrame, id_col: str = "Activity ID", order: list | None = None) -> DataFrame:
     """JOB-3: the rows to append; running it twice adds nothing. Rows without an id are left out; of rows with the same id the
     first in ``order`` counts (by default that of all columns, so that the choice never changes)."""
-    rows = new.filter(F.col(f"`{id_col}`").isNotNull())
-    return op.unseen(op.first_per(rows, [id_col], order or [F.col(f"`{c}`") for c in new.columns]), known.select(id_col), [id_col])
+    return op.unseen(once_per_activity(new, id_col, order), known.select(id_col), [id_col])
+
+
+def once_per_activity(new: DataFrame, id_col: str = "Activity ID", order: list | None = None) -> DataFrame:
+    """JOB-3 before the comparison with what is stored: the first row of each id, none without an id."""
+    return op.first_per(new.filter(F.col(f"`{id_col}`").isNotNull()), [id_col], order or [F.col(f"`{c}`") for c in new.columns])
 
 
 def unify_units(miles: DataFrame, km: DataFrame) -> DataFrame:
@@ -191,32 +199,64 @@ def athlete_page(meta: DataFrame, activities: DataFrame, name_col: str, name: st
     return profile, shown.withColumn("start_text", fn.human_date(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))).withColumn("km_text", fn.fixed(F.col(km).cast("double"), 2))
 
 
+def _settle(spark: SparkSession, store: str) -> None:
+    """Every batch that is written becomes rows of the store and of the athletes' sums, each batch once."""
+    batches, totals = f"{store}-new", f"{store}-sums"
+    stored_in, summed_in = sources.tokens(spark, store), sources.tokens(spark, totals)
+    for version in sources.versions(spark, batches):
+        if version not in stored_in:
+            sources.append_table(spark.read.parquet(f"{batches}/{version}"), store, token=version)
+        if version not in summed_in:
+            rows = spark.read.parquet(f"{batches}/{version}")
+            rows = rows.select(F.col("`Athlete ID`").alias("athlete_id"), fn.activity_type(F.col("Type")).alias("type"), F.col("`Distance (km)`").alias("km"), F.col("`Time (min)`").alias("minutes"))
+            sums.add_sums(rows, totals, _SUM_KEYS, _SUMS, version)
+
+
+_SUM_KEYS, _SUMS = ["athlete_id", "type"], ["km", "minutes"]
+
+
 def weekly_pipeline(spark: SparkSession, raw: DataFrame, store: str, metadata: str, start_week: int, end_week: int) -> DataFrame:
     """JOB-20: payloads to stored activities to metadata; returns the number of new rows per athlete.
 
-    New rows are written as a batch of their own, then appended to the store; metrics are computed for the athletes of the batch only,
-    over their whole history, per week up to ``end_week``. The metadata say up to which batch they go (``upto``), so what a crash
-    left undone is done by the next run, and a run without new rows changes nothing.
+    New rows become a batch of their own (``store``-new), whose serials are reserved in a ledger (``store``-serials) before it is
+    written, and the batch becomes rows of the store and of the athletes' sums (``store``-sums). Each step is done once per batch, and a run first does what an
+    earlier one left undone, so serials stay unique and gapless whatever step a run breaks at and whatever rows the next one brings; of two runs at once
+    one gives way and begins again. Which activities are new is asked of an index of ids (``store``-index), and metrics are
+    those of the sums of the athletes in the batch, per week up to ``end_week``: no stored activity is read again. The
+    metadata say up to which batch they go (``upto``); a run without new rows changes no athlete.
     """
     flat, _ = flatten_payloads(raw)
     names = {"athlete_id": "Athlete ID", "athlete_name": "Athlete Name", "activity_id": "Activity ID", "activity_name": "Activity Name", "description": "Description", "start_date": "Start Date", "elapsed_time": "Elapsed Time", "type": "Type", "location": "Location", "distance_km": "Distance (km)", "pace_min_km": "Pace (min/km)", "time": "Time"}
     batches = f"{store}-new"
-    kept = sources.load_table(spark, store) if sources.versions(spark, store) else None
-    last = kept.agg(F.max("Serial")).first()[0] or 0 if kept is not None else 0
-    raw_km = flat.withColumnsRenamed(names)
-    known = spark.createDataFrame([], "`Activity ID` bigint") if kept is None else kept
-    version = sources.write_table(clean_activities(ingest_activities(raw_km, known), last), batches)
-    old = sources.load_table(spark, metadata) if sources.versions(spark, metadata) else None
-    upto = old.agg(F.max("upto")).first()[0] or "" if old is not None else ""
-    pending = [spark.read.parquet(f"{batches}/{v}") for v in sources.versions(spark, batches) if v > upto]
-    fresh = op.first_per(op.stack(*pending), ["Activity ID"], ["Serial"])
-    missing = fresh if kept is None else op.unseen(fresh, kept.select("Activity ID"), ["Activity ID"])
-    sources.append_table(missing, store)
-    every = sources.load_table(spark, store).select(F.col("`Athlete ID`").alias("athlete_id"), fn.activity_type(F.col("Type")).alias("type"), F.col("`Distance (km)`").alias("km"), F.col("`Time (min)`").alias("minutes"))
-    mine = op.semi(every, fresh.select(F.col("`Athlete ID`").alias("athlete_id")), ["athlete_id"])
-    metrics = op.training_metrics(mine, end_week)
-    added = metrics.withColumn("weeks", F.lit(end_week - start_week))
-    if old is not None:
-        added = op.stack(update_metadata(old.drop("upto"), metrics, start_week, end_week), op.unseen(added, old, ["athlete_id"]))
-    sources.write_table(added.withColumn("upto", F.lit(version)), metadata)
+    rows = once_per_activity(flat.withColumnsRenamed(names))
+    while True:
+        at, token = sources.newest(spark, batches) or "", uuid.uuid4().hex
+        _settle(spark, store)
+        fresh = stored(sources.unseen_ids(rows, store, f"{store}-index", "Activity ID"), "ingest")
+        try:
+            first = sources.reserve(spark, f"{store}-serials", batches, token, fresh.count())
+            version = sources.write_table(clean_activities(fresh, first - 1), batches, token=token, expect=at)
+            break
+        except sources.Conflict:
+            continue
+        finally:
+            discard(fresh)
+    _settle(spark, store)
+    while True:
+        at = sources.newest(spark, metadata) or ""
+        old = sources.load_table(spark, metadata, at) if at else None
+        upto = old.agg(F.max("upto")).first()[0] or "" if old is not None else ""
+        pending = [spark.read.parquet(f"{batches}/{v}").select(F.col("`Athlete ID`").alias("athlete_id")) for v in sources.versions(spark, batches) if upto < v <= version]
+        if not pending:  # another run has been here
+            break
+        metrics = op.training_metrics(sums.read_sums(spark, f"{store}-sums", _SUM_KEYS, _SUMS, of=op.stack(*pending)), end_week)
+        added = metrics.withColumn("weeks", F.lit(end_week - start_week))
+        if old is not None:
+            added = op.stack(update_metadata(old.drop("upto"), metrics, start_week, end_week), op.unseen(added, old, ["athlete_id"]))
+        try:
+            sources.write_table(added.withColumn("upto", F.lit(version)), metadata, expect=at)
+            break
+        except sources.Conflict:
+            continue
+    sums.compact(spark, f"{store}-sums", lambda at: sums.read_sums(spark, f"{store}-sums", _SUM_KEYS, _SUMS, version=at), "athlete_id")
     return op.ingest_report(spark.read.parquet(f"{batches}/{version}"), "Athlete Name")

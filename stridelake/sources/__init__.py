@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import conform, schema_accepts
+from .id_index import add_to_index, known_ids, unseen_ids
+from .states import Conflict, append_table, clear_staging, file_system, load_or_empty, load_table, newest, parts, reserve, snapshot, tokens, versions, write_table
+
+__all__ = ["Conflict", "add_to_index", "append_table", "clear_staging", "known_ids", "load_or_empty", "load_table", "newest", "parts", "reserve", "snapshot", "tokens", "unseen_ids", "versions", "write_table"]
 
 
 def headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
     """Column names of every file that fits the pattern; of each file only the first line is read (one header per file reaches the driver)."""
-    fs, where, _ = _files(spark, pattern)
+    fs, where, _ = file_system(spark, pattern)
     out = {}
     for status in fs.globStatus(where) or []:
         if status.isFile():
@@ -115,62 +119,14 @@ def page_manifest(events: DataFrame, url: str, start: int, end: int) -> DataFram
     return pages.withColumn("url", F.regexp_replace(url, "page=1(?![0-9])", "page={}")).withColumn("url", F.replace("url", F.lit("{}"), F.col("page").cast("string")))
 
 
-# -- sinks: a table is a folder of numbered states, whole ones (v=) and rows added to the state before (a=) -------
-
-
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where, jvm.org.apache.hadoop.fs.Path
-
-
-def versions(spark: SparkSession, root: str) -> list[str]:
-    """States that were written to their end, oldest first."""
-    fs, where, path = _files(spark, root)
-    if not fs.exists(where):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    return sorted((n for n in names if re.match(r"[va]=\d+$", n) and fs.exists(path(f"{root}/{n}/_SUCCESS"))), key=lambda n: n[2:])
-
-
-def load_table(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
-    """The newest state, or that of ``version``: the last whole one up to it with all rows added since."""
-    found = versions(spark, root)
-    if not found:
-        raise FileNotFoundError(root)
-    upto = found[: found.index(version) + 1] if version else found
-    whole = max((i for i, n in enumerate(upto) if n[0] == "v"), default=0)
-    return spark.read.parquet(*[f"{root}/{n}" for n in upto[whole:]])
-
+# -- sinks: tables of numbered states are in .states -----------------------------------------------------------
 
-def _next(spark: SparkSession, root: str, kind: str) -> str:
-    found = versions(spark, root)
-    return f"{kind}={int(found[-1][2:]) + 1 if found else 1:012d}"
 
-
-def write_table(df: DataFrame, root: str) -> str:
-    """SNK-1: a new whole state; the one being read stays."""
-    version = _next(df.sparkSession, root, "v")
-    df.write.mode("errorifexists").parquet(f"{root}/{version}")
-    return version
-
-
-def append_table(df: DataFrame, root: str) -> str:
-    """SNK-2: a new state with rows added; readers of earlier states don't see them."""
-    version = _next(df.sparkSession, root, "a")
-    df.write.mode("errorifexists").parquet(f"{root}/{version}")
-    return version
-
-
-def snapshot(spark: SparkSession, root: str) -> str:
-    """SNK-3: the name of the newest state, which nothing changes any more; no row is copied."""
-    return versions(spark, root)[-1]
-
-
-def publish(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
-    """SNK-4, SNK-5: all serving tables replaced, or rows added to them."""
-    for name, df in tables.items():
-        (write_table if mode == "overwrite" else append_table)(df, f"{root}/{name}")
+def publish(tables: dict[str, DataFrame], root: str, mode: str = "overwrite", token: str | None = None) -> dict[str, str]:
+    """SNK-4, SNK-5: all serving tables replaced, or rows added to them; the new state of each. A load of a known ``token`` that broke off
+    goes on with the tables it had not reached, and one that was whole changes nothing."""
+    write = write_table if mode == "overwrite" else append_table
+    return {name: write(df, f"{root}/{name}", token=token) for name, df in tables.items()}
 
 
 def log_load(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,4 +1,3 @@
-import datetime as dt
 import json
 
 import pytest
@@ -6,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridelake import operators as op
-from stridelake import plans, schemas, sources, streaming
+from stridelake import plans, schemas, sources
 
 
 def test_serial_is_gapless(spark):
@@ -92,10 +91,10 @@ def test_weekly_pipeline_makes_up_for_a_crash(spark, tmp_path, monkeypatch):
     more = spark.createDataFrame([payload(10, 11)], "`JSON Data` string, Name string")
     whole = sources.write_table
 
-    def broken(df, root):
+    def broken(df, root, **more):
         if root == meta:
             raise RuntimeError("lost")
-        return whole(df, root)
+        return whole(df, root, **more)
 
     monkeypatch.setattr(sources, "write_table", broken)
     with pytest.raises(RuntimeError):
@@ -141,18 +140,3 @@ def test_csv_by_name_with_line_breaks(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     got = sources.read_dir(spark, str(tmp_path), "*.csv", schemas.table_schema("`Athlete ID` bigint, Name string, Description string"))
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [(1, "Ada", 'two\nlines, "quoted"'), (None, "Bo", "plain")]
-
-
-def test_streams(spark, tmp_path):
-    src, store = str(tmp_path / "in"), str(tmp_path / "store")
-    day = dt.datetime(2024, 1, 3, 12)
-    schema = "event_id bigint, user_id bigint, ts timestamp, value double"
-    spark.createDataFrame([(1, 1, day, 2.0), (1, 1, day, 2.0), (2, 1, day, 3.0)], schema).coalesce(1).write.parquet(f"{src}/a")
-    stream = streaming.event_stream(spark, f"{src}/*", spark.createDataFrame([], schema).schema)
-    for i in range(2):
-        q = streaming.once_per_id(stream, "event_id", "ts").writeStream.foreachBatch(streaming.append_unseen(store, "event_id")).option("checkpointLocation", str(tmp_path / f"c{i}")).trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert sources.load_table(spark, store).count() == 2
-    q = streaming.weekly(stream, "user_id", "ts", "value").writeStream.format("memory").queryName("weeks").outputMode("complete").option("checkpointLocation", str(tmp_path / "w")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.week_start, r.total) for r in spark.table("weeks").collect()] == [(dt.datetime(2024, 1, 1), 7.0)]
