@@ -76,6 +76,15 @@ def _csv(df: DataFrame, label: str, name: str) -> str:
     return folder
 
 
+def _named_csv(df, folder, name):
+    """One CSV file ``folder/name.csv``."""
+    spark, made = df.sparkSession, new_path(df.sparkSession, "csv")
+    df.coalesce(1).write.option("header", True).csv(made)
+    fs, where, path = sources.file_system(spark, f"{made}/part-*")
+    fs.mkdirs(path(folder))
+    fs.rename(fs.globStatus(where)[0].getPath(), path(f"{folder}/{name}.csv"))
+
+
 @query("src1_read_table", "select c_custkey, c_name, c_acctbal, null::varchar as note from customer")
 def _(s, d):
     folder = _csv(table(s, d, "customer").select("c_acctbal", F.concat("c_name", F.lit("\nsays \"hi\", twice")).alias("c_name"), "c_custkey"), "src1", "customers")
@@ -89,9 +98,15 @@ def _(s, d):
     return sources.read_dir(s, f"{folder}/nations", "*.csv", table_schema("n_nationkey int, n_name string"))
 
 
-@query("src3_batch_number", "select page_id, case when regexp_extract(replace(url, 'page=', 'batch_'), 'batch_([0-9]+)', 1) = '' then 'Unknown' else regexp_extract(replace(url, 'page=', 'batch_'), 'batch_([0-9]+)', 1) end as batch from pages")
+@query("src3_batch_number", "select event_id, event_type, (event_id % 3 + 1)::varchar as batch from events where event_id % 4 <> 3 union all select event_id, event_type, 'Unknown' from events where event_id % 4 = 3")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", sources.batch_of(F.replace("url", F.lit("page="), F.lit("batch_"))).alias("batch"))
+    folder, e = new_path(s, "src3"), table(s, d, "events").select("event_id", "event_type")
+    for k in range(3):  # each with its columns in another order, one name without a number
+        part = e.filter((F.col("event_id") % 3 == k) & (F.col("event_id") % 4 != 3))
+        _named_csv(part if k else part.select("event_type", "event_id"), folder, f"batch_{k + 1}_meta")
+    _named_csv(e.filter("event_id % 4 = 3"), folder, "late_meta")
+    rows = sources.read_dir(s, folder, "*_meta.csv", table_schema("event_id bigint, event_type string"), "file")
+    return sources.with_batch(rows, "file")
 
 
 @query("src4_by_unit", "select event_id, value * 1.60934 as km from events where event_type = 'view' union all select event_id, value from events where event_type <> 'view'")
@@ -174,10 +189,10 @@ def _(s, d):
     return sources.extract_rows(c.select("c_custkey", html.alias("html")), sources.TOPLIST)
 
 
-@query("src6_page_items", "select page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>')) as n_items from pages")
+@query("src6_page_items", r"with t as (select page_id, regexp_extract_all(nav, '(?is)<li\b[^>]*>(.*?)</li\s*>', 1) as c from (select page_id, unnest(regexp_extract_all(html, '(?is)<nav\b[^>]*>(.*?)</nav\s*>', 1)) as nav from pages)) select page_id, trim(regexp_replace(regexp_replace(c[1], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as first_item, trim(regexp_replace(regexp_replace(c[-1], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as last_item from t where len(c) > 1")
 def _(s, d):
-    rows = table(s, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1).alias("html"))
-    return rows.select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?s)<li>(.*?)</li>"), 1)).cast("long").alias("n_items"))
+    items = sources.RowSpec({"first_item": 0, "last_item": -1}, row="nav", cell="li", header_rows=0)
+    return sources.extract_rows(table(s, d, "pages").select("page_id", "html"), items).drop("row_no")
 
 
 def _result_pages(s, d):
@@ -254,9 +269,9 @@ def _(s, d):
     return out.select("conv_id", F.col("activity_id").cast("int").alias("turn"), F.col("athlete_name").alias("role"), F.col("activity_name").alias("text"))
 
 
-@query("prj11_export_fill", "select c_custkey, coalesce(n, 0)::bigint as n, coalesce(first_status, 'NA') as first_status from customer left join (select o_custkey, count(*) as n, min(o_orderstatus) as first_status from orders where o_orderkey % 5 = 0 group by 1) on o_custkey = c_custkey")
+@query("prj11_export_fill", "select c_custkey, coalesce(n, 0)::bigint as n, coalesce(first_status, 'NA') as first_status from customer left join (select o_custkey, count(*) as n, min(o_orderpriority) as first_status from orders where o_orderstatus = 'P' group by 1) on o_custkey = c_custkey")
 def _(s, d):
-    o = table(s, d, "orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderstatus").alias("first_status"))
+    o = table(s, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderpriority").alias("first_status"))
     return op.export_fill(op.attach_results(table(s, d, "customer").select("c_custkey"), o, "c_custkey"), {"n": 0, "first_status": "NA"})
 
 
@@ -366,15 +381,15 @@ def _(s, d):
     return op.with_coordinates(table(s, d, "customer"), coords, "c_nationkey").select("c_custkey", "n_name", "n_regionkey")
 
 
-@query("jn6_assign_ids", "select c_custkey, coalesce(id, 0)::bigint as assigned_id from customer left join (select 'CUSTOMER#' || lpad(o_custkey::varchar, 9, '0') as k, arg_max(o_orderkey, o_orderkey) as id from orders where o_orderkey % 3 = 0 group by 1) on upper(c_name) = k")
+@query("jn6_assign_ids", "select c_custkey, coalesce(id, 0)::bigint as assigned_id from customer left join (select 'CUSTOMER#' || lpad(o_custkey::varchar, 9, '0') as k, arg_max(o_orderkey, o_orderkey) as id from orders where o_orderstatus = 'P' group by 1) on upper(c_name) = k")
 def _(s, d):
-    m = table(s, d, "orders").filter("o_orderkey % 3 = 0").select(F.concat(F.lit(" customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("c_name"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"))
+    m = table(s, d, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit(" customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("c_name"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"))
     return op.assign_ids(table(s, d, "customer"), m, "c_name", "id", "seq")[0].select("c_custkey", "assigned_id")
 
 
-@query("jn7_first_match", "select o_orderkey, case when o_orderdate >= timestamp '2000-01-01' then 0 else v end as runs from orders left join (select c_custkey, c_nationkey as v from customer where c_custkey % 2 = 0) on c_custkey = o_custkey")
+@query("jn7_first_match", "select o_orderkey, case when o_orderdate >= timestamp '2000-01-01' then 0 else v end as runs from orders left join (select c_custkey, c_nationkey as v from customer where c_acctbal > 0) on c_custkey = o_custkey")
 def _(s, d):
-    c = table(s, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("runs"), F.lit(1).alias("seq"))
+    c = table(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("runs"), F.lit(1).alias("seq"))
     o = table(s, d, "orders").withColumn("fresh", F.col("o_orderdate") >= F.to_timestamp(F.lit("2000-01-01"))).withColumnRenamed("o_custkey", "k")
     return op.link_first_match(o, c, "k", "seq", ["runs"], "fresh", F.lit(True)).select("o_orderkey", "runs")
 
@@ -390,9 +405,9 @@ def _(s, d):
     return op.unseen(e, e.filter("event_id % 3 = 0").select("event_id"), ["event_id"]).select("event_id")
 
 
-@query("jn10_update_from", "select c_custkey, coalesce(t, c_acctbal) as c_acctbal from customer left join (select o_custkey, max(o_totalprice) as t from orders where o_orderkey % 2 = 0 group by 1) on o_custkey = c_custkey")
+@query("jn10_update_from", "select c_custkey, coalesce(t, c_acctbal) as c_acctbal from customer left join (select o_custkey, max(o_totalprice) as t from orders where o_orderstatus = 'P' group by 1) on o_custkey = c_custkey")
 def _(s, d):
-    new = table(s, d, "orders").filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    new = table(s, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
     return op.update_from(table(s, d, "customer").select("c_custkey", "c_acctbal"), new, "c_custkey", ["c_acctbal"])
 
 
@@ -498,7 +513,7 @@ def _(s, d):
     return op.ingest_report(op.unseen(e, e.filter("event_id % 3 = 0").select("event_id"), ["event_id"]), "user_id")
 
 
-@query("agg16_by_location", "select n_regionkey, n_nationkey, count(*) as n, string_agg(c_name, ',' order by c_name) as names from customer join nation on n_nationkey = c_nationkey group by 1, 2")
+@query("agg16_by_location", "select n_regionkey, n_nationkey, count(*) as n, array_to_string(list(c_name order by c_name)[:1000], ',') as names from customer join nation on n_nationkey = c_nationkey group by 1, 2")
 def _(s, d):
     c = op.with_coordinates(table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), table(s, d, "nation"), "n_nationkey")
     return op.athletes_by_location(c, "n_regionkey", "n_nationkey", "c_name").withColumn("names", F.array_join("names", ","))
@@ -797,7 +812,13 @@ def _(s, d):
 
 @query("job8_weekly_batches", "select event_id from (select event_id, (event_id % 4) as b, min(event_id % 4) over (partition by user_id) as f from events) where b = f")
 def _(s, d):
-    return plans.merge_weekly_batches(table(s, d, "events").withColumn("batch", F.col("event_id") % 4), "user_id").select("event_id")
+    folder, e = new_path(s, "job8"), table(s, d, "events").select("event_id", F.col("user_id").alias("Name"), "value")
+    for k in range(4):  # headers in two orders; batch 10 comes after batch 3
+        part = e.filter(F.col("event_id") % 4 == k)
+        _named_csv(part if k % 2 else part.select("value", "Name", "event_id"), folder, f"batch_{(1, 2, 3, 10)[k]}_meta")
+    _named_csv(table(s, d, "nation").select("n_name"), folder, "batch_0_notes")
+    rows, _ = plans.merge_weekly_batches(s, folder, table_schema("event_id bigint, Name bigint, value double"))
+    return rows.select("event_id")
 
 
 @query("job10_update_results", "select o_orderkey from orders where o_orderstatus = 'F' or o_totalprice >= 1100")
@@ -936,11 +957,13 @@ def _(s, d):
     return plans.evaluate_predictions(final, ranked, "zero").select("predictor", "event", _r("mse", 2), "n")
 
 
-@query("job14_scoreboard", "select o_orderpriority as event, round(sum(o_totalprice) filter (o_orderstatus = 'O'), 2) as rmse_open, round(sum(o_totalprice) filter (o_orderstatus = 'F'), 2) as rmse_filled from orders where o_orderstatus in ('O', 'F') group by 1")
+@query("job14_scoreboard", "with f as (select o_orderpriority as event, o_custkey as athlete, min(o_orderkey) as place from orders group by 1, 2), r as (select status, event, athlete, row_number() over (partition by status, event order by s desc, athlete) as rank from (select o_orderstatus as status, o_orderpriority as event, o_custkey as athlete, max(o_totalprice) as s from orders where o_orderstatus in ('O', 'F') group by 1, 2, 3)), e as (select status, event, sqrt(avg(pow(rank - place, 2))) as rmse from r join f using (event, athlete) group by 1, 2) select event, round(max(rmse) filter (status = 'O'), 2) as rmse_open, round(max(rmse) filter (status = 'F'), 2) as rmse_filled from e group by 1")
 def _(s, d):
-    o = table(s, d, "orders").withColumn("predictor", F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "filled"))
-    errors = o.groupBy("predictor", F.col("o_orderpriority").alias("event")).agg(F.round(F.sum("o_totalprice"), 2).alias("rmse"))
-    return plans.prediction_scoreboard(errors, "open", "filled")
+    o = table(s, d, "orders").select(F.col("o_orderpriority").alias("event"), F.col("o_custkey").alias("athlete"), "o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "filled").alias("predictor"))
+    final = o.groupBy("event", "athlete").agg(F.min("o_orderkey").alias("place"))
+    scores = o.filter("predictor is not null").groupBy("predictor", "event", "athlete").agg(F.max("o_totalprice").alias("score"))
+    board = plans.prediction_scoreboard(plans.evaluate_predictions(final, scores), "open", "filled")
+    return board.select("event", _r("rmse_open", 2), _r("rmse_filled", 2))
 
 
 def _in_triggers(s, d, name, order, n=4):
@@ -1011,6 +1034,48 @@ def _(s, d):
     return op.with_events(table(s, d, "orders"), "o_custkey", "o_orderpriority").select("o_orderkey", F.array_join("events", ", ").alias("events"))
 
 
+@query("agg16_first_names", "select n_regionkey, count(*) as n, array_to_string(list(c_name order by c_name)[:7], ',') as names from customer join nation on n_nationkey = c_nationkey group by 1")
+def _(s, d):
+    c = op.with_coordinates(table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), table(s, d, "nation"), "n_nationkey").withColumn("none", F.lit(None).cast("int"))
+    return op.athletes_by_location(c, "n_regionkey", "none", "c_name", 7).select("n_regionkey", "n", F.array_join("names", ",").alias("names"))
+
+
+@query("agg16_members", "select c_nationkey, c_name, row_number() over (partition by c_nationkey, c_mktsegment order by c_name) as place from customer")
+def _(s, d):
+    return op.location_members(table(s, d, "customer"), "c_nationkey", "c_mktsegment", "c_name").select("c_nationkey", "c_name", "place")
+
+
+@query("agg7_long_groups", "select k, round(median_to_mean, 6) as median_to_mean, round(max_to_median, 6) as max_to_median from (select l_linestatus as k, median(l_extendedprice) / avg(l_extendedprice) as median_to_mean, max(l_extendedprice) / median(l_extendedprice) as max_to_median from lineitem where l_extendedprice > 0 group by 1)")
+def _(s, d):
+    out = op.consistency(table(s, d, "lineitem"), "l_linestatus", "l_extendedprice", longest=1000)
+    return out.select(F.col("l_linestatus").alias("k"), _r("median_to_mean", 6), _r("max_to_median", 6))
+
+
+@query("flt11_indexed", "select p_name, p_partkey from part where contains(lower(p_name), '001') order by p_name, p_partkey limit 10")
+def _(s, d):
+    root, part = new_path(s, "flt11"), table(s, d, "part")
+    sources.add_names(part, root, "p_name", "p_partkey")
+    return sources.search_indexed(part, root, "p_name", "p_partkey", "001").select("p_name", "p_partkey")
+
+
+@query("jn9_indexed", "select event_id from events where event_type not in ('click', 'view')")
+def _(s, d):
+    root, e = new_path(s, "jn9"), table(s, d, "events")
+    for kind in ("click", "view"):
+        sources.append_table(e.filter(F.col("event_type") == kind), root)
+    return sources.unseen_ids(e.select("event_id"), root, f"{root}-index", "event_id")
+
+
+@query("job7_from_raw", f"with {ACT}, {PERF}, p as (select athlete, count(*) as n, count(distinct discipline) as k from perf group by 1) select 'Athlete ' || athlete_id as athlete, round(coalesce(sum(km) filter (type = 'Run'), 0), 4) as total_run_km, round(coalesce(sum(coalesce(minutes, 1)) filter (type = 'Run'), 0) / 60, 6) as total_run_hours, coalesce(any_value(n), 0)::bigint as n_events, coalesce(any_value(k), 0)::bigint as n_disciplines from act a left join p on p.athlete = a.athlete_id where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-15' group by athlete_id")
+def _(s, d):
+    name = lambda c: F.concat(F.lit(" ATHLETE   "), F.col(c).cast("string"))
+    raw = activities(s, d).select(name("athlete_id").alias("Athlete Name"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("Start Date"), F.col("type").alias("Type"), F.col("km").alias("Distance (km)"), (F.col("minutes") * 60).alias("Activity Time (s)"), F.lit("60").alias("Elapsed Time"))
+    perf = performances(s, d).select(name("athlete").alias("Competitor"), F.col("nat").alias("Nat"), F.lit("Male").alias("Gender"), F.col("score").cast("string").alias("Mark"), F.col("discipline").alias("Discipline"), "id")
+    out, _ = plans.metadata_from_raw(raw, perf, "2024-01-01", 2, "id")
+    kinds = F.when(F.col("disciplines") == "", 0).otherwise(F.size(F.split("disciplines", "[|]"))).cast("long")
+    return out.select("athlete", F.round("total_run_km", 4).alias("total_run_km"), F.round("total_run_hours", 6).alias("total_run_hours"), "n_events", kinds.alias("n_disciplines"))
+
+
 @query("agg16_location_counts", "select n_regionkey, n_nationkey, count(*) as n, min(c_name) as first_name, max(c_name) as last_name from customer join nation on n_nationkey = c_nationkey group by 1, 2")
 def _(s, d):
     c = op.with_coordinates(table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), table(s, d, "nation"), "n_nationkey")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import finite, match_key, pace, upper_name
 from ..storage import stored
+from .medians import exact_medians
 
 # -- projections ---------------------------------------------------------------------------------------------
 
@@ -271,15 +274,19 @@ def keys_in_many(df: DataFrame, key: str, dim: str) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(dim).alias("n")).filter("n > 1")
 
 
-def consistency(df: DataFrame, key: str, value: str, exact: bool = True) -> DataFrame:
+def consistency(df: DataFrame, key: str, value: str, exact: bool = True, longest: int | None = None) -> DataFrame:
     """AGG-7: share of weeks with a distance, spread, median to mean, maximum to median, weeks without data.
 
     Over the weeks with a distance; with none of them the spread is infinite and the ratios 0. ``exact`` medians
-    hold a group's values (at most 53 weeks); else they are approximate.
+    hold a group's values (at most 53 weeks); else they are approximate. With ``longest`` they are exact, and a group of more values is never held in one
+    buffer (``exact_medians``).
     """
     valid = F.when(F.col(value) > 0, F.col(value))
-    median = F.percentile(valid, F.lit(0.5)) if exact else F.percentile_approx(valid, F.lit(0.5))
+    median = F.lit(None).cast("double") if longest else F.percentile(valid, F.lit(0.5)) if exact else F.percentile_approx(valid, F.lit(0.5))
     base = df.groupBy(key).agg(F.count(F.lit(1)).alias("weeks"), F.count(valid).alias("valid"), F.stddev_samp(valid).alias("std"), F.avg(valid).alias("mean"), median.alias("median"), F.max(valid).alias("top"))
+    if longest:
+        medians = exact_medians(df.select(F.col(key).alias("__key"), valid.alias("__value")), ["__key"], "__value", "median", longest)
+        base = base.drop("median").join(medians, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
     none = F.col("valid") == 0
     return base.select(
         key,
@@ -340,13 +347,24 @@ def ingest_report(new: DataFrame, name: str) -> DataFrame:
 
 
 def location_counts(df: DataFrame, lat: str, lng: str, name: str) -> DataFrame:
-    """AGG-16 for places with very many athletes: their number with the first and last name; the names are the rows of ``df`` itself."""
+    """The number of athletes at each coordinate with the first and last name, without lists."""
     return df.groupBy(lat, lng).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("first_name"), F.max(name).alias("last_name"))
 
 
-def athletes_by_location(df: DataFrame, lat: str, lng: str, name: str) -> DataFrame:
-    """AGG-16: number and names of the athletes at each coordinate. All names of a place stand in one row: see ``location_counts``."""
-    return df.groupBy(lat, lng).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
+def athletes_by_location(df: DataFrame, lat: str, lng: str, name: str, most: int = 1000) -> DataFrame:
+    """AGG-16: number and names of the athletes at each coordinate; of more than ``most`` names the first ones, so that a row stays bounded. Each task passes on its
+    own first names of a place, no more. ``location_members`` has all of them as rows."""
+    counts = df.groupBy(lat, lng).agg(F.count(F.lit(1)).alias("n"))
+    place = [F.col(lat).alias("__lat"), F.col(lng).alias("__lng"), F.col(name).alias("__name")]
+    first = df.filter(F.col(name).isNotNull()).select(*place).withColumn("__rn", F.row_number().over(Window.partitionBy("__lat", "__lng").orderBy("__name"))).filter(F.col("__rn") <= most)
+    lists = first.groupBy("__lat", "__lng").agg(F.array_sort(F.collect_list("__name")).alias("names"))
+    out = counts.join(lists, F.col(lat).eqNullSafe(F.col("__lat")) & F.col(lng).eqNullSafe(F.col("__lng")), "left")
+    return out.select(lat, lng, "n", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+
+
+def location_members(df: DataFrame, lat: str, lng: str, name: str) -> DataFrame:
+    """AGG-16 in rows: every athlete of a coordinate with their ``place`` in the order of names there; pages of a list are ranges of places."""
+    return with_rank(df.select(lat, lng, name), [lat, lng], [name], "place")
 
 
 def match_stats(df: DataFrame, id_col: str) -> DataFrame:
@@ -384,13 +402,17 @@ def latest_struct(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def earliest_batch(df: DataFrame, name: str, batch: str) -> DataFrame:
-    """WIN-3: rows of each name's first batch."""
-    return df.withColumn("__first", F.min(batch).over(Window.partitionBy(name))).filter(F.col(batch) == F.col("__first")).drop("__first")
+    """WIN-3: of names that stand in several batches only the rows of the first. Rows without a batch go with those of later ones, and stay where a name is in no
+    more than one batch; rows without a name stay. The names in question are found by a partial aggregate, so no task holds all rows of a name."""
+    several = df.groupBy(F.col(name).alias("__name")).agg(F.min(batch).alias("__first"), F.max(batch).alias("__last")).filter("__first < __last").drop("__last")
+    later = F.coalesce(F.col(batch) != F.col("__first"), F.lit(True))
+    return df.join(several, (F.col(name) == F.col("__name")) & later, "left_anti")
 
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
-    """WIN-4: all rows of keys that occur more than once."""
-    return df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("__n > 1").drop("__n")
+    """WIN-4: all rows of keys that occur more than once (null keys among them), by a count that the rows are compared with."""
+    many = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    return df.join(many, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_semi")
 
 
 def with_rank(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fn
 from .. import operators as op
@@ -69,8 +70,26 @@ def unify_units(miles: DataFrame, km: DataFrame) -> DataFrame:
     return both.withColumn("Activity Time (s)", fn.seconds(F.col("`Time (min)`"), legacy=True))
 
 
+def metadata_from_raw(raw: DataFrame, perf: DataFrame, start: str, weeks: int, seq: str) -> tuple[DataFrame, DataFrame]:
+    """JOB-7 from raw tables: the metadata of every athlete, and the report of nulls that are left in it.
+
+    ``raw``: Athlete Name, Start Date, Type, Distance (km), Activity Time (s), Elapsed Time, texts or numbers as they come. ``perf``: Competitor, Nat,
+    Gender, Mark, Discipline and ``seq``, the order of its rows. Names are brought to one form on both sides (FN-8) before anything is grouped by them, times read
+    (FN-17) and cut to the weeks (FLT-4), types put into four kinds (FN-15) and seconds into hours (FN-16); metrics (AGG-1 to AGG-3) are joined to the summary of
+    results (AGG-4, JN-1), filled (PRJ-11) and checked (QLT-1).
+    """
+    number = lambda c: fn.to_number(F.col(f"`{c}`").cast("string"))
+    acts = raw.select(
+        fn.display_name(F.col("`Athlete Name`")).alias("athlete"), fn.parse_instant(F.col("`Start Date`").cast("string")).alias("ts"), fn.activity_type(F.col("Type")).alias("type"),
+        number("Distance (km)").alias("km"), (fn.hours(number("Activity Time (s)"), number("Elapsed Time")) * 60).alias("minutes"))
+    metrics = op.training_metrics(op.in_weeks(acts, "ts", start, weeks), weeks, None, athlete="athlete")
+    results = op.summarise_results(perf.withColumn("athlete", fn.display_name(F.col("Competitor"))), "athlete", "Nat", "Gender", "Mark", "Discipline", seq)
+    out = op.export_fill(op.attach_results(metrics, results, "athlete"), {"nat": "", "gender": "", "marks": "", "disciplines": "", "n_events": 0})
+    return out, op.null_profile(out)
+
+
 def build_metadata(activities: DataFrame, results: DataFrame, start: str, weeks: int) -> DataFrame:
-    """JOB-7: training metrics of every athlete with the summary of their results. Activities: athlete, ts, type, km, minutes; results by athlete."""
+    """JOB-7 from cleaned activities: training metrics of every athlete with the summary of their results. Activities: athlete, ts, type, km, minutes; results by athlete."""
     inside = op.in_weeks(activities, "ts", start, weeks).withColumn("type", fn.activity_type(F.col("type")))
     metrics = op.training_metrics(inside, weeks, None, athlete="athlete")
     return op.export_fill(op.attach_results(metrics, results, "athlete"), {"marks": "", "disciplines": "", "n_events": 0})
@@ -84,9 +103,15 @@ def update_metadata(old: DataFrame, metrics: DataFrame, start_week: int, end_wee
     return out.withColumn("weeks", F.col("weeks") + F.col("__more")).drop("__more")
 
 
-def merge_weekly_batches(df: DataFrame, name: str = "Name", batch: str = "batch") -> DataFrame:
-    """JOB-8: rows of each name's first batch."""
-    return op.earliest_batch(df, name, batch)
+def merge_weekly_batches(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.csv", name: str = "Name", multi_line: bool | None = None) -> tuple[DataFrame, list[str]]:
+    """JOB-8: from a folder of weekly files the rows of each name's first batch, with ``batch``, and the names of the files that were left out.
+
+    Files with the contract's columns in any order are stacked, others left out (SRC-2, QLT-3, SET-1); a row's batch is the number in its file's name
+    (SRC-3), and batches are compared as numbers (WIN-3, also on rows of files without one).
+    """
+    rows, rejected = sources.accepted_files(spark, folder, glob, schema, "__file", multi_line)
+    rows = sources.with_batch(rows, "__file").withColumn("__order", F.col("batch").try_cast("long"))
+    return op.earliest_batch(rows, name, "__order").drop("__order"), rejected
 
 
 def consistency_ranking(weekly: DataFrame, key: str, value: str) -> DataFrame:

@@ -51,6 +51,111 @@ def test_result_rows_skip_headers_and_short_rows(spark):
     assert len(got) == 1 and got[0]["competitor"] == "Ada RUNNER" and got[0]["score"] == "" and got[0]["location"] == "City (i)"
 
 
+BATCH = schemas.table_schema("Name string, km double, note string")
+
+
+def test_weekly_batches_from_a_folder(spark, tmp_path):
+    """JOB-8: headers in other orders, a byte order mark, quoted line breaks in a name and in a field, foreign and empty files, no number in a name."""
+    (tmp_path / "batch_2_meta.csv").write_text("Name,km,note\nAda,1.5,x\nBo,2.5,y\n")
+    (tmp_path / "batch_10_meta.csv").write_text('\ufeffnote,Name,km\n"two\nlines",Ada,9\nz,Cy,3\n,,4\n', encoding="utf-8")
+    (tmp_path / "batch_1_meta.csv").write_text("Name,km\nAda,7\n")
+    (tmp_path / "batch_3_meta.csv").write_text('"Name","km","no\nte"\nAda,7,q\n')
+    (tmp_path / "old_meta.csv").write_text("km,note,Name\n5,u,Bo\n6,u,Ada\n8,u,\n")
+    (tmp_path / "batch_4_meta.csv").write_text("")
+    rows, rejected = plans.merge_weekly_batches(spark, str(tmp_path), BATCH, "*_meta.csv")
+    assert rejected == ["batch_1_meta.csv", "batch_3_meta.csv", "batch_4_meta.csv"]
+    # Bo is in one numbered batch and keeps the row without one; rows without a name stay
+    assert sorted(map(str, map(tuple, rows.select("Name", "km", "batch").collect()))) == sorted(map(str, [("Ada", 1.5, "2"), ("Bo", 2.5, "2"), ("Cy", 3.0, "10"), (None, 4.0, "10"), ("Bo", 5.0, "Unknown"), (None, 8.0, "Unknown")]))
+    both = {r.name: (r.batch, r.header) for r in sources.file_table(spark, f"{tmp_path}/*_meta.csv").collect()}
+    assert both["batch_3_meta.csv"] == ("3", ["Name", "km", "no\nte"]) and both["old_meta.csv"][0] == "Unknown" and both["batch_10_meta.csv"][1][0] == "note"
+    assert sources.file_table(spark, f"{tmp_path}/none*.csv").count() == 0 and sources.read_dir(spark, str(tmp_path), "none*", BATCH, "f").columns[-1] == "f"
+
+
+def test_a_header_longer_than_the_first_bytes(spark, tmp_path):
+    names = [f"column {i} of a very long header" for i in range(5000)]
+    (tmp_path / "wide file.csv").write_text(",".join([*names, "Name"]) + "\n" + "," * 5000 + "Ada\n")
+    assert sources.headers(spark, f"{tmp_path}/*.csv").popitem()[1] == [*names, "Name"]
+    assert [tuple(r) for r in sources.read_dir(spark, str(tmp_path), "*.csv", BATCH).collect()] == [("Ada", None, None)]
+
+
+def test_files_without_quoted_breaks_are_read_in_splits(spark, tmp_path):
+    """A file of many splits is read by as many tasks unless some field of it goes over a line."""
+    text = "Name,km,note\n" + "".join(f'N{i},{i},"a ""b"" c"\n' for i in range(20_000))
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "b.csv").write_text(text + 'Z,1,"two\nlines"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split, whole = (sources.read_dir(spark, str(tmp_path), f"{n}.csv", BATCH) for n in "ab")
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert (split.count(), whole.count()) == (20_000, 20_001) and split.agg({"km": "sum"}).first()[0] == sum(range(20_000))
+        assert sources.read_dir(spark, str(tmp_path), "a.csv", BATCH, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_metadata_from_raw_tables(spark):
+    """JOB-7: names in several spellings are one athlete on both sides, times of any zone, seconds or elapsed seconds, what is null is reported."""
+    raw = spark.createDataFrame([(" ada  o'NEIL", "2024-01-02T23:30:00Z", "Run", "10.0", "3600", "9"), ("Ada O'Neil", "2024-01-03T01:00:00+09:00", "VirtualRide", None, None, "1800"), ("Bo", "2024-01-20T00:00:00Z", "Run", "1", "1", "1"), ("Bo", "2024-01-08T00:00:00Z", "Yoga", "x", "", "7200"), ("Cy", "soon", "Run", "1", "1", "1")], "`Athlete Name` string, `Start Date` string, Type string, `Distance (km)` string, `Activity Time (s)` string, `Elapsed Time` string")
+    perf = spark.createDataFrame([("ADA O'NEIL", "USA", "F", "1:45", "800 m", 2), ("Ada  o'neil ", "USA", "F", "3:30", "1500 m", 1), ("DEE", "GBR", "F", "9.9", "100 m", 3)], "Competitor string, Nat string, Gender string, Mark string, Discipline string, seq int")
+    out, nulls = plans.metadata_from_raw(raw, perf, "2024-01-01", 2, "seq")
+    got = {r.athlete: r for r in out.collect()}
+    assert sorted(got) == ["Ada O'Neil", "Bo"]
+    ada, bo = got["Ada O'Neil"], got["Bo"]
+    assert (ada.total_run_km, ada.avg_weekly_run_km, ada.total_run_hours, ada.total_ride_hours, ada.marks, ada.disciplines, ada.n_events, ada.nat) == (10.0, 5.0, 1.0, 0.5, "3:30|1:45", "1500 m|800 m", 2, "USA")
+    assert (bo.total_run_km, bo.total_other_hours, bo.marks, bo.nat, bo.n_events) == (0.0, 2.0, "", "", 0)
+    assert [tuple(r) for r in nulls.collect()] == [("avg_run_pace", 1)]
+
+
+def test_medians_of_long_groups(spark):
+    """Equal to ``percentile`` without a buffer above ``longest``: ties, two heavy values around the middle, doubles of all magnitudes, odd and even, null keys."""
+    n = F.col("id")
+    parts = [
+        spark.range(1_000_000).select(F.lit("many").alias("k"), (n * 7919 % 1_000_003).cast("double").alias("v")),
+        spark.range(60_001).select(F.lit("odd"), F.pow(F.lit(10.0), (n % 600) - 300)),
+        spark.range(60_000).select(F.lit("two"), F.when(n % 2 == 0, 5.0).otherwise(6.0)),
+        spark.range(50_000).select(F.lit("one"), F.lit(-1.5)),
+        spark.range(40_000).select(F.lit(None).cast("string"), F.when(n % 3 > 0, F.xxhash64("id").cast("double"))),
+        spark.range(7).select(F.lit("short"), n.cast("double")),
+        spark.range(3).select(F.lit("null"), F.lit(None).cast("double")),
+    ]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.union(p)
+    got = {r.k: r.median for r in op.exact_medians(df, ["k"], "v", longest=1000).collect()}
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m")).collect()}
+    assert got == want and got["two"] == 5.5 and got["null"] is None and len(got) == 7
+    assert {r.k: r.median for r in op.exact_medians(df.filter("k in ('short', 'null')"), ["k"], "v", longest=1000).collect()} == {"short": 3.0, "null": None}
+
+
+@pytest.mark.parametrize("text", ["ana", "ANA", "nan", "é b", "an", "", "anana", "zzz", "İa", "%_x", "a a"])
+def test_the_name_index_equals_the_scan(spark, tmp_path, text):
+    names = ["Banana", "ananas", "ANAN", "Ana", "an", "", None, "Bané b", "BANÉ B", "İAn", "nan anan", "Hanna Na", "x%_x", "a a a", *[f"Anan {i}" for i in range(30)]]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
+    root = str(tmp_path / "i")
+    for part in (df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), df.filter("id % 2 = 1")):
+        sources.add_names(part, root, "name", "id", token=f"b{part.first().id}")
+    ids = lambda d: [r.id for r in d.collect()]
+    assert ids(sources.search_indexed(df, root, "name", "id", text)) == ids(op.search_names(df, "name", text, 10, "id"))
+
+
+def test_lists_per_place_are_bounded(spark):
+    rows = [(1.0, None, f"n{i:04d}") for i in range(500)] + [(2.0, 3.0, None), (None, None, "z"), (2.0, 3.0, "y"), (4.0, 4.0, None)]
+    df = spark.createDataFrame(rows, "lat double, lng double, name string").repartition(8)
+    got = {(r.lat, r.lng): (r.n, r.names) for r in op.athletes_by_location(df, "lat", "lng", "name", 3).collect()}
+    assert got == {(1.0, None): (500, ["n0000", "n0001", "n0002"]), (2.0, 3.0): (2, ["y"]), (None, None): (1, ["z"]), (4.0, 4.0): (1, [])}
+    plan = op.athletes_by_location(df, "lat", "lng", "name", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and ", Partial" in plan
+    places = op.location_members(df, "lat", "lng", "name").filter("lat = 1").collect()
+    assert sorted((r.place, r.name) for r in places) == [(i + 1, f"n{i:04d}") for i in range(500)]
+
+
+@pytest.mark.parametrize("order", ["by_score", "by_name", "newest_first"])
+def test_rows_come_in_order(spark, order):
+    df = spark.createDataFrame([("b", 2, 3.0), ("a", 5, None), ("b", 1, 9.0), ("c", 9, 9.0)], "name string, d int, score double").repartition(3)
+    found = {"by_score": lambda: op.by_score(df, "score", "d"), "by_name": lambda: op.by_name(df, "name", "d"), "newest_first": lambda: op.newest_first(df, "d")}[order]().collect()
+    assert [r.d for r in found] == {"by_score": [1, 9, 2, 5], "by_name": [5, 1, 2, 9], "newest_first": [9, 5, 2, 1]}[order]
+
+
 def test_golden_filters(spark):
     rows = [("City A",), ("City B (i)",), ("City C",)]
     assert op.outdoor_only(spark.createDataFrame(rows, "location string")).count() == 2
