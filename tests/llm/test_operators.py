@@ -544,3 +544,24 @@ def test_mixed_case_keys_without_a_digit():
     keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=32)) for _ in range(200)]
     assert np.mean([any(k == "markov" for _, k, _ in secret_scan.spans_of(f"the key {key} stands here", scorer)[1]) for key in keys]) > 0.9
     assert not secret_scan.spans_of("see TheOrdinaryDocumentNamesOfThisCorpus for more", scorer)[1]
+
+
+def test_lines_of_words_with_equal_marks_stay(spark):
+    """60 lines of 24 words, any two at least 4 words apart, whose words would be equal if each were cut to one of 45,056 characters."""
+    import xxhash
+
+    seen, pairs = {}, []
+    for i in range(20_000):
+        word = f"w{i}"
+        other = seen.setdefault(xxhash.xxh64_intdigest(word, 42) % 45056 if xxhash.xxh64_intdigest(word, 42) < 2**63 else (xxhash.xxh64_intdigest(word, 42) - 2**64) % 45056, word)
+        if other != word and len(pairs) < 24:
+            pairs.append((other, word))
+    rng, codes = random.Random(4), []
+    while len(codes) < 60:
+        code = rng.getrandbits(24)
+        if all((code ^ c).bit_count() >= 4 for c in codes):
+            codes.append(code)
+    lines = [" ".join(pairs[j][c >> j & 1] for j in range(24)) for c in codes]
+    table = docs(spark, [(i, line, "a") for i, line in enumerate(lines)])
+    for small in (3, 32):
+        assert line_dedup.dedup_stage(table, small=small).count() == 60
