@@ -3,14 +3,15 @@
 The distinct pieces of the corpus are counted by a shuffle, and each is encoded once, wherever it stands. The pieces of a task
 lie end to end as linked tokens. An inverted index leads from each mergeable
 pair (by the rank of what it merges to) to the positions where it stands; merges are applied in rank order at all positions of the
-index, and only the two neighbours of each position enter the index anew. The codes of the commonest pieces, a bounded number, go to all tasks
-that put texts together; a rarer piece is replayed in the task that meets it.
+index, and only the two neighbours of each position enter the index anew. No piece is replayed a second time: the codes of the commonest pieces, a bounded
+number, go to all tasks that put texts together; a text with other pieces is put aside with their names, which are joined with their codes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import PieceStore, split_pieces
-from .shared import discard, stored
+from .shared import stored
 from .wordhash import portions
 
 #: Most pieces, and most characters of one, whose codes are broadcast: some 10 MB at any size of the corpus.
@@ -129,11 +130,10 @@ _stores: dict[str, tuple[MergeReplay, PieceStore]] = {}
 
 
 def _store(key: str, ranks: dict[bytes, int], seed: tuple[list[str], np.ndarray, np.ndarray] | None = None) -> tuple[MergeReplay, PieceStore]:
-    """The worker's store for ``key``; an earlier one is dropped."""
+    """The worker's store for ``key``, which knows the seed's pieces only; an earlier one is dropped."""
     if key not in _stores:
         _stores.clear()
-        replay = MergeReplay(ranks)
-        _stores[key] = replay, PieceStore(replay.encode, seed)
+        _stores[key] = MergeReplay(ranks), PieceStore(None, seed)
     return _stores[key]
 
 
@@ -184,32 +184,53 @@ def encode_documents(docs: DataFrame, ranks_path: str, with_ids: bool = False, m
 
     Null and empty texts have no ids. Rows are independent, so null and repeated ids do no harm; an empty table gives none; very long texts
     and words are encoded whole; other columns are not looked at. ``ranks_path`` is read on the driver; the ranks (a fixed file) go to the tasks.
-    Only the distinct pieces of each task are shuffled.
+    The distinct pieces of each task are shuffled, and the texts that hold a piece which is not among the ``most`` commonest short ones.
     """
     codes = stored(encoded_pieces(corpus_pieces(docs), ranks_path), "pieces")
     spark = docs.sparkSession.sparkContext
     ranks, seed, key = spark.broadcast(read_ranks(ranks_path)), spark.broadcast(common_codes(codes, most)), codes.stored_path
-    discard(codes)
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * with_ids
+    nothing = (None,) * (2 + with_ids)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with their digests; or, where a piece is not known, with a name for the row, the text and these pieces. A second pass brings their ids along."""
         replay, store = _store(key, ranks.value, seed.value)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in portions([len(t or "") for t in texts]):
-                flat, n = store.texts(texts[a:b])
-                ends = np.cumsum(n).tolist()
+                if batch.num_columns > 2:
+                    if len(store.known) > len(seed.value[0]) + store.most:
+                        store.clear()
+                    brought = {c["piece"]: c["ids"] for row in batch.column("codes").slice(a, b - a).to_pylist() for c in row if c["piece"] not in store.known}
+                    store.put(list(brought), np.frombuffer(b"".join(brought.values()), "<u4"), np.array([len(x) // 4 for x in brought.values()], np.int64))
+                flat, n, lacking = store.known_texts(texts[a:b])
+                if lacking and batch.num_columns > 2:
+                    raise RuntimeError("a piece of the corpus has no code")
                 rows, begin = [], 0
-                for end in ends:
+                for i, end in enumerate(np.cumsum(n).tolist()):
                     own = flat[begin:end]
-                    data = own.astype("<u4").tobytes()
-                    rows.append((end - begin, hashlib.sha256(data).hexdigest(), hashlib.sha256(replay.decode(own.tolist())).hexdigest(), data))
                     begin = end
-                columns = list(zip(*rows, strict=True))[: 3 + with_ids]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *[pa.array(c, kind) for c, (_, kind) in zip(columns, fields[1:], strict=True)]], schema=pa.schema(fields))
-
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, kinds)
+                    if i in lacking:
+                        rows.append((None, *nothing, uuid.uuid4().hex, texts[a + i], lacking[i]))
+                        continue
+                    data = own.astype("<u4").tobytes()
+                    rows.append((len(own), hashlib.sha256(data).hexdigest(), hashlib.sha256(replay.decode(own.tolist())).hexdigest(), *([data] * with_ids), None, None, None))
+                columns = list(zip(*rows, strict=True))
+                more = [("row", pa.string()), ("text", pa.string()), ("pieces", pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *[pa.array(c, kind) for c, (_, kind) in zip(columns, [*fields[1:], *more], strict=True)]], schema=pa.schema([*fields, *more]))
+
+    more = ", row string, text string, pieces array<string>"
+    first = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, kinds + more)
+    if codes.count() == len(seed.value[0]):  # all pieces are among the commonest: no text can be put aside
+        return first.drop("row", "text", "pieces")
+    first = stored(first, "encoded")
+    # texts and their pieces grow with the corpus, and a long piece can stand in very many texts: joined by shuffle, split where skewed
+    aside = first.filter("row is not null")
+    asked = aside.select("row", F.explode("pieces").alias("name")).hint("merge").join(codes.select("piece", "ids"), F.col("name") == F.col("piece"))
+    brought = asked.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("piece", "ids")).alias("codes"))
+    second = aside.hint("merge").join(brought, F.col("row") == F.col("r")).select("doc_id", "text", "codes").mapInArrow(encode, kinds + more)
+    return first.filter("row is null").union(second).drop("row", "text", "pieces")
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -88,9 +88,12 @@ def split_pieces(texts: list[str | None]) -> tuple[np.ndarray, list[str], np.nda
 
 
 class PieceStore:
-    """Ids of pieces: those given from the start (``seed``: pieces, all their ids, how many each has) and those met since, which are dropped when they are more than ``most``."""
+    """Ids of pieces: those given from the start (``seed``: pieces, all their ids, how many each has) and those met since, which are dropped when they are more than ``most``.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], seed: tuple[list[str], np.ndarray, np.ndarray] | None = None, most: int = 1_200_000):
+    Without ``encode`` only ids that were ``put`` are known.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]] | None, seed: tuple[list[str], np.ndarray, np.ndarray] | None = None, most: int = 1_200_000):
         self.encode, self.seed, self.most = encode, seed, most
         self.clear()
 
@@ -100,6 +103,8 @@ class PieceStore:
         self.start = np.empty(1 << 14, np.int64)
         self.size = np.empty(1 << 14, np.int64)
         self.used = 0
+        if self.encode is None:  # stands for all unknown pieces
+            self.put([None], np.empty(0, np.uint32), np.zeros(1, np.int64))
         if self.seed:
             self.put(*self.seed)
 
@@ -121,16 +126,32 @@ class PieceStore:
         self.used += len(ids)
         self.known.update(zip(pieces, range(k, k + len(pieces)), strict=True))
 
+    def known_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, dict[int, list[str]]]:
+        """As ``texts``, for a store without ``encode``; and the distinct unknown pieces of each text that has some, whose ids are missing."""
+        codes, names, per_text = split_pieces(texts)
+        unknown = np.fromiter((n not in self.known for n in names), bool, len(names))
+        lacking: dict[int, list[str]] = {}
+        if unknown.any():
+            at = np.flatnonzero(unknown[codes])
+            spots = np.unique(np.repeat(np.arange(len(texts)), per_text)[at] * len(names) + codes[at])
+            for spot in spots.tolist():
+                lacking.setdefault(spot // len(names), []).append(names[spot % len(names)])
+        return *self._texts(codes, names, per_text), lacking
+
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many each text has (null: none)."""
         if len(self.known) > self.most + (len(self.seed[0]) if self.seed else 0):
             self.clear()
-        codes, names, per_text = split_pieces(texts)
+        return self._texts(*split_pieces(texts))
+
+    def _texts(self, codes: np.ndarray, names: list[str], per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(codes):
             return np.empty(0, np.uint32), per_text
         found = np.fromiter(map(self.known.get, names, [-1] * len(names)), np.int64, len(names))
         new = np.flatnonzero(found < 0)
-        if len(new):
+        if self.encode is None:
+            found[new] = 0
+        elif len(new):
             k, pieces = len(self.known), [names[i] for i in new.tolist()]
             coded = self.encode(pieces)
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))

@@ -213,6 +213,28 @@ def test_rare_pieces_are_encoded_alike(spark, most):
     assert same[0] == same[1] and {r[0]: r[2] for r in same[0]} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("most", [0, 10])
+def test_every_distinct_piece_is_replayed_once(spark, monkeypatch, most):
+    """Rows repeat, lack ids or texts, a long piece stands in all of them; the stage that puts texts together has no encoder at all."""
+    from stridelake.llm.pretokens import split_pieces
+
+    texts = [None, "", "-" * 100, *["-" * 100 + f" word{i % 7} Xq{i} {'z' * i}" for i in range(120)]]
+    table = docs(spark, [(None if i % 5 == 0 else i % 50, t, "a") for i, t in enumerate([*texts, *texts])]).repartition(7)
+    want = sorted((str(None if i % 5 == 0 else i % 50), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate([*texts, *texts]))
+    seen = []
+    one = byte_bpe.encoded_pieces
+
+    def noted(pieces, path):
+        seen.append(pieces)
+        return one(pieces, path)
+
+    monkeypatch.setattr(byte_bpe, "encoded_pieces", noted)
+    got = byte_bpe.encode_documents(table, queries.RANKS, most=most).collect()
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in got) == want
+    distinct = set(split_pieces(texts)[1])
+    assert len(seen) == 1 and sorted(r.piece for r in seen[0].collect()) == sorted(distinct)
+
+
 def slow_base(text):
     """The fixed patterns read to the letter."""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
