@@ -4,30 +4,34 @@ The distinct pieces of the corpus are counted by a shuffle, and each is encoded
 lie end to end as linked tokens. An inverted index leads from each mergeable
 pair (by the rank of what it merges to) to the positions where it stands; merges are applied in rank order at all positions of the
 index, and only the two neighbours of each position enter the index anew. No piece is replayed a second time: the codes of the commonest pieces, a bounded
-number, go to all tasks that put texts together; a text with other pieces is put aside with their names, which are joined with their codes.
+number, go to all tasks that put texts together, and the codes of the rarer ones are joined by piece and laid ready for the tasks whose texts hold them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import PieceStore, split_pieces
-from .shared import stored
+from .shared import discard, new_path, stored
 from .wordhash import portions
 
 #: Most pieces, and most characters of one, whose codes are broadcast: some 10 MB at any size of the corpus.
 COMMON_PIECES, COMMON_CHARS = 200_000, 40
 #: Pieces that are replayed together.
 LOT = 100_000
+#: Distinct pieces that a task counts before it passes them on.
+PIECES_AT_ONCE = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -130,24 +134,41 @@ _stores: dict[str, tuple[MergeReplay, PieceStore]] = {}
 
 
 def _store(key: str, ranks: dict[bytes, int], seed: tuple[list[str], np.ndarray, np.ndarray] | None = None) -> tuple[MergeReplay, PieceStore]:
-    """The worker's store for ``key``, which knows the seed's pieces only; an earlier one is dropped."""
+    """The worker's store for ``key``; an earlier one is dropped."""
     if key not in _stores:
         _stores.clear()
-        _stores[key] = MergeReplay(ranks), PieceStore(None, seed)
+        replay = MergeReplay(ranks)
+        _stores[key] = replay, PieceStore(replay.encode, seed)
     return _stores[key]
 
 
-def corpus_pieces(docs: DataFrame) -> DataFrame:
-    """``piece, n``: the distinct pieces of all texts and how often each stands there."""
+def task_pieces(docs: DataFrame) -> DataFrame:
+    """``part, piece, n``: how often each piece stands in the texts of each task (a task with very many pieces gives several rows for one)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counts = TaskContext.get().partitionId(), {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["part", "piece", "n"])
+            counts.clear()
+            return out
+
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in portions([len(t or "") for t in texts]):
                 codes, names, _ = split_pieces(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.bincount(codes, minlength=len(names)).astype(np.int64))], names=["piece", "n"])
+                for piece, n in zip(names, np.bincount(codes, minlength=len(names)).tolist(), strict=True):
+                    counts[piece] = counts.get(piece, 0) + n
+                if len(counts) > PIECES_AT_ONCE:
+                    yield flush()
+        yield flush()
 
-    return docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, "part long, piece string, n long")
+
+
+def corpus_pieces(seen: DataFrame) -> DataFrame:
+    """``piece, n``: the distinct pieces of all texts and how often each stands there."""
+    return seen.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def encoded_pieces(pieces: DataFrame, ranks_path: str) -> DataFrame:
@@ -167,6 +188,12 @@ def encoded_pieces(pieces: DataFrame, ranks_path: str) -> DataFrame:
 
 def common_codes(codes: DataFrame, most: int = COMMON_PIECES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The commonest pieces, at most ``most`` of at most COMMON_CHARS characters, with their ids: what the driver sees is bounded."""
+    table = _common(codes, most).select("piece", "ids").toArrow()
+    ids = b"".join(table.column("ids").to_pylist())
+    return table.column("piece").to_pylist(), np.frombuffer(ids, "<u4"), np.array([len(x) // 4 for x in table.column("ids").to_pylist()], np.int64)
+
+
+def _common(codes: DataFrame, most: int) -> DataFrame:
     short = codes.filter(F.length("piece") <= COMMON_CHARS)
     levels = short.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()  # at most 64 rows
     least, total = 64, 0
@@ -174,9 +201,24 @@ def common_codes(codes: DataFrame, most: int = COMMON_PIECES) -> tuple[list[str]
         if total + n > most:
             break
         least, total = level, total + n
-    table = short.filter(F.col("n") >= F.lit(2.0) ** least).select("piece", "ids").toArrow()
-    ids = b"".join(table.column("ids").to_pylist())
-    return table.column("piece").to_pylist(), np.frombuffer(ids, "<u4"), np.array([len(x) // 4 for x in table.column("ids").to_pylist()], np.int64)
+    return short.filter(F.col("n") >= F.lit(2.0) ** least)
+
+
+def lay_ready(seen: DataFrame, codes: DataFrame, most: int) -> str:
+    """Writes the codes of all pieces but the commonest, for each task's pieces, as ``part=N`` under the folder that is returned. A long piece may
+    stand in the texts of very many tasks: the join is by shuffle, and split where it is skewed."""
+    root = new_path(seen.sparkSession, "rare")
+    rare = stored(codes.join(_common(codes, most).select("piece"), "piece", "left_anti").select(F.col("piece").alias("name"), "ids"), "rare-codes")
+    rows = seen.select("part", "piece").distinct().hint("merge").join(rare, F.col("piece") == F.col("name")).select("part", "piece", "ids")
+    rows.repartition("part").write.partitionBy("part").parquet(root)
+    discard(rare)
+    return root
+
+
+def _laid_ready(root: str, part: int) -> pa.Table | None:
+    store_fs, folder = pafs.FileSystem.from_uri(root)
+    files = [f.path for f in store_fs.get_file_info(pafs.FileSelector(f"{folder}/part={part}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    return pa.concat_tables(pq.read_table(f, columns=["piece", "ids"], filesystem=store_fs, partitioning=None) for f in files) if files else None
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, with_ids: bool = False, most: int = COMMON_PIECES) -> DataFrame:
@@ -184,53 +226,42 @@ def encode_documents(docs: DataFrame, ranks_path: str, with_ids: bool = False, m
 
     Null and empty texts have no ids. Rows are independent, so null and repeated ids do no harm; an empty table gives none; very long texts
     and words are encoded whole; other columns are not looked at. ``ranks_path`` is read on the driver; the ranks (a fixed file) go to the tasks.
-    The distinct pieces of each task are shuffled, and the texts that hold a piece which is not among the ``most`` commonest short ones.
+    Only the distinct pieces of each task are shuffled. What is laid ready goes by the number of a task in the plan of ``docs``; should texts come to
+    another task when they are read again (a plan whose rows move from run to run), pieces that are not there are replayed by that task.
     """
-    codes = stored(encoded_pieces(corpus_pieces(docs), ranks_path), "pieces")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    seen = stored(task_pieces(rows), "seen")
+    codes = stored(encoded_pieces(corpus_pieces(seen), ranks_path), "pieces")
     spark = docs.sparkSession.sparkContext
     ranks, seed, key = spark.broadcast(read_ranks(ranks_path)), spark.broadcast(common_codes(codes, most)), codes.stored_path
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    ready = lay_ready(seen, codes, most)
+    discard(codes, seen)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * with_ids
-    nothing = (None,) * (2 + with_ids)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with their digests; or, where a piece is not known, with a name for the row, the text and these pieces. A second pass brings their ids along."""
         replay, store = _store(key, ranks.value, seed.value)
+        if len(store.known) > len(seed.value[0]) + store.most:
+            store.clear()
+        own = _laid_ready(ready, TaskContext.get().partitionId())
+        if own is not None:
+            fresh = {p: x for p, x in zip(own.column("piece").to_pylist(), own.column("ids").to_pylist()) if p not in store.known}
+            store.put(list(fresh), np.frombuffer(b"".join(fresh.values()), "<u4"), np.array([len(x) // 4 for x in fresh.values()], np.int64))
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in portions([len(t or "") for t in texts]):
-                if batch.num_columns > 2:
-                    if len(store.known) > len(seed.value[0]) + store.most:
-                        store.clear()
-                    brought = {c["piece"]: c["ids"] for row in batch.column("codes").slice(a, b - a).to_pylist() for c in row if c["piece"] not in store.known}
-                    store.put(list(brought), np.frombuffer(b"".join(brought.values()), "<u4"), np.array([len(x) // 4 for x in brought.values()], np.int64))
-                flat, n, lacking = store.known_texts(texts[a:b])
-                if lacking and batch.num_columns > 2:
-                    raise RuntimeError("a piece of the corpus has no code")
+                flat, n = store.texts(texts[a:b])
+                ends = np.cumsum(n).tolist()
                 rows, begin = [], 0
-                for i, end in enumerate(np.cumsum(n).tolist()):
+                for end in ends:
                     own = flat[begin:end]
-                    begin = end
-                    if i in lacking:
-                        rows.append((None, *nothing, uuid.uuid4().hex, texts[a + i], lacking[i]))
-                        continue
                     data = own.astype("<u4").tobytes()
-                    rows.append((len(own), hashlib.sha256(data).hexdigest(), hashlib.sha256(replay.decode(own.tolist())).hexdigest(), *([data] * with_ids), None, None, None))
-                columns = list(zip(*rows, strict=True))
-                more = [("row", pa.string()), ("text", pa.string()), ("pieces", pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *[pa.array(c, kind) for c, (_, kind) in zip(columns, [*fields[1:], *more], strict=True)]], schema=pa.schema([*fields, *more]))
-
-    more = ", row string, text string, pieces array<string>"
-    first = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, kinds + more)
-    if codes.count() == len(seed.value[0]):  # all pieces are among the commonest: no text can be put aside
-        return first.drop("row", "text", "pieces")
-    first = stored(first, "encoded")
-    # texts and their pieces grow with the corpus, and a long piece can stand in very many texts: joined by shuffle, split where skewed
-    aside = first.filter("row is not null")
-    asked = aside.select("row", F.explode("pieces").alias("name")).hint("merge").join(codes.select("piece", "ids"), F.col("name") == F.col("piece"))
-    brought = asked.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("piece", "ids")).alias("codes"))
-    second = aside.hint("merge").join(brought, F.col("row") == F.col("r")).select("doc_id", "text", "codes").mapInArrow(encode, kinds + more)
-    return first.filter("row is null").union(second).drop("row", "text", "pieces")
+                    rows.append((end - begin, hashlib.sha256(data).hexdigest(), hashlib.sha256(replay.decode(own.tolist())).hexdigest(), data))
+                    begin = end
+                columns = list(zip(*rows, strict=True))[: 3 + with_ids]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *[pa.array(c, kind) for c, (_, kind) in zip(columns, fields[1:], strict=True)]], schema=pa.schema(fields))
+
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return rows.mapInArrow(encode, kinds)
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:

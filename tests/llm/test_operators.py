@@ -214,25 +214,56 @@ def test_rare_pieces_are_encoded_alike(spark, most):
 
 
 @pytest.mark.parametrize("most", [0, 10])
-def test_every_distinct_piece_is_replayed_once(spark, monkeypatch, most):
-    """Rows repeat, lack ids or texts, a long piece stands in all of them; the stage that puts texts together has no encoder at all."""
+def test_every_distinct_piece_is_replayed_once(spark, monkeypatch, tmp_path, most):
+    """Rows repeat, lack ids or texts, a long piece stands in all of them. The replay of the corpus writes down each call, and so does each task that puts texts together."""
     from stridelake.llm.pretokens import split_pieces
 
     texts = [None, "", "-" * 100, *["-" * 100 + f" word{i % 7} Xq{i} {'z' * i}" for i in range(120)]]
-    table = docs(spark, [(None if i % 5 == 0 else i % 50, t, "a") for i, t in enumerate([*texts, *texts])]).repartition(7)
+    path = str(tmp_path / "d")
+    docs(spark, [(None if i % 5 == 0 else i % 50, t, "a") for i, t in enumerate([*texts, *texts])]).repartition(7).write.parquet(path)
     want = sorted((str(None if i % 5 == 0 else i % 50), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate([*texts, *texts]))
-    seen = []
-    one = byte_bpe.encoded_pieces
-
-    def noted(pieces, path):
-        seen.append(pieces)
-        return one(pieces, path)
-
-    monkeypatch.setattr(byte_bpe, "encoded_pieces", noted)
-    got = byte_bpe.encode_documents(table, queries.RANKS, most=most).collect()
+    log = str(tmp_path / "log")
+    real = byte_bpe.MergeReplay
+
+    class Noted(real):
+        def encode(self, pieces):
+            with open(log, "a", encoding="utf-8") as f:
+                f.write("".join(p + "\x01" for p in pieces))
+            return super().encode(pieces)
+
+    def pieces_noted(pieces, ranks_path):
+        ranks = pieces.sparkSession.sparkContext.broadcast(byte_bpe.read_ranks(ranks_path))
+
+        def replay(batches):
+            import pyarrow as pa
+
+            engine = Noted(ranks.value)
+            for batch in batches:
+                ids = [np.array(x, "<u4").tobytes() for x in engine.encode(batch.column("piece").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array(ids, pa.binary())], names=["piece", "n", "ids"])
+
+        return pieces.mapInArrow(replay, "piece string, n long, ids binary")
+
+    def store_noted(key, ranks, seed=None):
+        if key not in byte_bpe._stores:
+            byte_bpe._stores.clear()
+            engine = Noted(ranks)
+            byte_bpe._stores[key] = engine, byte_bpe.PieceStore(engine.encode, seed)
+        return byte_bpe._stores[key]
+
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(byte_bpe, "encoded_pieces", pieces_noted)
+    monkeypatch.setattr(byte_bpe, "_store", store_noted)
+    cloudpickle.register_pickle_by_value(byte_bpe)
+    try:
+        got = byte_bpe.encode_documents(spark.read.parquet(path), queries.RANKS, most=most).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(byte_bpe)
     assert sorted((str(r.doc_id), r.decoded_sha256) for r in got) == want
-    distinct = set(split_pieces(texts)[1])
-    assert len(seen) == 1 and sorted(r.piece for r in seen[0].collect()) == sorted(distinct)
+    with open(log, encoding="utf-8") as f:
+        calls = f.read().split("\x01")[:-1]
+    assert sorted(calls) == sorted(set(split_pieces(texts)[1]))
 
 
 def slow_base(text):
