@@ -208,10 +208,10 @@ def lay_ready(seen: DataFrame, codes: DataFrame, most: int) -> str:
     """Writes the codes of all pieces but the commonest, for each task's pieces, as ``part=N`` under the folder that is returned. A long piece may
     stand in the texts of very many tasks: the join is by shuffle, and split where it is skewed."""
     root = new_path(seen.sparkSession, "rare")
-    rare = stored(codes.join(_common(codes, most).select("piece"), "piece", "left_anti").select(F.col("piece").alias("name"), "ids"), "rare-codes")
-    rows = seen.select("part", "piece").distinct().hint("merge").join(rare, F.col("piece") == F.col("name")).select("part", "piece", "ids")
-    rows.repartition("part").write.partitionBy("part").parquet(root)
-    discard(rare)
+    common = F.broadcast(_common(codes, most).select(F.col("piece").alias("known")))  # at most ``most`` short pieces
+    rare = codes.join(common, F.col("piece") == F.col("known"), "left_anti").select(F.col("piece").alias("name"), "ids")
+    rows = seen.select("part", "piece").join(common, F.col("piece") == F.col("known"), "left_anti").hint("merge").join(rare, F.col("piece") == F.col("name")).select("part", "piece", "ids")
+    rows.repartition("part").sortWithinPartitions("part", "piece").write.option("compression", "zstd").partitionBy("part").parquet(root)
     return root
 
 
@@ -230,8 +230,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, with_ids: bool = False, m
     another task when they are read again (a plan whose rows move from run to run), pieces that are not there are replayed by that task.
     """
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    seen = stored(task_pieces(rows), "seen")
-    codes = stored(encoded_pieces(corpus_pieces(seen), ranks_path), "pieces")
+    seen = stored(task_pieces(rows), "seen", compression="zstd")
+    codes = stored(encoded_pieces(corpus_pieces(seen), ranks_path), "pieces", compression="zstd")
     spark = docs.sparkSession.sparkContext
     ranks, seed, key = spark.broadcast(read_ranks(ranks_path)), spark.broadcast(common_codes(codes, most)), codes.stored_path
     ready = lay_ready(seen, codes, most)
