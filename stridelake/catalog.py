@@ -1034,6 +1034,49 @@ def _(s, d):
     return op.with_events(table(s, d, "orders"), "o_custkey", "o_orderpriority").select("o_orderkey", F.array_join("events", ", ").alias("events"))
 
 
+@query("job9_weekly_order", f"with {_WEEKS}, c as ({_CONS}), r as (select k, row_number() over (order by consistency_pct desc, std_dev nulls last, no_data, k) as serial from c) select k, km, serial from w join r using (k)")
+def _(s, d):
+    ranking, rows = plans.consistency_report(_weeks(s, d), "k", "km", "km")
+    return rows.select("k", "km", "serial")
+
+
+@query("job13_form_table", f"with {PERF}, latest as (select athlete, discipline, arg_max(score, (day, score)) as score, max(day) as day from perf where day < timestamp '1999-06-01' group by 1, 2) select l.athlete::varchar as athlete, l.discipline, round(score * exp(-0.001 * datediff('day', day::date, date '1999-06-01')), 4) as weighted_score from latest l where athlete in (select o_custkey from orders)")
+def _(s, d):
+    p = performances(s, d).select(F.col("athlete").cast("string").alias("athlete"), "discipline", F.lit("x").alias("location"), "day", "score")
+    roster = table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("athlete"), F.col("o_orderstatus").alias("event"))
+    urgent = F.col("discipline") == "1-URGENT"
+    return plans.form_table([p.filter(urgent), p.filter(~urgent)], roster, "1999-06-01").select("athlete", "discipline", _r("weighted_score"))
+
+
+@query("job14_two_predictors", "with f as (select o_orderpriority as event, o_custkey as athlete, min(o_orderkey) as place from orders group by 1, 2), s as (select event, athlete, row_number() over (partition by event order by s desc, athlete) as a, row_number() over (partition by event order by n desc, athlete) as b from (select o_orderpriority as event, o_custkey as athlete, max(o_totalprice) as s, count(*) as n from orders group by 1, 2)) select event, round(sqrt(avg(pow(a - place, 2))), 2) as rmse_price, round(sqrt(avg(pow(b - place, 2))), 2) as rmse_orders from s join f using (event, athlete) group by 1")
+def _(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderpriority").alias("event"), F.col("o_custkey").alias("athlete"), "o_orderkey", "o_totalprice").groupBy("event", "athlete")
+    made = o.agg(F.min("o_orderkey").alias("place"), F.max("o_totalprice").alias("price"), F.count(F.lit(1)).alias("orders"))
+    board = plans.compare_predictors(made.select("event", "athlete", "place"), made.withColumn("score", F.col("price").cast("double")), made.withColumn("score", F.col("orders").cast("double")), ("price", "orders"))
+    return board.select("event", _r("rmse_price", 2), _r("rmse_orders", 2))
+
+
+@query("job15_combined", "select o_custkey, round(avg(o_totalprice), 2) as mean_score, count(*) as n, arg_max(o_orderpriority, (o_totalprice, o_orderpriority)) as best_discipline from orders group by 1 having count(*) > 1")
+def _(s, d):
+    o = table(s, d, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    _, report = plans.combined_disciplines([o.filter(urgent), o.filter(~urgent)], "o_custkey", "o_orderpriority", "o_totalprice")
+    return report.select("o_custkey", _r("mean_score", 2), "n", "best_discipline")
+
+
+@query("job15_repeated_rows", "select o_orderkey from orders where o_custkey in (select o_custkey from orders group by 1 having count(*) > 1)")
+def _(s, d):
+    o = table(s, d, "orders")
+    return plans.combined_disciplines([o], "o_custkey", "o_orderpriority", "o_totalprice")[0].select("o_orderkey")
+
+
+@query("job16_country_map", "select n_regionkey, count(*) as n, array_to_string(list(c_name order by c_name)[:5], ',') as names from customer join nation on n_nationkey = c_nationkey group by 1")
+def _(s, d):
+    n = table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey", F.lit(0).alias("lng"))
+    _, places = plans.country_map(table(s, d, "customer"), n, "c_nationkey", "n_regionkey", "lng", "c_name", 5)
+    return places.select("n_regionkey", "n", F.array_join("names", ",").alias("names"))
+
+
 @query("agg16_first_names", "select n_regionkey, count(*) as n, array_to_string(list(c_name order by c_name)[:7], ',') as names from customer join nation on n_nationkey = c_nationkey group by 1")
 def _(s, d):
     c = op.with_coordinates(table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), table(s, d, "nation"), "n_nationkey").withColumn("none", F.lit(None).cast("int"))

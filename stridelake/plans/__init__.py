@@ -121,6 +121,12 @@ def consistency_ranking(weekly: DataFrame, key: str, value: str) -> DataFrame:
     return op.with_serial(stats, ["__c", "__s", "no_data", key]).drop("__c", "__s")
 
 
+def consistency_report(weekly: DataFrame, key: str, value: str, then: str) -> tuple[DataFrame, DataFrame]:
+    """JOB-9 in full: the ranking (AGG-7, ORD-1), and the weekly rows in its order (ORD-2), those of one athlete by ``then``."""
+    ranking = consistency_ranking(weekly, key, value)
+    return ranking, op.order_like(weekly, ranking, key, then)
+
+
 def new_results(old: DataFrame, new: DataFrame, keys: list[str], score: str, cutoff: float) -> DataFrame:
     """JOB-10: the new results with a score from the cutoff on whose performance (FN-21) is not stored, each performance once (that of the highest score)."""
     key = fn.performance_key(*[F.col(k) for k in keys])
@@ -167,6 +173,11 @@ def form_scores(perf: DataFrame, roster: DataFrame, reference: str = "2024-08-01
     return out.withColumn("days", days).withColumn("weighted_score", fn.decayed(F.col("score"), days, lam))
 
 
+def form_table(perfs: list[DataFrame], roster: DataFrame, reference: str = "2024-08-01", lam: float = 0.001) -> DataFrame:
+    """JOB-13 in full: the result lists of several disciplines stacked (SET-1), scored (``form_scores``) and the best form first (ORD-3)."""
+    return op.by_score(form_scores(op.stack(*perfs), roster, reference, lam), "weighted_score", "athlete", "discipline")
+
+
 def evaluate_predictions(final: DataFrame, predictions: DataFrame, null_policy: str = "none") -> DataFrame:
     """JOB-14: final (event, athlete, place), predictions (predictor, event, athlete, score): error of each predictor's ranks.
 
@@ -187,12 +198,27 @@ def prediction_scoreboard(errors: DataFrame, one: str, other: str) -> DataFrame:
     return op.compare_scoreboards(side(one), side(other))
 
 
+def compare_predictors(final: DataFrame, one: DataFrame, other: DataFrame, names: tuple[str, str], null_policy: str = "none") -> DataFrame:
+    """JOB-14 in full: two predictors' scores (event, athlete, score) against the same final (event, athlete, place), the errors of their ranks side by side, event by
+    event; an event that one of them left out keeps the other's error."""
+    both = op.stack(*[df.select(F.lit(name).alias("predictor"), "event", "athlete", "score") for name, df in zip(names, (one, other), strict=True)])
+    return prediction_scoreboard(evaluate_predictions(final, both, null_policy), *names)
+
+
 def multi_discipline_report(perf: DataFrame, athlete: str, discipline: str, score: str) -> DataFrame:
     """JOB-15."""
     many = op.multi_discipline(perf, athlete, discipline, score)
     return many.join(op.best_discipline(perf, athlete, discipline, score), athlete)
 
 
+def combined_disciplines(perfs: list[DataFrame], athlete: str, discipline: str, score: str) -> tuple[DataFrame, DataFrame]:
+    """JOB-15 in full: the result lists of several disciplines stacked (SET-1), all rows of athletes with more than one by name and discipline (WIN-4, ORD-4), and their
+    report (AGG-9, AGG-10), highest mean score first (ORD-3). Scores that are no numbers count as rows but not in means and sums."""
+    again = op.repeated(op.stack(*perfs, allow_missing=True), [athlete])
+    numbers = again.withColumn(score, fn.to_number(F.col(score).cast("string")))
+    return op.by_name(again, athlete, discipline), op.by_score(multi_discipline_report(numbers, athlete, discipline, score), "mean_score", athlete)
+
+
 def recollection_plan(meta: DataFrame, state: str, value, id_col: str, size: int = 60) -> DataFrame:
     """JOB-19."""
     return op.chunk_ids(op.where_state(meta, state, value), id_col, size)
@@ -203,6 +229,12 @@ def country_report(results: DataFrame, coords: DataFrame, nat: str = "nat") -> D
     return op.with_coordinates(op.value_counts(results, nat), coords, nat, "inner")
 
 
+def country_map(results: DataFrame, coords: DataFrame, nat: str, lat: str, lng: str, name: str, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """JOB-16 in full: ``country_report``, and for the map the number and first names of the athletes at each coordinate (AGG-16), each athlete once."""
+    athletes = op.with_coordinates(results.select(nat, name).distinct(), coords, nat, "inner")
+    return country_report(results, coords, nat), op.athletes_by_location(athletes, lat, lng, name, most)
+
+
 def serve_home(athletes: DataFrame, coords: DataFrame, log: DataFrame, nat: str = "nat", ts: str = "timestamp") -> tuple[DataFrame, DataFrame, DataFrame]:
     """JOB-17: athletes with their nation's coordinates (null if unknown), the headline counts, and the latest load with its time as text."""
     latest = op.latest_row(log, ts).withColumn("last_updated", F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" (GMT +8)")))
