@@ -1,19 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-Every block of text has the path of block-level tags from the root. Per path, text length and punctuation are averaged over its
-blocks and fused; the scores are smoothed along the page, and paths whose blocks score above a share of the page's spread
-hold content. The main text is everything in the article and main elements that hold content blocks, if most of the content stands there, else in the
-innermost element that holds all of them, but for parts that are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or comments.
+Every block of text has the path of block-level tags from the root. Per path, text length, punctuation and the share of text in links
+are averaged over its blocks and fused; the scores are smoothed along the page, and the blocks of paths that score above a share of the page's
+spread are the content. Each content block chooses a node: the outermost article or main element around it; where there is none at all, the
+innermost element around all content blocks; beside articles, the nearest element that holds more than one kind of text. The main text is
+everything in the chosen nodes, but for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. These
+are told by their tags, by what classes, ids and roles say, by the headings of comment sections, and, at the edges of the content, by text
+that stands in links.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture map area".split())
 DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video nav header footer aside form button select textarea input dialog menu".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Words that mark, if a class, id or role has no others,  what isn't the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead header notice notices cookie cookies consent popup modal newsletter subscribe share sharing social related comment comments commentlist respond reply replies disqus toolbar pagination pager search login contentinfo complementary".split())
+#: Words that mark what isn't the article.
+MARKS = frozenset("ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead header notice notices cookie cookies consent gdpr popup modal dialog alertdialog newsletter subscribe share sharing social related comment comments commentlist respond reply replies disqus toolbar pagination pager search login contentinfo complementary".split())
+#: Words that may stand beside a mark in one name and leave it one.
+NEUTRAL = frozenset("site page user users reader readers global main top bottom left right list bar slot box area block section container wrapper wrap inner outer item items row widget signup sign up form link links buttons icons panel pane thread content body text message policy unit zone primary secondary mobile desktop".split())
+#: Marks of reader comments, which may hold articles of their own.
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: A name of only these says that its element is the article's, whatever other names it has.
+CONTENT = frozenset("article post entry story content main body text".split())
+#: Headings that only sections of reader comments have.
+COMMENT_HEADING = re.compile(r"(\d+|reader|readers'|user) (comments?|replies|responses)|(comments|replies|responses) ?\(\d+\)|(leave|post|add|write) (a|your) (comment|reply)", re.IGNORECASE)
 CLOSES_P = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag ends open elements of these kinds, up to the given ancestors.
 ENDS = {
@@ -53,19 +65,57 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _TO_END = re.compile(r"[\s/]*>")
 _MARKING = frozenset(("class", "id", "role"))
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
-_SIGMA, _RADIUS, _SHARE = 1.0, 2, 0.5
+_SIGMA, _RADIUS, _SHARE, _LINKED = 1.0, 2, 0.5, 0.5
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    holders: tuple[int, ...]
-    dropped: bool
-    marks: tuple[int, ...]
+    #: Number of its path, the innermost block-level element, and how much of it stands in links.
+    path: int
+    node: int
+    linked: float
     text: str
 
 
+@dataclass
+class Page:
+    """Blocks in page order and the elements around them. Element 0 is the page; a parent comes before its children.
+
+    Element ``k`` holds the blocks ``first[k]`` to ``last[k]``, end exclusive.
+    """
+
+    blocks: list[Block] = field(default_factory=list)
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    first: list[int] = field(default_factory=lambda: [0])
+    last: list[int] = field(default_factory=lambda: [0])
+    #: Elements that may go by their marks: whether they are reader comments.
+    marked: dict[int, bool] = field(default_factory=dict)
+
+    def only(self, kept: list[bool]) -> Page:
+        """The page with the blocks that are kept."""
+        before = [0, *accumulate(kept)]
+        out = Page([b for b, k in zip(self.blocks, kept, strict=True) if k], self.tag, self.parent, [before[k] for k in self.first], [before[k] for k in self.last], self.marked)
+        return out
+
+    def holders(self) -> list[int]:
+        """The outermost article or main element around each element, which may be itself; 0 if there is none."""
+        out = [0] * len(self.tag)
+        for k in range(1, len(out)):
+            out[k] = out[self.parent[k]] or (k if self.tag[k] in HOLDERS else 0)
+        return out
+
+    def outside(self, nodes: set[int]) -> list[bool]:
+        """Of each block, whether none of these elements holds it."""
+        change = [0] * (len(self.blocks) + 1)
+        for k in nodes:
+            change[self.first[k]] += 1
+            change[self.last[k]] -= 1
+        return [depth == 0 for depth in accumulate(change[:-1])]
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, list[tuple[str, str]], bool]]:
     """(kind, value, attributes, self-closed) of the parts of a page in order: ``text``, ``open`` and ``close``; raw elements' content and comments are left out.
 
@@ -110,161 +160,232 @@ def tokens(page: str) -> Iterator[tuple[str, str, list[tuple[str, str]], bool]]:
             at = less + 1
 
 
-def _marked(tag: str, attributes: list[tuple[str, str]]) -> bool:
-    """Whether all words of a class, id or role are marks."""
+def _mark(tag: str, attributes: list[tuple[str, str]]) -> bool | None:
+    """Whether a name among class, id or role marks reader comments (true) or another part that isn't the article (false); None if none does."""
     for name, value in attributes:
         if name == "id" and tag in SLUGGED:
             continue
-        words = [w for w in re.split(r"[\s_-]+", value.lower()) if w]
-        if words and MARKS.issuperset(words):
-            return True
-    return False
-
-
-@dataclass
-class Element:
-    tag: str
-    serial: int
-    drop: bool = False
-    mark: bool = False
-    #: For an inline element whose text goes: the pieces before it, and how many blocks there were.
-    cut: tuple[int, int] | None = None
-
-
-def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The text blocks in page order, and the tag of every element that can hold some."""
-    tags: dict[int, str] = {0: ""}
-    stack = [Element("", 0)]
-    out: list[Block] = []
-    pieces: list[str] = []
-    serial = 0
-
-    def flush() -> None:
-        text = " ".join("".join(pieces).split())
-        pieces.clear()
-        if text:
-            level = [x for x in stack if x.tag not in INLINE]
-            out.append(Block(tuple(x.tag for x in level), tuple(x.serial for x in level), any(x.drop for x in stack), tuple(x.serial for x in stack if x.mark), text))
-
-    def close(upto: int) -> None:
-        for x in reversed(stack[upto:]):
-            if x.cut and x.cut[1] == len(out):
-                del pieces[x.cut[0] :]
-            elif x.cut or x.tag not in INLINE:
-                flush()
-            stack.pop()
-
-    for kind, value, attributes, closed in tokens(page):
-        if kind == "text":
-            pieces.append(html.unescape(value))
-            continue
-        tag = value
-        if kind == "close":
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k and not (tag in INLINE and any(x.tag not in INLINE for x in stack[k:])):
-                close(k)
-            elif tag not in INLINE:
-                flush()
+        names = [{w.lower() for w in _WORD.findall(x)} for x in value.split()]
+        if any(x and CONTENT.issuperset(x) for x in names):
             continue
+        found = [x for x in names if x & MARKS and x <= MARKS | NEUTRAL and x != {"page", "header"}]
+        if found:
+            return any(x & COMMENTS for x in found)
+    return None
+
+
+class _Builder:
+    """Builds a page from its parts in one pass; what is open is kept by tag as well, so that no step walks the stack."""
+
+    def __init__(self) -> None:
+        self.page, self.stack = Page(), [0]
+        self.opened: dict[str, list[int]] = defaultdict(list)  # places on the stack
+        self.levels = [0]  # places of block-level elements
+        self.paths: dict[tuple[int, str], int] = {}
+        self.path_of = [0]
+        self.dropping = self.links = 0
+        self.cuts: dict[int, tuple[int, int]] = {}  # inline elements whose text goes: the pieces before it, and how many blocks there were
+        self.pieces: list[str] = []
+        self.linked: list[str] = []
+
+    def text(self, value: str) -> None:
+        self.pieces.append(value)
+        if self.links:
+            self.linked.append(value)
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.pieces).split())
+        linked = sum(len("".join(x.split())) for x in self.linked)
+        self.pieces.clear()
+        self.linked.clear()
+        if text and not self.dropping:
+            node = self.stack[self.levels[-1]]
+            self.page.blocks.append(Block(self.path_of[node], node, min(1.0, linked / max(1, len(text.replace(" ", "")))), text))
+
+    def place(self, tag: str) -> int:
+        """The place of the innermost open element of this tag; 0 if there is none."""
+        return self.opened[tag][-1] if self.opened[tag] else 0
+
+    def close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            node = self.stack[-1]
+            tag = self.page.tag[node]
+            cut = self.cuts.pop(node, None)
+            if cut and cut[1] == len(self.page.blocks):
+                del self.pieces[cut[0] :]
+            elif cut or tag not in INLINE:
+                self.flush()
+            self.page.last[node] = len(self.page.blocks)
+            self.stack.pop()
+            self.opened[tag].pop()
+            if tag not in INLINE:
+                self.levels.pop()
+            self.dropping -= tag in DROPPED
+            self.links -= tag == "a"
+
+    def end(self, tag: str) -> None:
+        k = self.place(tag)
+        if k and not (tag in INLINE and self.levels[-1] > k):
+            self.close(k)
+        elif tag not in INLINE:
+            self.flush()
+
+    def start(self, tag: str, attributes: list[tuple[str, str]], closed: bool) -> None:
         if tag == "br":
-            pieces.append("\n")
-            continue
-        drop = tag in DROPPED
-        mark = not drop and tag not in WHOLE and tag not in HEADINGS and _marked(tag, attributes)
+            self.text("\n")
+            return
         if tag not in INLINE:
-            if tag in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-                if k:
-                    close(k)
+            if tag in CLOSES_P and (k := self.place("p")):
+                self.close(k)
             if tag in ENDS:
                 kinds, limits = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in limits:
-                        break
-                    if stack[k].tag in kinds:
-                        close(k)
-            flush()
-        elif drop:
-            flush()
+                limit = max(self.place(t) for t in limits)
+                above = [places[i] for t in kinds if (i := bisect_right(places := self.opened[t], limit)) < len(places)]
+                if above:
+                    self.close(min(above))
+            self.flush()
+        elif tag == "a" and (k := self.place("a")) and k > self.levels[-1]:
+            self.close(k)
         if tag in RAW or tag in VOID or closed and tag in ("svg", "path"):
-            continue
-        serial += 1
-        tags[serial] = tag
-        stack.append(Element(tag, serial, drop, mark, (len(pieces), len(out)) if mark and tag in INLINE else None))
-    close(1)
-    flush()
-    return out, tags
+            return
+        page, above = self.page, self.stack[self.levels[-1]]
+        node = len(page.tag)
+        page.tag.append(tag)
+        page.parent.append(self.stack[-1])
+        page.first.append(len(page.blocks))
+        page.last.append(len(page.blocks))
+        self.path_of.append(self.path_of[above] if tag in INLINE else self.paths.setdefault((self.path_of[above], tag), len(self.paths) + 1))
+        mark = None if tag in DROPPED or tag in WHOLE or tag in HEADINGS else _mark(tag, attributes)
+        if mark is not None:
+            page.marked[node] = mark
+            if tag in INLINE:
+                self.cuts[node] = (len(self.pieces), len(page.blocks))
+        self.opened[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.levels.append(len(self.stack))
+        self.stack.append(node)
+        self.dropping += tag in DROPPED
+        self.links += tag == "a"
 
 
-def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each path: text per block, raised by punctuation per block."""
-    chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+def read_page(page: str) -> Page:
+    """The blocks outside dropped tags, and all elements. A link left open ends where the next one opens in the same block."""
+    out = _Builder()
+    for kind, value, attributes, closed in tokens(page):
+        if kind == "text":
+            out.text(html.unescape(value))
+        elif kind == "close":
+            out.end(value)
+        else:
+            out.start(value, attributes, closed)
+    out.close(1)
+    out.flush()
+    out.page.last[0] = len(out.page.blocks)
+    return out.page
+
+
+def path_scores(found: list[Block]) -> dict[int, float]:
+    """Fused ratios of each path: text per block outside links, raised by punctuation per block."""
+    chars, marks, count = defaultdict(float), defaultdict(int), defaultdict(int)
     for b in found:
-        chars[b.path] += len(b.text)
+        chars[b.path] += len(b.text) * (1 - b.linked)
         marks[b.path] += len(_PUNCTUATION.findall(b.text))
         count[b.path] += 1
     return {p: chars[p] / n * (1 + marks[p] / n) for p, n in count.items()}
 
 
-def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
+def content_blocks(found: list[Block]) -> list[bool]:
+    """Of each block, whether its path holds content. Paths are judged by their smoothed scores; at least one always holds some."""
     scores = path_scores(found)
     line = np.array([scores[b.path] for b in found])
     kernel = np.exp(-0.5 * (np.arange(-_RADIUS, _RADIUS + 1) / _SIGMA) ** 2)
     weight = np.convolve(np.ones(len(line)), kernel)[_RADIUS:-_RADIUS]
     smooth = np.convolve(line, kernel)[_RADIUS:-_RADIUS] / weight
-    by_path = defaultdict(list)
-    for b, s in zip(found, smooth, strict=True):
-        by_path[b.path].append(s)
+    total, count = defaultdict(float), defaultdict(int)
+    for b, s in zip(found, smooth.tolist(), strict=True):
+        total[b.path] += s
+        count[b.path] += 1
     limit = _SHARE * float(smooth.std())
     best = max(scores.values())
-    return {p for p, s in by_path.items() if np.mean(s) >= limit and scores[p] >= 0.1 * best}
-
-
-def _unmarked(found: list[Block], tags: dict[int, str]) -> list[Block]:
-    """The blocks outside marked elements; a mark on what holds an article or all content blocks tells nothing."""
-    if not any(b.marks for b in found):
-        return found
-    paths = content_paths(found)
-    content = [b.holders for b in found if b.path in paths]
-    wrappers: set[int] = set()
+    paths = {p for p, s in total.items() if s >= limit * count[p] and scores[p] >= 0.1 * best} or {max(scores, key=scores.get)}
+    return [b.path in paths for b in found]
+
+
+def _comment_sections(page: Page) -> set[int]:
+    """The outermost elements that begin with the heading of a comment section."""
+    out = set()
+    for i, b in enumerate(page.blocks):
+        k = b.node
+        if page.tag[k] in HEADINGS and COMMENT_HEADING.fullmatch(b.text):
+            while (up := page.parent[k]) and page.tag[up] not in WHOLE and page.first[up] == i:
+                k = up
+            out.add(k)
+    return out
+
+
+def _without_comments(page: Page) -> Page:
+    """Leaves out reader comments, unless no prose would be left."""
+    gone = {k for k, comments in page.marked.items() if comments} | _comment_sections(page)
+    kept = page.outside(gone)
+    prose = any(k and b.linked < _LINKED and (page.tag[b.node] == "p" or len(b.text.split()) >= 5 and _PUNCTUATION.search(b.text)) for b, k in zip(page.blocks, kept, strict=True))
+    return page.only(kept) if prose else page
+
+
+def _without_marked(page: Page) -> Page:
+    """Leaves out marked elements. A mark tells nothing on what holds all content, nor on what holds every article (every main element, if there is
+    no article), half of all content and the whole content of the article or main element around it."""
+    marked = [k for k, comments in page.marked.items() if not comments]
+    if not marked:
+        return page
+    content = [0, *accumulate(len(b.text) if c else 0 for b, c in zip(page.blocks, content_blocks(page.blocks), strict=True))]
+    within = lambda k: content[page.last[k]] - content[page.first[k]]
+    held = [k for k, tag in enumerate(page.tag) if tag in HOLDERS and within(k)]
+    held = [k for k in held if page.tag[k] == "article"] or held
+    start, end = (min(page.first[k] for k in held), max(page.last[k] for k in held)) if held else (-1, -1)
+    holder = page.holders()
+
+    def whole(k: int) -> bool:
+        return bool(held) and page.first[k] <= start and end <= page.last[k] and 2 * within(k) >= content[-1] and (not holder[k] or within(holder[k]) == within(k))
+
+    return page.only(page.outside({k for k in marked if within(k) < content[-1] and not whole(k)}))
+
+
+def _chosen(page: Page) -> list[bool]:
+    """Of each block, whether a chosen node holds it."""
+    found, content = page.blocks, content_blocks(page.blocks)
+    holder = page.holders()
+    nearest = [0] * len(page.tag)  # the nearest element, itself included, that is neither inline nor a part
+    for k in range(1, len(page.tag)):
+        nearest[k] = nearest[page.parent[k]] if page.tag[k] in PARTS or page.tag[k] in INLINE else k
+    held = {holder[b.node] for b, c in zip(found, content, strict=True) if c}
+    if held - {0}:
+        nodes = held - {0}
+        near = {nearest[b.node] for b, c in zip(found, content, strict=True) if c and not holder[b.node]}
+        nodes |= {k for k in near if k and page.tag[k] not in WHOLE and not any(page.first[k] <= page.first[h] and page.last[h] <= page.last[k] for h in nodes)}
+        left = page.outside(nodes)
+        return [not out or c and not holder[b.node] and b.linked < _LINKED for b, c, out in zip(found, content, left, strict=True)]
+    places = [i for i, c in enumerate(content) if c]
+    top = found[places[0]].node
+    while top and not (page.first[top] <= places[0] and places[-1] < page.last[top] and page.tag[top] not in INLINE):
+        top = page.parent[top]
+    beside = defaultdict(set)  # the prose right in each element
     for b in found:
-        last = max((k for k, h in enumerate(b.holders) if tags[h] in HOLDERS), default=0)
-        wrappers.update(b.holders[:last])
-    wrappers |= {m for b in found for m in b.marks if all(m in holders for holders in content)}
-    return [b for b in found if wrappers.issuperset(b.marks)]
-
-
-def _holders(found: list[Block], tags: dict[int, str]) -> set[int]:
-    """The elements that hold the article: the outermost article or main elements with content blocks, if these are most of the content; else
-    the innermost element around all content blocks."""
-    paths = content_paths(found)
-    content = [b for b in found if b.path in paths]
-    held: dict[int, int] = defaultdict(int)
-    for b in content:
-        held[next((h for h in b.holders if tags[h] in HOLDERS), 0)] += len(b.text)
-    outside = held.pop(0, 0)
-    if sum(held.values()) > outside:
-        return set(held)
-    chain = list(content[0].holders)
-    for b in content:
-        chain = [h for h, x in zip(chain, b.holders, strict=False) if h == x]
-    while len(chain) > 1:
-        around = any(b.holders[-2:-1] == (chain[-2],) and b.holders[-1] != chain[-1] and b.path[-1] in PROSE for b in found)
-        if tags[chain[-1]] not in PARTS and not around:
-            break
-        chain.pop()
-    return {chain[-1]}
+        if page.tag[b.node] in PROSE:
+            beside[page.parent[b.node]].add(b.node)
+    while top and (page.tag[top] in PARTS or beside[page.parent[top]] - {top}):
+        top = page.parent[top]
+    inside = range(page.first[top], page.last[top])
+    # at the edges, text in links is a menu; amid the content it is the article's
+    return [i in inside and (places[0] <= i <= places[-1] or b.linked < _LINKED or page.tag[b.node] in HEADINGS) for i, b in enumerate(found)]
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by empty lines; empty if there is none."""
-    found, tags = blocks(page or "")
-    found = [b for b in found if not b.dropped]
-    found = _unmarked(found, tags) if found else []
-    if not found:
+    read = read_page(page or "")
+    read = _without_marked(_without_comments(read)) if read.blocks else read
+    if not read.blocks:
         return ""
-    holders = _holders(found, tags)
-    return "\n\n".join(b.text for b in found if not holders.isdisjoint(b.holders))
+    return "\n\n".join(b.text for b, kept in zip(read.blocks, _chosen(read), strict=True) if kept)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
