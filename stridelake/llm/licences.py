@@ -17,6 +17,8 @@ SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed
 #: Lines that begin so are copyright lines.
 COPYRIGHT = r"^\s*(copyright\b|\(c\)|©|all rights reserved\b).*"
 COPYRIGHT_MARKS = ["copyright", "(c)", "©", "all rights reserved"]
+#: Numbers and letters of list items at the start of a line, after what marks comments. (Bullets go with all other punctuation.)
+LIST_MARK = r"^[ \t#*/;>%-]*\(?(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+"
 
 #: Names of known licences with their SPDX identifiers.
 NAMES = {
@@ -30,6 +32,9 @@ NAMES = {
     "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
     "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+    "MPL-1.1": ["Mozilla Public License, version 1.1", "Mozilla Public License 1.1"],
+    "GFDL-1.2": ["GNU Free Documentation License, version 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, version 1.3"],
     "ISC": ["ISC License"],
     "Zlib": ["zlib License"],
     "Unlicense": ["Unlicense"],
@@ -43,6 +48,17 @@ NAMES = {
     "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0"],
     "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0"],
 }
+#: Names that are titles only.
+OTHER_TITLES = {
+    "MIT": ["Expat License", "MIT/X11 License"],
+    "BSD-2-Clause": ["2-Clause BSD License", "BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["3-Clause BSD License", "BSD License", "Modified BSD License", "Revised BSD License"],
+    "0BSD": ["Zero-Clause BSD License"],
+    "Unlicense": ["Unlicense License"],
+    "Apache-2.0": ["Apache License"],
+}
+#: How a name stands as the title above its text.
+TITLES = ["{title}", "The {title}", "{title} ({spdx})", "The {title} ({spdx})", "{spdx}", "{spdx} License"]
 #: Sentences that state a licence in full.
 STATEMENTS = ["{}", "Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "Distributed under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This work is licensed under a {}", "This project is licensed under the {}", "This software is licensed under the {}", "This file is licensed under the {}", "Available under the {}"]
 
@@ -80,16 +96,22 @@ You should have received a copy of the GNU General Public License along with thi
 TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
 #: Canonical digests of further entire texts, as their stewards publish them (fixed values).
 FULL_DIGESTS = {
-    "Apache-2.0": "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b",
-    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
-    "GPL-2.0": "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
-    "GPL-3.0": "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f",
-    "LGPL-2.1": "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70",
-    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
-    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    "Apache-2.0": "5aa38c82e3cf609fe9cbf1b2e38ec16cd0a5881447e1ec7ea521aac59da44fa4",
+    "Artistic-1.0-Perl": "b1a9ec4dc608aa9f60e07ac63787b043bbaf8d6102bb31211bc28b37db53d680",
+    "CC0-1.0": "fc3b7547cd22a69f533f8dc61ce0b9bba032990bd8d72935ddd5cf7045643f54",
+    "GFDL-1.2": "cb41be315270be4de3aab4347a046343c85a15be3fa5c5fb0f59abe8d307c6d5",
+    "GFDL-1.3": "6f3c80221c68938b81371b93dba56f5b155421852b2c28b2ef1e3346667cd2c3",
+    "GPL-1.0": "ac910954c3184907f3947de0193b0169b8c69656ff2de7f3330438f6ba4fb746",
+    "GPL-2.0": "ee5d645c4102ec1c01601b86811e81d82a2cab7e2cd2206a19487ff2a7783487",
+    "GPL-3.0": "95635aaae63ecaf75c32ccc115236141e5767e8958dfed4292fe66691c4e9e84",
+    "LGPL-2.0": "7f934b495d440a23de8cdb321dfda76c31219acc4bcba0288a3dbfc336dedd9a",
+    "LGPL-2.1": "b92b914a2d829dd7a7d3d46ebcc569adfadbf6cb2df97d695934196353a55167",
+    "LGPL-3.0": "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45",
+    "MPL-1.1": "05e230fb3903daa7bacb63df4e9f5d53481cc06aceb4e8eb1e071083eb69798a",
+    "MPL-2.0": "2679d8adefa007797fdba64dfa8f0dc1d11981245c546ba2d9c2b2ea7341fd3e",
 }
 #: Families whose identifiers come with these endings too.
-FAMILIES, ENDINGS = ("GPL-", "LGPL-", "AGPL-"), ("-only", "-or-later")
+FAMILIES, ENDINGS = ("GPL-", "LGPL-", "AGPL-", "GFDL-"), ("-only", "-or-later")
 #: Most known digests that a broadcast may hold.
 MOST_KNOWN = 20_000
 
@@ -99,7 +121,7 @@ _SPELLED = [(rf"\b{re.escape(a)}\b", b) for a, b in SPELLINGS.items()]
 def canonical_text(text: str) -> str:
     """The canonical form in plain Python, for the known texts (tests hold it against the column form)."""
     lines = [line for line in text.lower().split("\n") if not re.match(COPYRIGHT, line)]
-    joined = " ".join(lines)
+    joined = re.sub(LIST_MARK, "", "\n".join(lines), flags=re.MULTILINE).replace("\n", " ")
     for a, b in _SPELLED:
         joined = re.sub(a, b, joined)
     return re.sub(r"[^a-z0-9\u0080-\U0010FFFF]+", " ", joined).strip(" ")
@@ -124,13 +146,13 @@ def known_digests(texts: dict[str, str] | None = None, names: dict[str, list[str
         found.update({d: spdx for spdx, d in FULL_DIGESTS.items()})
     for spdx, text in (TEXTS if texts is None else texts).items():
         found[_digest(canonical_text(text))] = spdx
-        for title in names.get(spdx, []):
+        for title in [t.format(title=name, spdx=spdx) for name in [*names.get(spdx, []), *OTHER_TITLES.get(spdx, [])] for t in TITLES]:
             found[_digest(canonical_text(f"{title}\n{text}"))] = spdx
     return found
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, words of letters and digits with one space between them.
+    """Lower case, no copyright lines, no numbers of list items, one spelling, words of letters and digits with one space between them.
 
     Substring tests, far cheaper than the patterns, tell which texts the patterns can change at all.
     """
@@ -144,7 +166,10 @@ def canonical(text: Column) -> Column:
 
     def without_copyright(x: Column) -> Column:
         lines = F.filter(F.split(x, "\n"), lambda line: ~line.rlike(COPYRIGHT))
-        return F.when(some(x, COPYRIGHT_MARKS), F.array_join(lines, " ")).otherwise(F.replace(x, F.lit("\n"), F.lit(" ")))
+        return F.when(some(x, COPYRIGHT_MARKS), F.array_join(lines, "\n")).otherwise(x)
+
+    def without_list_marks(x: Column) -> Column:
+        return F.replace(F.regexp_replace(x, f"(?md){LIST_MARK}", ""), F.lit("\n"), F.lit(" "))
 
     def spelled(x: Column) -> Column:
         out = x
@@ -152,7 +177,7 @@ def canonical(text: Column) -> Column:
             out = F.regexp_replace(out, rf"\b{re.escape(a)}\b", b)
         return F.when(some(x, list(SPELLINGS)), out).otherwise(x)
 
-    joined = bound(bound(F.lower(text), without_copyright), spelled)
+    joined = bound(without_list_marks(bound(F.lower(text), without_copyright)), spelled)
     return F.trim(F.regexp_replace(joined, "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " "))
 
 

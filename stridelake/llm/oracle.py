@@ -87,7 +87,8 @@ from documents d join classes using (doc_id) left join sizes s using (doc_id) le
 
 
 def _op7() -> str:
-    joined = r"array_to_string(list_filter(string_split(lower(part), chr(10)), lambda x: not regexp_matches(x, '^\s*(copyright\b|\(c\)|©|all rights reserved\b).*')), ' ')"
+    joined = r"array_to_string(list_filter(string_split(lower(part), chr(10)), lambda x: not regexp_matches(x, '^\s*(copyright\b|\(c\)|©|all rights reserved\b).*')), chr(10))"
+    joined = f"replace(regexp_replace({joined}, '(?m){_licences.LIST_MARK}', '', 'g'), chr(10), ' ')"
     for a, b in _licences.SPELLINGS.items():
         joined = f"regexp_replace({joined}, '\\b{a}\\b', '{b}', 'g')"
     values = ", ".join(f"('{d}', '{s}')" for d, s in sorted(_licences.known_digests().items()))
