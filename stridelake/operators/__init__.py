@@ -274,16 +274,30 @@ def keys_in_many(df: DataFrame, key: str, dim: str) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(dim).alias("n")).filter("n > 1")
 
 
+def _exact_moments(value: Column) -> tuple[Column, Column]:
+    """``std`` and ``mean`` of a group. Sums of doubles depend on the order in which rows meet, so that groups of equal values would be ranked by rounding errors; values
+    of at most six decimals are therefore added up as decimals, which is exact. Groups with other values, or beyond the decimals, have Spark's own figures."""
+    number = value.try_cast("decimal(18,6)")
+    n = F.count(value)
+    total, squares = F.try_sum(number).try_cast("decimal(18,6)"), F.try_sum(number * number).try_cast("decimal(25,12)")
+    exact = F.count_if(number.cast("double") == value.cast("double")) == n
+    # (n * squares - total * total) / (n * (n - 1)) is the variance; its numerator has no rounding
+    spread = F.try_subtract(n.try_cast("decimal(12,0)") * squares, (total * total).try_cast("decimal(38,12)"))
+    std = F.when(n > 1, F.sqrt(F.try_divide(spread.cast("double"), n.cast("double") * (n - 1).cast("double"))))
+    mean = F.try_divide(total.cast("double"), n.cast("double"))
+    return F.when(exact & spread.isNotNull(), std).otherwise(F.stddev_samp(value)).alias("std"), F.when(exact & total.isNotNull(), mean).otherwise(F.avg(value)).alias("mean")
+
+
 def consistency(df: DataFrame, key: str, value: str, exact: bool = True, longest: int | None = None) -> DataFrame:
     """AGG-7: share of weeks with a distance, spread, median to mean, maximum to median, weeks without data.
 
     Over the weeks with a distance; with none of them the spread is infinite and the ratios 0. ``exact`` medians
     hold a group's values (at most 53 weeks); else they are approximate. With ``longest`` they are exact, and a group of more values is never held in one
-    buffer (``exact_medians``).
+    buffer (``exact_medians``). Groups of equal values have equal figures in whatever order their rows come (``_exact_moments``).
     """
     valid = F.when(F.col(value) > 0, F.col(value))
     median = F.lit(None).cast("double") if longest else F.percentile(valid, F.lit(0.5)) if exact else F.percentile_approx(valid, F.lit(0.5))
-    base = df.groupBy(key).agg(F.count(F.lit(1)).alias("weeks"), F.count(valid).alias("valid"), F.stddev_samp(valid).alias("std"), F.avg(valid).alias("mean"), median.alias("median"), F.max(valid).alias("top"))
+    base = df.groupBy(key).agg(F.count(F.lit(1)).alias("weeks"), F.count(valid).alias("valid"), *_exact_moments(valid), median.alias("median"), F.max(valid).alias("top"))
     if longest:
         medians = exact_medians(df.select(F.col(key).alias("__key"), valid.alias("__value")), ["__key"], "__value", "median", longest)
         base = base.drop("median").join(medians, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")

@@ -1,4 +1,6 @@
 import json
+import math
+import statistics
 
 import pytest
 from pyspark.sql import Window
@@ -163,6 +165,23 @@ def test_golden_filters(spark):
     assert op.repeated(spark.createDataFrame(six, "k string, v int"), ["k"]).count() == 4
 
 
+def test_groups_of_equal_weeks_are_ranked_by_their_key(spark):
+    # the same weeks in another order for each key, so that sums of doubles differ in their last bits
+    weeks = [12.34, 7.1, 0.1, 33.3, 41.07, 5.0, 19.99, 28.6, 0.0, 3.3, 47.2]
+    rows = [(k, weeks[(i * (k % 10 + 1) + k) % 11]) for k in range(40) for i in range(11)]
+    ranking = plans.consistency_ranking(spark.createDataFrame(rows, "k int, km double").repartition(7), "k", "km").collect()
+    assert len({(r.std_dev, r.median_to_mean) for r in ranking}) == 1 and all(r.serial == r.k + 1 for r in ranking)
+    assert ranking[0].std_dev == pytest.approx(statistics.stdev(w for w in weeks if w))
+
+
+def test_spread_of_values_that_no_decimal_holds(spark):
+    values = {"tiny": [1e-9, 3e-9], "huge": [1e30, 3e30], "long": [1 / 3, 2 / 3], "one": [5.0], "many": [9e11] * 3 + [1e11], "odd": [float("inf"), 1.0]}
+    out = {r.k: r for r in op.consistency(spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, km double"), "k", "km").collect()}
+    for k in ("tiny", "huge", "long", "many"):
+        assert out[k].std_dev == pytest.approx(statistics.stdev(values[k])) and out[k].median_to_mean == pytest.approx(statistics.median(values[k]) / statistics.mean(values[k]))
+    assert out["one"].std_dev is None and math.isnan(out["odd"].std_dev)
+
+
 def test_consistency_without_valid_weeks(spark):
     r = op.consistency(spark.createDataFrame([("a", 0.0), ("a", None), ("b", 5.0)], "k string, km double"), "k", "km")
     got = {x.k: x for x in r.collect()}
