@@ -2,7 +2,7 @@
 
 Each state of the table has a Bloom filter and its ids. The filter is cut into blocks of 4,096 bits, an id sets ``HASHES`` bits of one block, so filters are
 built by a grouping and asked by a join, whatever their size. Only the ids of states that can hold an id of the batch are read,
-and of these only the blocks in question count.
+and of these only the blocks in question count. All sides of the joins grow with the batch or the table, so they are joined by shuffle at every size.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def possible(batch: DataFrame, root: str, index: str, id_col: str) -> DataFrame:
     ids = batch.select(F.col(f"`{id_col}`").alias("id")).filter("id is not null").distinct()
     of = F.explode(F.array(*[F.struct(F.lit(r.state).alias("s"), F.lit(r.n).alias("n")) for r in sizes.collect()])).alias("__of")
     asked = ids.select("id", of).select("id", F.col("__of.s").alias("__s"), _block("id", F.col("__of.n")).alias("__b"))
-    met = asked.join(filters, (F.col("__s") == F.col("state")) & (F.col("__b") == F.col("block")))
+    met = asked.join(filters.hint("merge"), (F.col("__s") == F.col("state")) & (F.col("__b") == F.col("block")))
     for i in range(HASHES):
         met = met.filter(_set("bits", _spot("id", i)))
     return met.select("id", "state", "block")
@@ -76,7 +76,7 @@ def known_ids(batch: DataFrame, root: str, index: str, id_col: str) -> tuple[Dat
         return spark.createDataFrame([], maybe.select("id").schema), []
     where = tokens(spark, f"{index}/ids")
     ids = spark.read.parquet(*[f"{index}/ids/{where[s]}" for s in read]).select("id")
-    return ids.join(maybe.select("id").distinct(), "id", "left_semi"), read
+    return ids.join(maybe.select("id").distinct().hint("merge"), "id", "left_semi"), read
 
 
 def unseen_ids(batch: DataFrame, root: str, index: str, id_col: str) -> DataFrame:
@@ -85,4 +85,4 @@ def unseen_ids(batch: DataFrame, root: str, index: str, id_col: str) -> DataFram
         return batch
     add_to_index(batch.sparkSession, root, index, id_col)
     known, _ = known_ids(batch, root, index, id_col)
-    return batch.join(known.select(F.col("id").alias("__known")), F.col(f"`{id_col}`") == F.col("__known"), "left_anti")
+    return batch.join(known.select(F.col("id").alias("__known")).hint("merge"), F.col(f"`{id_col}`") == F.col("__known"), "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import operators as op
 from .. import sources
 from ..sources import sums
+from ..storage import discard, stored
 
 
 def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -33,14 +34,18 @@ def append_unseen(store: str, id_col: str, order: list | None = None, stream: st
         spark = batch.sparkSession
         if batch.isEmpty():  # a trigger that only moves the watermark
             return
-        fresh = op.first_per(batch.filter(F.col(id_col).isNotNull()), [id_col], order or batch.columns)
-        while True:
-            at = sources.newest(spark, store) or ""
-            try:
-                sources.append_table(sources.unseen_ids(fresh, store, f"{store}-index", id_col), store, token=f"{stream}-{number}" if stream else None, expect=at)
-                return
-            except sources.Conflict:
-                continue
+        # read more than once below, so the state of the stream is asked once
+        fresh = stored(op.first_per(batch.filter(F.col(id_col).isNotNull()), [id_col], order or batch.columns), "batch")
+        try:
+            while True:
+                at = sources.newest(spark, store) or ""
+                try:
+                    sources.append_table(sources.unseen_ids(fresh, store, f"{store}-index", id_col), store, token=f"{stream}-{number}" if stream else None, expect=at)
+                    return
+                except sources.Conflict:
+                    continue
+        finally:
+            discard(fresh)
 
     return write
 

@@ -331,3 +331,14 @@ def test_metadata_of_batches_equal_a_recompute(spark, tmp_path):
     assert sorted(map(str, streaming.metadata_rows(spark, meta, "athlete_id").select(want.columns).collect())) == sorted(map(str, want.collect()))
     last = spark.read.parquet(f"{meta}/{sources.newest(spark, meta)}")
     assert [r.athlete_id for r in last.collect()] == [99]  # only the athlete of the batch
+
+
+def test_new_ids_are_found_without_broadcasts(spark, tmp_path):
+    root, index = str(tmp_path / "t"), str(tmp_path / "i")
+    for i in range(3):
+        sources.append_table(spark.range(100 * i, 100 * i + 100), root)
+    batch = spark.range(250, 350)
+    out = sources.unseen_ids(batch, root, index, "id")
+    assert sorted(r.id for r in out.collect()) == list(range(300, 350))
+    for df in (out, id_index.possible(batch, root, index, "id")):
+        assert df.collect() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
