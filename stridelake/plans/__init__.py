@@ -22,16 +22,22 @@ def payload_root(payload: str = "payload") -> Column:
 
 def explode_entries(df: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
     """PRJ-9: individual and group activities of every entry, statistics as a map."""
-    entries = df.select(*keep, F.posexplode(payload_root(payload)).alias("entry_pos", "e"))
+    e = "e" + uuid.uuid4().hex  # no column of ``keep`` has this name
+    entries = df.select(*keep, F.posexplode(payload_root(payload)).alias("entry_pos", e))
     stats = lambda c: F.map_from_entries(F.transform(c, lambda s: F.struct(s["key"], s["value"])))
-    one = entries.filter("e.activity is not null").select(
-        *keep, "entry_pos", F.lit(0).alias("row_pos"), F.col("e.activity.athlete.athleteId").cast("bigint").alias("athlete_id"), F.col("e.activity.athlete.athleteName").alias("athlete_name"), F.col("e.activity.id").alias("activity_id"),
-        F.col("e.activity.activityName").alias("activity_name"), F.col("e.activity.description").alias("description"), F.col("e.activity.startDate").alias("start_date"), F.col("e.activity.elapsedTime").alias("elapsed_time"), F.col("e.activity.type").alias("type"),
-        F.coalesce("e.activity.timeAndLocation.location", "e.timeAndLocation.location").alias("location"), stats(F.col("e.activity.stats")).alias("stats"))
-    rows = entries.filter("e.rowData is not null").select(*keep, "entry_pos", F.col("e.timeAndLocation.location").alias("location"), F.posexplode("e.rowData.activities").alias("row_pos", "a"))
-    group = rows.select(
-        *keep, "entry_pos", "row_pos", F.col("a.athlete_id"), F.col("a.athlete_name"), F.col("a.activity_id"), F.col("a.name").alias("activity_name"), F.col("a.description"), F.col("a.start_date"), F.col("a.elapsed_time"), F.col("a.type"), "location", stats(F.col("a.stats")).alias("stats"))
-    return one.unionByName(group)
+    fields = lambda pos, **columns: F.struct(pos.cast("int").alias("row_pos"), *[c.alias(k) for k, c in columns.items()])
+    x = F.col(e)
+    act, place = x["activity"], x["timeAndLocation"]["location"]
+    one = fields(
+        F.lit(0), athlete_id=act["athlete"]["athleteId"].cast("bigint"), athlete_name=act["athlete"]["athleteName"], activity_id=act["id"], activity_name=act["activityName"], description=act["description"], start_date=act["startDate"], elapsed_time=act["elapsedTime"], type=act["type"],
+        location=F.coalesce(act["timeAndLocation"]["location"], place), stats=act["stats"])
+    group = lambda a, i: fields(
+        i, athlete_id=a["athlete_id"], athlete_name=a["athlete_name"], activity_id=a["activity_id"], activity_name=a["name"], description=a["description"], start_date=a["start_date"], elapsed_time=a["elapsed_time"], type=a["type"], location=place, stats=a["stats"])
+    # one list of both kinds, so that a payload is parsed once
+    rows = F.concat(F.filter(F.array(one), lambda _: act.isNotNull()), F.coalesce(F.transform(x["rowData"]["activities"], group), F.array()))
+    flat = entries.select(*keep, "entry_pos", F.explode(rows).alias(e))
+    names = ["row_pos", "athlete_id", "athlete_name", "activity_id", "activity_name", "description", "start_date", "elapsed_time", "type", "location"]
+    return flat.select(*keep, "entry_pos", *[x[n].alias(n) for n in names], stats(x["stats"]).alias("stats"))
 
 
 def flatten_payloads(raw: DataFrame, json: str = "JSON Data", target: str = "Name") -> tuple[DataFrame, DataFrame]:
@@ -285,7 +291,8 @@ def weekly_pipeline(spark: SparkSession, raw: DataFrame, store: str, metadata: s
     flat, _ = flatten_payloads(raw)
     names = {"athlete_id": "Athlete ID", "athlete_name": "Athlete Name", "activity_id": "Activity ID", "activity_name": "Activity Name", "description": "Description", "start_date": "Start Date", "elapsed_time": "Elapsed Time", "type": "Type", "location": "Location", "distance_km": "Distance (km)", "pace_min_km": "Pace (min/km)", "time": "Time"}
     batches = f"{store}-new"
-    rows = once_per_activity(flat.withColumnsRenamed(names))
+    # payloads are read once, however often their rows are asked below
+    rows = stored(once_per_activity(flat.withColumnsRenamed(names)), "payloads")
     while True:
         at, token = sources.newest(spark, batches) or "", uuid.uuid4().hex
         _settle(spark, store)
@@ -298,6 +305,7 @@ def weekly_pipeline(spark: SparkSession, raw: DataFrame, store: str, metadata: s
             continue
         finally:
             discard(fresh)
+    discard(rows)
     _settle(spark, store)
     while True:
         at = sources.newest(spark, metadata) or ""

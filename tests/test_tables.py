@@ -264,3 +264,17 @@ def test_csv_by_name_with_line_breaks(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     got = sources.read_dir(spark, str(tmp_path), "*.csv", schemas.table_schema("`Athlete ID` bigint, Name string, Description string"))
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [(1, "Ada", 'two\nlines, "quoted"'), (None, "Bo", "plain")]
+
+
+def test_entries_of_both_kinds_from_one_parse(spark, tmp_path):
+    act = {"id": 5, "activityName": "Run", "athlete": {"athleteId": 1, "athleteName": "Ada"}, "stats": [{"key": "stat_one", "value": "5 km"}]}
+    group = {"activities": [{"activity_id": 6, "athlete_id": 1, "name": "Ride", "stats": None}, None, {"activity_id": 7}]}
+    entries = [{"activity": act, "rowData": group, "timeAndLocation": {"location": "here"}}, {"rowData": {"activities": None}}, {}, {"activity": act}]
+    path = str(tmp_path / "raw")
+    spark.createDataFrame([(json.dumps({"preFetchedEntries": entries}), 9)], "p string, key int").write.parquet(path)
+    good, _ = sources.parse_payload(spark.read.parquet(path), "p", schemas.PAYLOAD)
+    out = plans.explode_entries(good, ["key"])
+    got = sorted((r.key, r.entry_pos, r.row_pos, r.activity_id or 0, r.location or "", str(r.stats)) for r in out.collect())
+    stats = str({"stat_one": "5 km"})
+    assert got == sorted([(9, 0, 0, 5, "here", stats), (9, 0, 0, 6, "here", "None"), (9, 0, 1, 0, "here", "None"), (9, 0, 2, 7, "here", "None"), (9, 3, 0, 5, "", stats)])
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
