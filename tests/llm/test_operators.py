@@ -618,3 +618,27 @@ def test_lines_of_words_with_equal_marks_stay(spark):
     table = docs(spark, [(i, line, "a") for i, line in enumerate(lines)])
     for small in (3, 32):
         assert line_dedup.dedup_stage(table, small=small).count() == 60
+
+
+def test_near_lines_are_joined_without_broadcasts(spark, monkeypatch):
+    """Near copies make small files of what is large in memory, so no join of line dedup may go by the size of files."""
+    plans = []
+
+    def stored(df, label, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label, **options)
+
+    keep = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    rng = random.Random(8)
+    words, lines = [f"word{i}" for i in range(70)], []
+    for _ in range(40):
+        line = list(words)
+        for at in rng.sample(range(70), rng.randint(0, 5)):
+            line[at] = f"other{rng.randrange(1000)}"
+        lines.append(" ".join(line))
+    out = line_dedup.dedup_stage(docs(spark, [(i, line, "a") for i, line in enumerate(lines)]), small=4)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+    far = lambda a, b: sum(x != y for x, y in zip(a.split(" "), b.split(" "), strict=True)) > 2  # noqa: E731  words are only replaced
+    assert {r.doc_id for r in out.collect()} == {i for i, line in enumerate(lines) if all(far(line, other) for other in lines[:i])}
